@@ -9,6 +9,7 @@ from lodestrand.llm.chunking import split_oversized
 from lodestrand.llm.mixing import Mix, mix
 from lodestrand.llm.packing import pack
 from lodestrand.llm.quantiles import above, merged, percentiles, sketches
+from lodestrand.llm.spans import expand, shared_pairs, shared_spans
 from lodestrand.llm.tokens import token_count
 from lodestrand.session import cut
 from lodestrand.sources.tables import table
@@ -110,7 +111,24 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).chosen
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_percentiles, p3_merged, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture)}
+# 8. Shared spans
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return expand(*shared_pairs(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """For every document with a text, how many spans it shares and what share of the text they cover."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    spans = shared_spans(docs, "doc_id", "text").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("shared_chars"))
+    sizes = docs.filter(F.col("text").isNotNull()).select("doc_id", F.char_length("text").alias("chars"))
+    rows = sizes.join(spans, "doc_id", "left")
+    n = F.coalesce("shared_chars", F.lit(0))
+    return rows.select("doc_id", "chars", F.coalesce("spans", F.lit(0)).alias("spans"), n.alias("shared_chars"), F.coalesce(F.try_divide(n, F.col("chars")), F.lit(0.0)).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_percentiles, p3_merged, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT idx, (i - 1)::INTEGER AS msg_index FROM (SELECT idx, messages, unnest(range(1, len(messages) + 1)) AS i FROM inference_records WHERE idx IS NOT NULL) WHERE length(messages[i].content) > 3000",
