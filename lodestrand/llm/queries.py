@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.chunking import split_oversized
 from lodestrand.llm.mixing import Mix, mix
+from lodestrand.llm.neighbours import similar
 from lodestrand.llm.packing import pack
 from lodestrand.llm.quantiles import above, merged, percentiles, sketches
 from lodestrand.llm.spans import expand, shared_pairs, shared_spans
@@ -68,6 +69,25 @@ def p3_merged(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(merged(days, ["context_category"]), [5, 25, 50, 75, 90, 95, 99])
 
 
+# 4. Similar vectors
+
+FIELDS = ["query_embedding", "plan_embedding", "search_plan_embedding"]
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar workflows of every workflow, by each of the three vectors."""
+    flows, out = table(spark, d, "workflow_instances"), None
+    for f in FIELDS:
+        one = similar(flows.select("workflow_id", f), "workflow_id", f).select(F.lit(f).alias("field"), F.col("id").alias("workflow_id"), "rank", "neighbour", "cos")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p4_neighbours(spark, d).filter(F.col("cos") >= 0.9)
+    return near.select("field", F.least("workflow_id", "neighbour").alias("id_a"), F.greatest("workflow_id", "neighbour").alias("id_b")).distinct()
+
+
 # 6. and 7. Containers and mixtures
 
 
@@ -128,7 +148,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chars", F.coalesce("spans", F.lit(0)).alias("spans"), n.alias("shared_chars"), F.coalesce(F.try_divide(n, F.col("chars")), F.lit(0.0)).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_percentiles, p3_merged, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT idx, (i - 1)::INTEGER AS msg_index FROM (SELECT idx, messages, unnest(range(1, len(messages) + 1)) AS i FROM inference_records WHERE idx IS NOT NULL) WHERE length(messages[i].content) > 3000",
