@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from lodestrand.llm.chunking import split_oversized
 from lodestrand.llm.mixing import Mix, mix
 from lodestrand.llm.neighbours import similar
 from lodestrand.llm.packing import pack
+from lodestrand.llm.partenum import classes, near_duplicates
+from lodestrand.llm.partenum import expand as expand_near
 from lodestrand.llm.quantiles import above, merged, percentiles, sketches
 from lodestrand.llm.spans import expand, shared_pairs, shared_spans
 from lodestrand.llm.tokens import token_count
@@ -41,6 +45,27 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_messages(first), "content").select("idx", "msg_index", "piece_no", "n_pieces", "piece_start", "piece_end", "piece")
 
 
+# 2. Near-duplicates
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Three words and 0.6, as the cases of this data are defined."""
+    memory = table(spark, d, "memory_bank").select(F.lit("content").alias("field"), F.col("memory_id").alias("id"), F.col("content").alias("text"))
+    flows = table(spark, d, "workflow_instances")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("query", "agent_experience")]))
+    flows = flows.select(F.col("workflow_id").alias("id"), each.alias("t")).select("t.field", "id", "t.text")
+    return near_duplicates(memory.unionByName(flows), "field", "id", "text", Fraction(3, 5), 3)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return expand_near(*_near(spark, d)).select("field", "id_a", "id_b").distinct()
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its class and the number of similar texts."""
+    return classes(*_near(spark, d))
+
+
 # 3. Percentiles
 
 
@@ -148,7 +173,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chars", F.coalesce("spans", F.lit(0)).alias("spans"), n.alias("shared_chars"), F.coalesce(F.try_divide(n, F.col("chars")), F.lit(0.0)).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT idx, (i - 1)::INTEGER AS msg_index FROM (SELECT idx, messages, unnest(range(1, len(messages) + 1)) AS i FROM inference_records WHERE idx IS NOT NULL) WHERE length(messages[i].content) > 3000",
