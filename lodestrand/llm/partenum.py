@@ -4,19 +4,23 @@ A text is the set of its runs of ``width`` words. Two sets r, s are similar if |
 
 Partition: the domain of word runs is dealt by hash into parts. As the sums over all parts satisfy the
 inequality, at least one part satisfies it by itself, with something in common: |r_i & s_i| >= g |r_i | s_i|.
-Enumerate: sets with a and b elements in that part have o >= g / (1 + g) (a + b) of them in common, so in the
-order of the hashes the t = min(o, 3) least common ones lie among the first a - o + t elements of r_i (and
+Enumerate: sets with a and b elements in that part have o >= g / (1 + g) (a + b) of them in common, so in any
+fixed order of the domain the t = min(o, 2) first common ones lie among the first a - o + t elements of r_i (and
 b - o + t of s_i). All subsets of t of these elements are signatures; a similar pair shares one. The number of
-parts goes by size band, so a part holds about 3 elements; a pair counts in the band of its smaller set, and a
-set makes signatures for each band in which a similar set can be the smaller one. Nothing is lost, and no
-signature is empty.
-
-Before that, word runs that occur in one set only are found, by one shuffle of hashes packed into a few binary
-rows: a set most of which is unlike all others needs no signatures, and no subset with such a run needs one.
-After that, pairs with an equal signature are screened by parity sketches (the bits in which two sketches
-differ are no more than the elements in which the sets differ), and what passes is compared exactly.
-A signature that more than ``HOT`` sets have is taken together with each signature of a second, independent
-partition, of which a similar pair also shares one; and with a third, if need be.
+parts goes by size band (of ratio 8, with 4 to 32 elements a part where sets are large); a pair counts in the
+band of its smaller set, and a set makes signatures for each band in which a similar set can be the smaller one.
+Nothing is lost, and no signature is empty.
+
+The order is by frequency, rare runs first. To that end the hashes of all runs are shuffled once, packed into a
+few binary rows, and what occurs in two sets or more is sent back with the order of magnitude of its frequency.
+A run that only one set has is first in the order and in no signature; a set most of which is like no other
+needs no signature at all.
+
+Pairs with an equal signature are screened by parity sketches (two sketches differ in no more bits than the
+sets in elements), and what passes is compared exactly. A signature can't be more frequent than its rarest
+element, so most are known to have at most ``HOT`` sets. The others are counted; one that is too frequent is
+taken together with each signature of a second, independent partition, of which a similar pair also shares one;
+and with a third, if need be.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 from math import ceil, floor
 
@@ -33,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm.hashing import powers
 from lodestrand.session import cut
 
-HOT, BUCKET = 400, 500_000
+HOT, BUCKET = 512, 1_000_000
 LEVELS = 3
+BLOCK = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -44,87 +51,124 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def runs(w: Column, field: Column, width: int) -> Column:
-    """Hashes of the distinct runs of ``width`` words; empty if there are fewer words."""
-    each = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(field, *[F.get(w, i + k) for k in range(width)]))
-    return F.when(F.size(w) >= width, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(32)
+
+
+@lru_cache(maxsize=10_000)
+def _salt(field: str) -> int:
+    return int.from_bytes(blake2b(field.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _runs_of(texts: list[str], fields: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the text and hash of each distinct run of words, in that order."""
+    points = np.frombuffer("".join(f"{t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    up, down = powers(max(len(points) + 1, BLOCK))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64)])
+    stop = np.flatnonzero(points == 32)
+    start = np.append(0, stop[:-1] + 1)
+    word = _mix((sums[stop] - sums[start]) * down[start])
+    text = np.repeat(np.arange(len(texts)), [t.count(" ") + 1 for t in texts])
+    n = len(word) - width + 1
+    if n <= 0:
+        return text[:0], word[:0].view(np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + word[k : k + n])
+    text, same = text[:n], text[:n] == text[width - 1 :]
+    h = h ^ np.array([_salt(f) for f in fields], np.uint64)[text]
+    text, h = text[same], h[same].view(np.int64)
+    order = np.lexsort([h, text])
+    text, h = text[order], h[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return text[first], h[first]
+
+
+def _sets(texts: list[str], fields: list[str], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of the texts with their runs: from, to, number of the text in the slice, hash."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > a and size + len(t) > BLOCK:
+            yield a, i, *_runs_of(texts[a:i], fields[a:i], width)
+            a, size = i, 0
+        size += len(t) + 1
+    if a < len(texts):
+        yield a, len(texts), *_runs_of(texts[a:], fields[a:], width)
 
 
 def _element(h: np.ndarray, buckets: int) -> np.ndarray:
-    """The id of a word run in the first shuffle: its bucket and 32 bits of its hash."""
+    """A run's id: its bucket in the first shuffle, and 32 bits of its hash."""
     u = h.view(np.uint64)
     return ((u & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32) | u >> np.uint64(32)).view(np.int64)
 
 
-def _packer(buckets: int):
-    """Deals the hashes of a batch to the buckets, a row of bytes for each."""
-    schema = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("hash", pa.binary()), ("delta", pa.binary()), ("n", pa.binary())])
+def _edges(x: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-plus-one positions of the runs of equal values (in all arrays)."""
+    if not len(x):
+        none = np.zeros(0, np.int64)
+        return none, none
+    new = x[1:] != x[:-1]
+    for y in more:
+        new = new | (y[1:] != y[:-1])
+    cuts = np.flatnonzero(new) + 1
+    return np.append(0, cuts), np.append(cuts, len(x))
+
+
+def _packer(buckets: int, width: int):
+    """Deals the runs of each block of 1,024 texts to the buckets, a row of bytes for each."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hash", pa.binary()), ("delta", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, sets = batch.column(0).to_numpy(), batch.column(1)
-            for seg in np.split(np.arange(len(rid)), np.flatnonzero(np.abs(np.diff(rid)) > 60_000 // max(1, len(rid))) + 1) if len(rid) else []:
-                part = sets.slice(int(seg[0]), len(seg))
-                sizes = np.diff(part.offsets.to_numpy())
-                e = _element(np.ascontiguousarray(part.flatten().to_numpy()), buckets)
-                base = int(rid[seg].min())
-                delta, n = np.repeat((rid[seg] - base).astype(np.uint16), sizes), np.repeat(sizes.astype(np.uint32), sizes)
-                b = e >> 32
-                order = np.argsort(b, kind="stable")
-                h, delta, n, b = e[order].astype(np.uint32), delta[order], n[order], b[order]
-                edges = np.flatnonzero(np.diff(b)) + 1
-                lo, hi = np.append(0, edges), np.append(edges, len(b))
-                if not len(b):
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b[lo].astype(np.int32)), pa.array(np.full(len(lo), base)), *[pa.array([x[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary()) for x in (h, delta, n)]], schema=schema
-                )
+            rid, texts, fields = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for a, b, text, h in _sets(texts, fields, width):
+                e, r = _element(h, buckets), rid[a:b][text]
+                bucket, block = e >> 32, r >> 10
+                order = np.lexsort([block, bucket])
+                bucket, block, e, r = bucket[order], block[order], e[order].astype(np.uint32), (r[order] & 1023).astype(np.uint16)
+                lo, hi = _edges(bucket, block)
+                cols = [pa.array([x[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary()) for x in (e, r)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[lo].astype(np.int32)), pa.array(block[lo]), *cols], schema=schema)
 
     return pack
 
 
-def _sharer(buckets: int):
-    """Of a bucket, the word runs that two or more sets have, dealt back by set."""
+def _sharer():
+    """Of a bucket, the runs that two sets or more have, dealt back by block, with the bit length of their number."""
 
     def share(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(rows["hash"]), np.uint32)
-        n = np.frombuffer(b"".join(rows["n"]), np.uint32)
-        deltas = [np.frombuffer(d, np.uint16) for d in rows["delta"]]
-        rid = np.concatenate([b + d.astype(np.int64) for b, d in zip(rows["base"], deltas, strict=True)])
+        delta = np.frombuffer(b"".join(rows["delta"]), np.uint16)
+        block = np.repeat(rows["block"].to_numpy(), [len(d) // 2 for d in rows["delta"]])
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        twice = np.zeros(len(s), bool)
-        twice[1:] = s[1:] == s[:-1]
-        twice[:-1] |= s[:-1] == s[1:]
-        keep = order[twice]
-        h, n, rid = h[keep], n[keep], rid[keep]
-        home = (rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
-        order = np.lexsort([rid, home])
-        h, n, rid, home = h[order], n[order], rid[order], home[order].astype(np.int32)
-        edges = np.flatnonzero(np.diff(home)) + 1
-        lo, hi = np.append(0, edges), np.append(edges, len(home))
-        if not len(home):
-            lo = hi = lo[:0]
-        return pd.DataFrame({"home": home[lo], "bucket": np.full(len(lo), key[0], np.int32), **{c: [x[i:j].tobytes() for i, j in zip(lo, hi, strict=True)] for c, x in (("rid", rid), ("hash", h), ("n", n))}})
+        lo, hi = _edges(h[order])
+        count = np.repeat(hi - lo, hi - lo)
+        keep, count = order[count > 1], count[count > 1]
+        grade = np.ceil(np.log2(count + 1)).astype(np.uint8)
+        by = np.argsort(block[keep], kind="stable")
+        keep, grade = keep[by], grade[by]
+        h, delta, block = h[keep], delta[keep], block[keep]
+        lo, hi = _edges(block)
+        cols = {c: [x[i:j].tobytes() for i, j in zip(lo, hi, strict=True)] for c, x in (("hash", h), ("delta", delta), ("grade", grade))}
+        return pd.DataFrame({"block": block[lo], "bucket": np.full(len(lo), key[0], np.int32), **cols})
 
     return share
 
 
-def _gatherer(least: float):
-    """Sets of which at least that share is in other sets too, with the ids of those elements."""
+def _band(n: int) -> int:
+    return max(0, (n.bit_length() - 5) // 3)
+
+
+def bands(n: int, g: Fraction) -> range:
+    """Size bands of the smaller set of any similar pair with a set of n elements."""
+    return range(_band(max(1, ceil(g * n))), _band(n) + 1)
 
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        rid, n = np.frombuffer(b"".join(rows["rid"]), np.int64), np.frombuffer(b"".join(rows["n"]), np.uint32)
-        parts = [np.frombuffer(h, np.uint32) for h in rows["hash"]]
-        e = np.concatenate([p.astype(np.int64) | int(b) << 32 for p, b in zip(parts, rows["bucket"], strict=True)])
-        order = np.argsort(rid, kind="stable")
-        rid, n, e = rid[order], n[order], e[order]
-        lo = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else rid
-        hi = np.append(lo[1:], len(rid)) if len(rid) else rid
-        good = hi - lo >= np.ceil(least * n[lo] - 1e-9) if len(rid) else np.zeros(0, bool)
-        return pd.DataFrame({"rid": rid[lo[good]], "shared": [e[i:j].tobytes() for i, j in zip(lo[good], hi[good], strict=True)]})
 
-    return gather
+def _part(e: np.ndarray, band: int, seed: int) -> np.ndarray:
+    return (_mix(e.view(np.uint64) + np.uint64((seed + 1) * 0xD1B54A32D192ED03 % (1 << 64))) % np.uint64(4 << 3 * band)).astype(np.int64)
 
 
 @lru_cache(maxsize=100_000)
@@ -134,52 +178,92 @@ def plan(m: int, g: Fraction) -> tuple[tuple[int, int], ...]:
     for other in range(ceil(g * m), floor(m / g) + 1):
         o = ceil(g / (1 + g) * (m + other))
         if 0 < o <= min(m, other):
-            t = min(o, 3)
+            t = min(o, 2)
             best[t] = max(best.get(t, 0), m - o + t)
     return tuple(best.items())
 
 
-def bands(n: int, g: Fraction) -> range:
-    """Size bands (powers of 2) of the smaller set of any similar pair with a set of n elements."""
-    return range(max(1, ceil(g * n)).bit_length() - 1, n.bit_length())
-
-
-def signatures(h: np.ndarray, common: np.ndarray, g: Fraction, seed: int) -> list[int]:
-    """Signatures of the set with element hashes ``h``; ``common`` tells which of them other sets have."""
-    out: list[int] = []
-    order = np.argsort(h)
-    h, common = h[order], common[order]
-    mixed = (h.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03 * (seed + 1) % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    for band in bands(len(h), g):
-        n_parts = max(1, 1 << (band - 1)) if band else 1
-        part = (mixed % np.uint64(n_parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        p, e, ok = part[by], h[by].tolist(), common[by].tolist()
-        lo = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])).tolist()
-        for i, j in zip(lo, [*lo[1:], len(e)], strict=True):
-            for t, first in plan(j - i, g):
-                chosen = [x for x, y in zip(e[i : i + first], ok[i : i + first], strict=True) if y]
-                if len(chosen) >= t:
-                    where = int(p[i])
-                    out += [hash((seed, band, where, *c)) for c in combinations(chosen, t)]
-    return out
-
-
-def _signer(buckets: int, g: Fraction, seed: int, flagged: bool):
-    @F.pandas_udf("struct<sigs:array<long>,s0:long,s1:long>")
-    def sign(sets: pd.Series, shared: pd.Series) -> pd.DataFrame:
-        sigs, s0, s1 = [], [], []
-        for h, s in zip(sets, shared, strict=True):
-            h = np.asarray(h, np.int64)
-            common = np.isin(_element(h, buckets), np.frombuffer(s, np.int64)) if flagged else np.ones(len(h), bool)
-            sigs.append(signatures(h, common, g, seed))
-            bit = np.uint64(1) << (h.view(np.uint64) & np.uint64(63))
-            high = (h >> 6 & 1).astype(bool)
-            s0.append(int(np.bitwise_xor.reduce(bit[high]).view(np.int64)) if high.any() else 0)
-            s1.append(int(np.bitwise_xor.reduce(bit[~high]).view(np.int64)) if not high.all() else 0)
-        return pd.DataFrame({"sigs": sigs, "s0": s0, "s1": s1})
+def _profiler(buckets: int, width: int, g: Fraction):
+    """Of each text: how many runs it has, in all and by part, and their parity sketch."""
+    schema = pa.schema([("rid", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("counts", pa.binary())])
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, texts, fields = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for a, b, text, h in _sets(texts, fields, width):
+                e = _element(h, buckets)
+                mixed = _mix(e.view(np.uint64))
+                bit = np.uint64(1) << (mixed & np.uint64(63))
+                high = (mixed >> np.uint64(6) & np.uint64(1)).astype(bool)
+                lo, hi = _edges(text)
+                sketch = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), lo).view(np.int64) if len(lo) else lo for side in (high, ~high)]
+                counts = []
+                for i, j in zip(lo.tolist(), hi.tolist(), strict=True):
+                    each = [np.bincount(_part(e[i:j], band, 0), minlength=4 << 3 * band) for band in bands(j - i, g)]
+                    counts.append(np.concatenate(each).astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rid[a:b][text[lo]]), pa.array((hi - lo).astype(np.int32)), pa.array(sketch[0]), pa.array(sketch[1]), pa.array(counts, pa.binary())], schema=schema
+                )
+
+    return profile
+
+
+def _subsets(e: list[int], grade: list[int], m: int, g: Fraction, key: tuple, cool: list[int], warm: list[int]) -> None:
+    """Adds the signatures of a part with m elements, of which ``e``, rare ones first, are in other sets too."""
+    alone = m - len(e)
+    for t, first in plan(m, g):
+        for c in combinations(range(min(len(e), first - alone)), t) if first > alone else ():
+            (cool if (1 << grade[c[0]]) - 1 <= HOT else warm).append(hash((*key, *[e[i] for i in c])))
+
+
+def _signer(g: Fraction):
+    """Signatures of the sets of a block: ``cool`` ones have at most HOT sets each, of ``warm`` ones it isn't known."""
+
+    def sign(profiles: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(shared) and len(profiles):
+            h = [np.frombuffer(x, np.uint32).astype(np.int64) | int(b) << 32 for x, b in zip(shared["hash"], shared["bucket"], strict=True)]
+            e, delta = np.concatenate(h), np.frombuffer(b"".join(shared["delta"]), np.uint16)
+            grade = np.frombuffer(b"".join(shared["grade"]), np.uint8)
+            order = np.lexsort([e, grade, delta])
+            e, delta, grade = e[order], delta[order], grade[order]
+            lo = np.searchsorted(delta, np.arange(1025))
+            for rid, n, s0, s1, raw in profiles[["rid", "n", "s0", "s1", "counts"]].itertuples(index=False):
+                i, j = lo[rid & 1023], lo[(rid & 1023) + 1]
+                if (j - i) < ceil(g * n):
+                    continue
+                counts, cool, warm, at = np.frombuffer(raw, np.uint32), [], [], 0
+                for band in bands(n, g):
+                    part = _part(e[i:j], band, 0)
+                    by = np.argsort(part, kind="stable")
+                    el, gr, p = e[i:j][by].tolist(), grade[i:j][by].tolist(), part[by]
+                    for x, y in zip(*map(np.ndarray.tolist, _edges(p)), strict=True):
+                        k = int(p[x])
+                        _subsets(el[x:y], gr[x:y], int(counts[at + k]), g, (band, k), cool, warm)
+                    at += 4 << 3 * band
+                out.append((rid, n, s0, s1, cool, warm))
+        return pd.DataFrame(out, columns=["rid", "n", "s0", "s1", "cool", "warm"])
+
+    return sign
+
+
+def _resigner(g: Fraction, width: int, buckets: int, seed: int):
+    """Signatures by another partition, from the whole text and in the order of the hashes."""
+
+    @F.pandas_udf("array<long>")
+    def sign(texts: pd.Series, fields: pd.Series) -> pd.Series:
+        out = []
+        for t, f in zip(texts, fields, strict=True):
+            e = np.sort(_element(_runs_of([t], [f], width)[1], buckets))
+            sigs: list[int] = []
+            for band in bands(len(e), g):
+                part = _part(e, band, seed)
+                by = np.argsort(part, kind="stable")
+                el, p = e[by].tolist(), part[by]
+                for x, y in zip(*map(np.ndarray.tolist, _edges(p)), strict=True):
+                    _subsets(el[x:y], [0] * (y - x), y - x, g, (seed, band, int(p[x])), sigs, sigs)
+            out.append(sigs)
+        return pd.Series(out)
 
     return sign
 
@@ -210,23 +294,26 @@ def _pairer(g: float):
     return pairs
 
 
-def _candidates(sets: DataFrame, buckets: int, g: Fraction) -> DataFrame:
-    """Pairs ``x`` < ``y`` of ``sets`` (``rid``, ``n``, ``sh``, ``sigs``, ``s0``, ``s1``) that share a signature."""
-    rows = sets.select(F.explode(F.array_distinct("sigs")).alias("sig"), "rid", "n", "s0", "s1")
-    out = None
-    for level in range(LEVELS):
-        sizes = rows.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > 1)
-        alike = rows.join(sizes, "sig")  # a signature of one set leads nowhere
-        cool = alike if level == LEVELS - 1 else alike.filter(F.col("c") <= HOT)
+def _candidates(sets: DataFrame, texts: DataFrame, buckets: int, g: Fraction, width: int) -> DataFrame:
+    """Pairs ``x`` < ``y`` of ``sets`` that share a signature and that the sketches allow."""
+    kept = ["rid", "n", "s0", "s1"]
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
         bucket = F.pmod(F.col("sig"), F.lit(buckets)).cast("int")
-        pairs = cool.select(bucket.alias("bucket"), "sig", "rid", "n", "s0", "s1").groupBy("bucket").applyInPandas(_pairer(float(g)), "x long, y long")
-        out = pairs if out is None else out.unionByName(pairs)
-        hot = alike.filter(F.col("c") > HOT).select("sig", "rid")
-        if level == LEVELS - 1 or (hot := cut(hot)).isEmpty():
+        return rows.select(bucket.alias("bucket"), "sig", *kept).groupBy("bucket").applyInPandas(_pairer(float(g)), "x long, y long")
+
+    out = pairs_of(sets.select(F.explode("cool").alias("sig"), *kept))
+    rows = sets.filter(F.size("warm") > 0).select(F.explode("warm").alias("sig"), *kept)
+    for level in range(1, LEVELS + 1):
+        sizes = rows.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > 1)
+        alike = cut(rows.join(sizes, "sig"))
+        last = level == LEVELS
+        out = out.unionByName(pairs_of(alike if last else alike.filter(F.col("c") <= HOT)))
+        hot = alike.filter(F.col("c") > HOT).drop("c")
+        if last or hot.isEmpty():
             break
-        again = hot.select("rid").distinct().join(sets.select("rid", "n", "sh", "shared"), "rid")
-        again = cut(again.select("rid", "n", _signer(buckets, g, level + 1, True)("sh", "shared").alias("g")).select("rid", "n", "g.*"))
-        rows = hot.join(again, "rid").select("sig", F.explode(F.array_distinct("sigs")).alias("more"), "rid", "n", "s0", "s1").withColumn("sig", F.xxhash64("sig", "more")).drop("more")
+        again = hot.select("rid").distinct().join(texts.select("rid", "norm", "field"), "rid").select("rid", _resigner(g, width, buckets, level)("norm", "field").alias("more"))
+        rows = hot.join(again, "rid").withColumn("sig", F.explode(F.transform("more", lambda x: F.xxhash64("sig", x)))).drop("more")
     return out.distinct()
 
 
@@ -251,20 +338,31 @@ def near_duplicates(df: DataFrame, field: str, id_: str, text: str, threshold: F
     members = ids.join(texts.select("field", "digest", "rid"), ["field", "digest"]).select("field", "id", "rid")
 
     volume = texts.agg(F.sum(F.char_length("norm"))).first()[0] or 0
-    buckets = max(12, -(-volume // (6 * BUCKET)))  # about one word run for each 6 characters
-    full = texts.select("rid", "field", runs(F.split("norm", " "), F.col("field"), width).alias("sh"))
-    packed = full.select("rid", "sh").mapInArrow(_packer(buckets), "bucket int, base long, hash binary, delta binary, n binary")
-    shared = packed.groupBy("bucket").applyInPandas(_sharer(buckets), "home int, bucket int, rid binary, hash binary, n binary")
-    kept = shared.groupBy("home").applyInPandas(_gatherer(float(g)), "rid long, shared binary")
-    some = full.join(kept, "rid")
-    sets = cut(some.select("rid", "sh", "shared", F.size("sh").alias("n"), _signer(buckets, g, 0, True)("sh", "shared").alias("g")).select("rid", "n", "sh", "shared", "g.*"))
-    pairs = _candidates(sets, buckets, g)
-    a, b = sets.select(F.col("rid").alias("x"), F.col("sh").alias("xs")), sets.select(F.col("rid").alias("y"), F.col("sh").alias("ys"))
+    buckets = max(12, -(-volume // (6 * BUCKET)))  # about one run for each 6 characters
+    full, block = texts.select("rid", "norm", "field"), F.shiftright("rid", 10)
+    packed = full.mapInArrow(_packer(buckets, width), "bucket int, block long, hash binary, delta binary")
+    shared = packed.groupBy("bucket").applyInPandas(_sharer(), "block long, bucket int, hash binary, delta binary, grade binary")
+    profiles = full.mapInArrow(_profiler(buckets, width, g), "rid long, n int, s0 long, s1 long, counts binary").withColumn("block", block)
+    signed = profiles.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_signer(g), "rid long, n int, s0 long, s1 long, cool array<long>, warm array<long>")
+    pairs = cut(_candidates(cut(signed), texts, buckets, g, width))
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct()
+    compared = cut(full.join(ends, "rid").select("rid", _hasher(width)("norm", "field").alias("sh")))
+    a, b = compared.select(F.col("rid").alias("x"), F.col("sh").alias("xs")), compared.select(F.col("rid").alias("y"), F.col("sh").alias("ys"))
     both = pairs.join(a, "x").join(b, "y").withColumn("o", F.size(F.array_intersect("xs", "ys"))).withColumn("u", F.size("xs") + F.size("ys") - F.col("o"))
     good = both.filter(F.col("o") * g.denominator >= F.col("u") * g.numerator).select("x", "y", (F.col("o") / F.col("u")).alias("similarity"))
     return good, members
 
 
+def _hasher(width: int):
+    """The whole set of runs of each text."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series, fields: pd.Series) -> pd.Series:
+        return pd.Series([_runs_of([t], [f], width)[1] for t, f in zip(texts, fields, strict=True)])
+
+    return hashes
+
+
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of records ``field``, ``id_a`` < ``id_b``: between similar texts, and within a text."""
     a = members.select("field", F.col("id").alias("ia"), F.col("rid").alias("x"))

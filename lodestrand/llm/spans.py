@@ -21,28 +21,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.fmindex import DEPTH, FMIndex
+from lodestrand.llm.hashing import powers
 from lodestrand.session import cut
 
 LEAST, SHARD, STREAM, UNIT = 200, 1_500_000, 4_000_000, 2048
 BLOCK = 1 << 18  # characters that are hashed at once
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2^64."""
-    if not _powers or len(next(iter(_powers.values()))[0]) < n:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers.clear()
-        _powers[0] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers[0]
 
 
 def _seeds(points: np.ndarray, starts: np.ndarray, seed: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``points`` of the sampled substrings, ascending, and their hashes. ``starts``: where each text starts."""
     n = len(points)
-    up, down = _power(max(n + 1, BLOCK))
+    up, down = powers(max(n + 1, BLOCK))
     mask = np.uint64((1 << 20) - 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
     h = (sums[seed:] - sums[:-seed]) * down[: n - seed + 1]
