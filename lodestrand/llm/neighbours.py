@@ -51,8 +51,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
             near[a : a + 4096] = s.argmin(1)
             far[a : a + 4096] = s.min(1)
         count = np.bincount(near, minlength=len(c))
-        total = np.zeros_like(c, dtype=np.float64)
-        np.add.at(total, near, x)
+        total = np.stack([np.bincount(near, x[:, j], len(c)) for j in range(x.shape[1])], axis=1)
         c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c).astype(np.float32)
         empty = np.flatnonzero(count == 0)
         if len(empty):
@@ -206,6 +205,7 @@ def similar(df: DataFrame, id_: str, vector: str, k: int = 5, dim: int = 64, lis
     seen = seen.withColumn("at", F.explode(F.filter(here, lambda x: (x["turn"] == F.col("turn0")) | (F.col("owned") & (x["block"] == F.col("block0"))))))
     owns = F.col("owned") & (F.col("at.block") == F.col("block0"))
     both = seen.select("g", "at.block", "at.turn", "no", "cell", "vec", F.when(owns, F.col("codes")).alias("codes"), owns.alias("own"), (F.col("at.turn") == F.col("turn0")).alias("asks"))
+    both = both.repartition(max(12, 2 * len(np.unique(model.group))), "g", "block", "turn")  # by number: small in bytes, long in time
     hits = both.groupBy("g", "block", "turn").applyInPandas(_searcher(model, dim, k), "q long, c long, cos double")
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "c"))).filter(F.col("r") <= k).select("q", "c", "cos")
     # From distinct vectors back to rows: the least k + 1 members of a vector are all that an answer can hold.
