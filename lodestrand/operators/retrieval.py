@@ -26,10 +26,10 @@ def bm25(docs: DataFrame, id_: str, text: str, queries: DataFrame, k: int = 10,
     Ties go to the smaller id. Queries without a hit give no rows.
     """
     post = postings(docs, id_, text)
-    stats = docs.select(F.size(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")).alias("dl")).agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    stats = docs.select(F.size(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")).alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count("*").alias("n"))
-    raw = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5) + (1 if idf == "plus" else 0))
-    df = df.withColumn("N", stats.select("N").scalar()).withColumn("idf", raw).drop("N")
+    raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5) + (1 if idf == "plus" else 0))
+    df = df.withColumn("total", stats.select("total").scalar()).withColumn("idf", raw).drop("total")
     if idf == "okapi":
         df = df.withColumn("idf", F.when(F.col("idf") < 0, 0.25 * df.agg(F.avg("idf")).scalar()).otherwise(F.col("idf")))
     q = queries.select("qid", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))

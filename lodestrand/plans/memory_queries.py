@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,23 +85,23 @@ def r18_mmr(spark: SparkSession, d: str) -> DataFrame:
 # Filters
 
 
-def p1_filter_ast(spark: SparkSession, d: str) -> DataFrame:
+def pred1_filter_ast(spark: SparkSession, d: str) -> DataFrame:
     cond = filters.build({"AND": [{"event_type": ["click", "view"]}, {"value": {"gte": 10, "lt": 60}}, {"NOT": [{"k": {"gt": 50}}]}], "OR": [{"user_id": {"lt": 40}}, {"event_type": {"contains": "vi"}}]})
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     return e.filter(cond).select("event_id")
 
 
-def p8_default_status(spark: SparkSession, d: str) -> DataFrame:
+def pred8_default_status(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "memory_bank").withColumn("status", F.when(F.col("type") == "insight", "archived"))
     return t.filter(filters.default_status(F.col("status"))).select("memory_id").distinct()
 
 
-def p21_keyword_or_tag(spark: SparkSession, d: str) -> DataFrame:
+def pred21_keyword_or_tag(spark: SparkSession, d: str) -> DataFrame:
     hit = F.lower("content").contains("ledger") | F.coalesce(F.exists("tags", lambda t: F.lower(t) == "retry"), F.lit(False))
     return table(spark, d, "memory_bank").filter(hit).select("memory_id").distinct()
 
 
-def p26_relevance(spark: SparkSession, d: str) -> DataFrame:
+def pred26_relevance(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("user_id") % 3 == 0, F.lit("n/a")).otherwise((F.col("value") / 100).cast("string"))
     return table(spark, d, "events").filter(filters.kept_by_relevance(raw, 0.5)).select("event_id")
 
@@ -251,7 +253,7 @@ def t6_hottest(spark: SparkSession, d: str) -> DataFrame:
     return per.orderBy(F.desc("heat"), "user_id").limit(1)
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if len(k) > 2 and k[0] in "rpgjwdkxut" and k[1].isdigit()}
+QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"[a-z]+\d+_", k)}
 
 _Q = "q(qid, query) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(QUESTIONS)) + ")"
 
@@ -279,10 +281,10 @@ SQL = {
     "r29_l2": "WITH " + _V.format("list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("distance", "ASC"),
     "r26_tag_overlap": """WITH m AS (SELECT memory_id, list_distinct(flatten(list(tags))) AS tags FROM memory_bank WHERE tags IS NOT NULL GROUP BY 1), t AS (SELECT tag FROM (SELECT memory_id, unnest(tags) AS tag FROM m) WHERE tag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, tag LIMIT 3)
         SELECT memory_id, len(list_intersect(tags, (SELECT list(tag) FROM t)))::INTEGER AS overlap FROM m WHERE overlap > 0 ORDER BY overlap DESC, memory_id LIMIT 20""",
-    "p1_filter_ast": """SELECT event_id FROM (SELECT *, json_extract(props, '$.k')::INTEGER AS k FROM events) WHERE event_type IN ('click', 'view') AND value >= 10 AND value < 60 AND NOT coalesce(k > 50, false) AND (user_id < 40 OR contains(event_type, 'vi'))""",
-    "p8_default_status": "SELECT DISTINCT memory_id FROM memory_bank WHERE type IS NULL OR type <> 'insight'",
-    "p21_keyword_or_tag": "SELECT DISTINCT memory_id FROM memory_bank WHERE contains(lower(content), 'ledger') OR len(list_filter(coalesce(tags, []), lambda t: lower(t) = 'retry')) > 0",
-    "p26_relevance": "SELECT event_id FROM events WHERE user_id % 3 = 0 OR value / 100 >= 0.5",
+    "pred1_filter_ast": """SELECT event_id FROM (SELECT *, json_extract(props, '$.k')::INTEGER AS k FROM events) WHERE event_type IN ('click', 'view') AND value >= 10 AND value < 60 AND NOT coalesce(k > 50, false) AND (user_id < 40 OR contains(event_type, 'vi'))""",
+    "pred8_default_status": "SELECT DISTINCT memory_id FROM memory_bank WHERE type IS NULL OR type <> 'insight'",
+    "pred21_keyword_or_tag": "SELECT DISTINCT memory_id FROM memory_bank WHERE contains(lower(content), 'ledger') OR len(list_filter(coalesce(tags, []), lambda t: lower(t) = 'retry')) > 0",
+    "pred26_relevance": "SELECT event_id FROM events WHERE user_id % 3 = 0 OR value / 100 >= 0.5",
     "g5_neighbours": f"WITH {_EDGE} SELECT src AS id, dst AS neighbour FROM edge WHERE src IN ('n3', 'r1') UNION SELECT dst, src FROM edge WHERE dst IN ('n3', 'r1')",
     "g6_paths": f"""WITH RECURSIVE {_EDGE}, p AS (SELECT dst AS tip, [src, dst] AS path, 1 AS length FROM edge WHERE src = 'r1' UNION ALL SELECT e.dst, list_append(path, e.dst), length + 1 FROM p JOIN edge e ON e.src = p.tip WHERE length < 3 AND NOT list_contains(path, e.dst) AND p.tip <> 'n2')
         SELECT array_to_string(path, '>') AS path, length::INTEGER AS length FROM p WHERE tip = 'n2'""",

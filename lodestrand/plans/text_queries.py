@@ -89,7 +89,7 @@ def f47_char_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _flows(spark, d).filter(p.isNotNull() & g.isNotNull()).select("workflow_id", F.round(X.char_dice(p, g), 6).alias("dice"), F.round(X.jaccard(X.bigrams(p), X.bigrams(g)), 6).alias("bigram"))
 
 
-def p15_min_length(spark: SparkSession, d: str) -> DataFrame:
+def pred15_min_length(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memory_bank").filter(~X.too_short(F.col("content"))).select("memory_id").distinct()
 
 
@@ -97,7 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f1_normalize_answer, f2_token_f1, f3_set_f1, f4_matches, f5_max_over_golds, f6_parse_output, f14_standardize_string, f26_token_count, f27_estimate_tokens,
-        f28_truncate_head_tail, f30_signature, f31_name_to_key, f34_last_user_message, f41_valid_keys, f42_is_english, f44_rubrics_text, f47_char_similarity, p15_min_length,
+        f28_truncate_head_tail, f30_signature, f31_name_to_key, f34_last_user_message, f41_valid_keys, f42_is_english, f44_rubrics_text, f47_char_similarity, pred15_min_length,
     )
 }
 
