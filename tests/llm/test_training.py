@@ -43,7 +43,7 @@ def test_range_maximum():
     v = rnd.integers(0, 5, 200)
     ix = chunking.RangeMax(v, 200)
     for _ in range(500):
-        a, b = sorted(rnd.integers(0, 200, 2))
+        a, b = sorted(rnd.integers(0, 200, 2).tolist())
         b += 1
         assert ix.argmax(a, b) == a + max(i for i in range(b - a) if v[a + i] == v[a:b].max())
 
@@ -80,7 +80,8 @@ def test_near_duplicates_equal_brute_force(spark, g, width):
             for _ in range(rnd.randrange(1, 4)):
                 edited[rnd.randrange(len(edited))] = f"e{rnd.randrange(30)}"
             texts[f"{i:03}b{k}"] = ", ".join(edited).upper()
-    texts |= {"n": None, "e": "", "p": "... --- ...", "same1": texts["000a"], "same2": texts["000a"]}
+    whole = next(t for t in texts.values() if t.count(" ") > 30)
+    texts |= {"n": None, "e": "", "p": "... --- ...", "same1": whole, "same2": whole, "same3": whole.upper()}
     rows = [("f", i, t) for i, t in texts.items()] + [("f", "000a", texts["000a"]), (None, "x", "a b c d e"), ("f", None, "a b c d e")]
     df = spark.createDataFrame(rows, "field string, id string, text string")
     pairs, members = partenum.near_duplicates(df, "field", "id", "text", g, width)
