@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.session import cut
+
 RESERVED = {"record_key", "key", "parent_table", "parent_key", "pos", "place", "line_no"}
 ROW = "tbl string, line_no long, rkey string, key string, parent_table string, parent_key string, pos int, place string, attrs string"
 
@@ -247,7 +249,7 @@ def flat_tables(df: DataFrame, graph: Graph | None = None, keep: frozenset[str]
     graph = graph or analyse(df, **{k: v for k, v in names.items() if k in ("raw", "key_field", "envelope")})
     tabled = set(graph.tables(keep))
     built = tabled if only is None else tabled & only
-    all_rows = shred(df, graph, keep=keep, only=frozenset(built | ({"_rejected"} if only is None else set())), **names)
+    all_rows = cut(shred(df, graph, keep=keep, only=frozenset(built | ({"_rejected"} if only is None else set())), **names))
     out = {}
     for name in sorted(built):
         cols = _columns(graph, name, tabled)
