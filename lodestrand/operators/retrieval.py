@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """``id``, ``term``, ``tf``, ``dl``: an inverted index of lower-case words between white space."""
+def postings(docs: DataFrame, id_: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """``id``, ``term``, ``tf``, ``dl``: an inverted index of lower-case words between white space; with
+    ``only`` (``term``), of these terms, which are then joined before anything is shuffled."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     rows = docs.select(F.col(id_).alias("id"), words.alias("w")).withColumn("dl", F.size("w"))
-    return rows.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    each = rows.select("id", "dl", F.explode("w").alias("term"))
+    if only is not None:
+        each = each.join(only, "term", "left_semi")
+    return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, id_: str, text: str, queries: DataFrame, k: int = 10, idf: str = "plus", delta: float = 0.0) -> DataFrame:
@@ -25,14 +29,14 @@ def bm25(docs: DataFrame, id_: str, text: str, queries: DataFrame, k: int = 10,
     (n + .5) + 1), never negative; "okapi" lacks the 1 and takes a quarter of the mean idf for negative ones.
     Ties go to the smaller id. Queries without a hit give no rows.
     """
-    post = postings(docs, id_, text)
+    q = queries.select("qid", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
+    post = postings(docs, id_, text, q.select("term").distinct())
     stats = docs.select(F.size(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")).alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("n"))
+    df = (post if idf == "plus" else postings(docs, id_, text)).groupBy("term").agg(F.count("*").alias("n"))
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5) + (1 if idf == "plus" else 0))
     df = df.withColumn("total", stats.select("total").scalar()).withColumn("idf", raw).drop("total")
     if idf == "okapi":
         df = df.withColumn("idf", F.when(F.col("idf") < 0, 0.25 * df.agg(F.avg("idf")).scalar()).otherwise(F.col("idf")))
-    q = queries.select("qid", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
     asked = q.join(df, "term")
     hits = post.join(asked, "term").withColumn("avgdl", stats.select("avgdl").scalar())
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) + delta
