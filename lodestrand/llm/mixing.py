@@ -59,7 +59,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     whole = F.lit(total).cast("double") if total is not None else F.col("all_size").cast("double")
     by_source = sums.groupBy("source").agg(F.sum("size").alias("available"))
     grand = by_source.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("all_size"))
-    plan = wanted.join(by_source, "source", "left").withColumn("available", F.coalesce("available", F.lit(0))).crossJoin(F.broadcast(grand))  # one row
+    plan = wanted.join(by_source, "source", "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("all_size", grand.scalar())
     plan = plan.withColumn("budget", F.col("target_weight") * whole)
     epochs = F.when(F.col("available") > 0, F.least(F.col("max_repeat").cast("double"), F.floor(F.col("budget") / F.col("available")))).otherwise(0)
     plan = plan.withColumn("epochs", epochs.cast("int"))
@@ -84,7 +84,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     used = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
     report = plan.join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     reached = report.agg(F.sum("used").alias("all_used"))
-    report = report.crossJoin(F.broadcast(reached)).select(  # one row
+    report = report.withColumn("all_used", reached.scalar()).select(
         "source", "target_weight", "max_repeat", "available", "budget", "epochs", "used", F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.coalesce(F.try_divide(F.col("used"), F.col("all_used")), F.lit(0.0)).alias("actual_share"),
         ((F.col("used") == F.col("max_repeat") * F.col("available")) & (F.col("used") < F.col("budget"))).alias("short"),
