@@ -62,7 +62,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Every record with its class and the number of similar texts."""
+    """Every record with its class, the number of similar texts and its group of near-duplicates."""
     return classes(*_near(spark, d))
 
 

@@ -101,6 +101,38 @@ def test_near_duplicates_hot_signatures(spark, monkeypatch):
     assert {(r["id_a"], r["id_b"]) for r in partenum.expand(pairs, members).collect()} == brute(texts, Fraction(1, 2), 3)
 
 
+def grouped(ids, pairs):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_near_duplicates_come_out_in_groups(spark):
+    base = [f"w{i}" for i in range(40)]
+    texts = {"z": base, "m": ["x", "y", "v", *base[3:]], "c": ["x", "y", "v", *base[3:-8], *"abcdefgh"], "copy": base, "alone": words(random.Random(1), 40), "short": ["a", "b", "c"]}
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    df = spark.createDataFrame([("f", i, t) for i, t in texts.items()] + [("g", "other", texts["z"])], "field string, id string, text string")
+    pairs, members = partenum.near_duplicates(df, "field", "id", "text", Fraction(3, 5), 3)
+    want = brute(texts, Fraction(3, 5), 3)
+    assert ("c", "z") not in want and ("c", "m") in want and ("m", "z") in want
+    per = {(r["field"], r["id"]): r for r in partenum.classes(pairs, members).collect()}
+    assert {k: r["group"] for k, r in per.items()} == {("f", i): g for i, g in grouped(texts, want).items()} | {("g", "other"): "other"}
+    assert per["f", "z"]["class"] == per["f", "copy"]["class"] != per["f", "m"]["class"] and per["f", "m"]["links"] == 2
+
+
+def test_components_of_long_chains_and_hubs(spark):
+    rnd = random.Random(7)
+    n = rnd.sample(range(10_000), 400)
+    pairs = [*zip(n[:150], n[1:151], strict=True), *[(n[200], x) for x in n[201:300]], *[tuple(rnd.sample(n[300:], 2)) for _ in range(60)]]
+    pairs = [(min(p), max(p)) for p in pairs]
+    got = {r["rid"]: r["root"] for r in partenum.components(spark.createDataFrame(pairs, "x long, y long")).collect()}
+    ends = {x for p in pairs for x in p}
+    assert got == grouped(ends, pairs)
+    assert partenum.components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "field string, id string, text string")
     pairs, members = partenum.near_duplicates(df, "field", "id", "text")
