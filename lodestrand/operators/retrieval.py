@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.session import cut
+
 K1, B = 1.5, 0.75
+BLOCK = 512
 
 
 def postings(docs: DataFrame, id_: str, text: str, only: DataFrame | None = None) -> DataFrame:
@@ -86,6 +89,22 @@ def exact_search(bank: DataFrame, id_: str, vector: str, queries: np.ndarray, qi
     return top_k(rows, ["qid"], k)
 
 
+def search_all(bank: DataFrame, id_: str, vector: str, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """Top k of any number of queries (``qid``, unique, and ``v``): ``exact_search`` by blocks of about ``BLOCK``, of which
+    the driver holds one at a time. A query without a vector gives no rows; one meets vectors of its length only."""
+    q, out = queries.filter(F.col("v").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "v"), None
+    for dim, n in q.groupBy(F.size("v")).count().collect():
+        blocks = -(-n // BLOCK)
+        for b in range(blocks):
+            rows = q.filter((F.size("v") == dim) & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).collect()
+            if not rows:
+                continue
+            hits = exact_search(bank, id_, vector, [r["v"] for r in rows], [r["qid"] for r in rows], k, metric)
+            hits = cut(hits) if blocks > 1 else hits
+            out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else bank.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
+
+
 def rrf(lists: list[DataFrame], k: int, c: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (``qid``, ``id``, ``rank``): the sum of 1 / (c + rank)."""
     union = lists[0].select("qid", "id", "rank")

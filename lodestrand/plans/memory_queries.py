@@ -82,6 +82,53 @@ def r18_mmr(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.mmr(hits.join(_vectors(spark, d), F.col("id") == F.col("vec_id")).select("qid", "id", "score", F.col("embedding").alias("v")), 10)
 
 
+# The same searches over the whole job: every row whose id is divisible by 100 asks, against all rows.
+
+
+def _asking(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
+
+
+def _asking_texts(spark: SparkSession, d: str, col: str = "text") -> DataFrame:
+    return table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col(col).alias("query"))
+
+
+def r1_bm25_okapi_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", _asking_texts(spark, d), 10, "okapi").select("qid", "id", "score", "rank")
+
+
+def r2_bm25_plus_one_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", _asking_texts(spark, d), 10).select("qid", "id", "score", "rank")
+
+
+def r12_normalised_rank_whole(spark: SparkSession, d: str) -> DataFrame:
+    hits = r2_bm25_plus_one_whole(spark, d)
+    return hits.select("qid", "id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("qid")), 4).alias("score"))
+
+
+def r4_cosine_top_k_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search_all(_vectors(spark, d), "vec_id", "embedding", _asking(spark, d), 10).select("qid", "id", F.round("score", 4).alias("score"))
+
+
+def r9_inner_product_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search_all(_vectors(spark, d), "vec_id", "embedding", _asking(spark, d), 10, "ip").filter("score >= 0.2").select("qid", "id", F.round("score", 4).alias("score"))
+
+
+def r29_l2_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search_all(_vectors(spark, d), "vec_id", "embedding", _asking(spark, d), 10, "l2").select("qid", "id", F.round(-F.col("score"), 4).alias("distance"))
+
+
+def r17_rrf_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    a = retrieval.bm25(docs, "doc_id", "text", _asking_texts(spark, d), 20)
+    return retrieval.rrf([a, retrieval.bm25(docs, "doc_id", "source", _asking_texts(spark, d, "source"), 20)], 10).select("qid", "id", "score", "rank")
+
+
+def r18_mmr_whole(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.search_all(_vectors(spark, d), "vec_id", "embedding", _asking(spark, d), 20)
+    return retrieval.mmr(hits.join(_vectors(spark, d), F.col("id") == F.col("vec_id")).select("qid", "id", "score", F.col("embedding").alias("v")), 10)
+
+
 # Filters
 
 
@@ -317,3 +364,13 @@ SQL = {
     "t5_page": "SELECT s_suppkey, s_name FROM supplier ORDER BY s_name LIMIT 10 OFFSET 20",
     "t6_hottest": "SELECT user_id, round(count(*) FILTER (WHERE event_type = 'view') + count(*) + max(value), 4) AS heat FROM events GROUP BY 1 ORDER BY heat DESC, user_id LIMIT 1",
 }
+_QW = "q(qid, query) AS (SELECT doc_id, text FROM documents WHERE doc_id % 100 = 0)"
+_VW = _V.replace("a.vec_id < 5", "a.vec_id % 100 = 0")
+SQL |= {
+    "r1_bm25_okapi_whole": "WITH " + _bm25("okapi", q=_QW) + " SELECT qid, id, score, rank FROM top",
+    "r2_bm25_plus_one_whole": "WITH " + _bm25("plus", q=_QW) + " SELECT qid, id, score, rank FROM top",
+    "r12_normalised_rank_whole": "WITH " + _bm25("plus", q=_QW) + " SELECT qid, id, round(score / max(score) OVER (PARTITION BY qid), 4) AS score FROM top",
+    "r4_cosine_top_k_whole": "WITH " + _VW.format("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("score", "DESC"),
+    "r9_inner_product_whole": "WITH " + _VW.format("list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " SELECT * FROM (" + _TOP.format("score", "DESC") + ") WHERE score >= 0.2",
+    "r29_l2_whole": "WITH " + _VW.format("list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("distance", "ASC"),
+}

@@ -3,11 +3,13 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
 from lodestrand.operators import analytics, filters, graph, lifecycle, nested, retrieval
+from lodestrand.plans import memory_queries
 
 RAW = [
     json.dumps({"id": "a", "n": 1, "metadata": {"k": "x", "questions": [{"q": "1"}, {"q": "2"}]}, "per_turn_totals": [{"input_tokens_per_step": [1, None, "3"]}, None, {"input_tokens_per_step": 5}]}),
@@ -115,3 +117,23 @@ def test_bm25_ranks_rare_terms_first(spark):
     q = spark.createDataFrame([(0, "rare common"), (1, "absent")], "qid long, query string")
     got = retrieval.bm25(docs, "id", "text", q, 10).collect()
     assert got and min(got, key=lambda r: r["rank"])["id"] == 1 and {r["qid"] for r in got} == {0}
+
+
+def test_every_hundredth_vector_asks_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1001, 8))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got: dict[int, list[int]] = {}
+    for r in memory_queries.r29_l2_whole(spark, str(tmp_path)).orderBy("qid", "distance").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert set(got) == set(range(0, 1001, 100))
+    for i, ids in got.items():
+        assert set(ids) == set(np.argsort(((x - x[i]) ** 2).sum(1))[:10].tolist())
+
+
+def test_every_hundredth_document_asks(spark, tmp_path):
+    rows = [(i, f"word{i % 100} common", "log") for i in range(301)] + [(400, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = memory_queries.r2_bm25_plus_one_whole(spark, str(tmp_path)).filter("rank <= 4").collect()
+    assert {(r["qid"], r["id"]) for r in got} == {(q, i) for q in (0, 100, 200, 300) for i in (0, 100, 200, 300)}
