@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from lodestrand.session import cut
 
-OUT = "item string, part int, size long, level int, shard int, bin int, gap long"
+OUT = "no long, item string, part int, n_parts int, size long, level int, shard int, bin int, gap long"
+ITEM = ["no", "item", "part", "n_parts", "size"]
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +55,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def _packer(capacity: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["size", "item", "part"], ascending=[False, True, True], kind="stable")
+        items = items.sort_values(["size", "item", "part", "no"], ascending=[False, True, True, True], kind="stable")
         where, gaps = sum_of_squares(items["size"].to_numpy(), capacity)
-        return items[["item", "part", "size"]].assign(level=level, shard=int(key[0]), bin=where, gap=gaps[where] if len(where) else [])
+        return items[ITEM].assign(level=level, shard=int(key[0]), bin=where, gap=gaps[where] if len(where) else [])
 
     return pack
 
@@ -66,32 +67,29 @@ def pack(df: DataFrame, item: str, size: Column | str, capacity: int = 2048, sha
 
     An item within the capacity has one part. A larger one is cut into parts that fill a container each,
     and a rest that is packed like any item. Items of size 0, or without a size, need no container: they
-    come out with a null ``container``. The same item twice is two items of equal name. An empty table
-    gives an empty table.
+    come out with a null ``container``. The same item twice is two items of equal name, as are two
+    without a name. An empty table gives an empty table.
     """
     c, s = F.lit(capacity), F.coalesce((F.col(size) if isinstance(size, str) else size).cast("long"), F.lit(0))
-    sized = cut(df.select(F.col(f"`{item}`").cast("string").alias("item"), F.greatest(s, F.lit(0)).alias("total")))
+    sized = cut(df.select(F.col(f"`{item}`").cast("string").alias("item"), F.greatest(s, F.lit(0)).alias("total")).withColumn("no", F.monotonically_increasing_id()))
     parts = F.greatest(F.lit(1), F.ceil(F.col("total") / c)).cast("int")
     rows = sized.withColumn("n_parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     rows = rows.withColumn("size", F.least(c, F.col("total") - F.col("part") * c))
     none = F.col("size") == 0
     full = rows.filter((F.col("size") == c) | none).select(
-        "item", "part", "n_parts", "size", F.when(~none, F.concat_ws("-", F.lit("whole"), "item", "part")).alias("container"), F.when(~none, F.lit(0)).cast("long").alias("gap")
+        "item", "part", "n_parts", "size", F.when(~none, F.concat_ws("-", F.lit("whole"), "no", "part")).alias("container"), F.when(~none, F.lit(0)).cast("long").alias("gap")
     )
-    todo = rows.filter((F.col("size") > 0) & (F.col("size") < c)).select("item", "part", "size")
+    todo = rows.filter((F.col("size") > 0) & (F.col("size") < c)).select(*ITEM)
     shards = max(1, -(-todo.count() // shard_items))
     closed, level = None, 0
     while True:
-        shard = F.pmod(F.xxhash64("item", "part", F.lit(level)), F.lit(shards)).cast("int")
+        shard = F.pmod(F.xxhash64("no", "part", F.lit(level)), F.lit(shards)).cast("int")
         packed = cut(todo.withColumn("shard", shard).groupBy("shard").applyInPandas(_packer(capacity, level), OUT))
         good = packed if shards == 1 else packed.filter(F.col("gap") <= c * (1 - target))
         closed = good if closed is None else closed.unionByName(good)
         if shards == 1:
             break
-        todo = packed.filter(F.col("gap") > c * (1 - target)).select("item", "part", "size")
+        todo = packed.filter(F.col("gap") > c * (1 - target)).select(*ITEM)
         shards, level = -(-shards // fan_in), level + 1
-    n = rows.filter(F.col("part") == F.col("n_parts") - 1).select(F.col("item").alias("__i"), F.col("part").alias("__p"), "n_parts")
-    placed = closed.join(n, (F.col("item") == F.col("__i")) & (F.col("part") == F.col("__p"))).select(
-        "item", "part", "n_parts", "size", F.concat_ws("-", "level", "shard", "bin").alias("container"), "gap"
-    )
+    placed = closed.select("item", "part", "n_parts", "size", F.concat_ws("-", "level", "shard", "bin").alias("container"), "gap")
     return full.unionByName(placed)

@@ -212,6 +212,18 @@ def test_packing_places_everything_once_within_capacity(spark):
     assert packing.pack(df.limit(0), "id", "tokens", 100).count() == 0
 
 
+def test_packing_keeps_unnamed_and_repeated_items(spark):
+    items = [(None, 30), (None, 230), (None, 100), (None, 0), ("a", 60), ("a", 60), ("a", 100), ("a", 100), ("b", 250), ("b", 250)]
+    rows = packing.pack(spark.createDataFrame(items, "id string, tokens long"), "id", "tokens", 100).collect()
+    want = [(i, k, max(1, -(-n // 100)), min(100, n - 100 * k)) for i, n in items for k in range(max(1, -(-n // 100)))]
+    assert sorted(map(repr, want)) == sorted(repr((r["item"], r["part"], r["n_parts"], r["size"])) for r in rows)
+    bins: dict[str, int] = {}
+    for r in rows:
+        if r["container"]:
+            bins[r["container"]] = bins.get(r["container"], 0) + r["size"]
+    assert max(bins.values()) <= 100 and sum(bins.values()) == sum(n for _, n in items)
+
+
 def test_sum_of_squares_takes_the_least_sum():
     rnd = random.Random(6)
     sizes = np.array([rnd.randrange(1, 10) for _ in range(200)])
