@@ -35,6 +35,12 @@ def x9_time_range(spark: SparkSession, d: str) -> DataFrame:
     return e.filter("user_id between 10 and 20 and value > 50").select("event_id", "user_id")
 
 
+def x9_time_range_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The time-range read, over all users: from the first time on, up to but without the second."""
+    ts = F.col("ts")
+    return table(spark, d, "events").filter((ts >= F.to_timestamp(F.lit("2024-01-08"))) & (ts < F.to_timestamp(F.lit("2024-01-22")))).select("event_id", "user_id", "ts")
+
+
 def x10_sessions(spark: SparkSession, d: str) -> DataFrame:
     return updates.sessions(table(spark, d, "events"), "user_id", "ts", "12 hours")
 
@@ -195,6 +201,12 @@ def d12_history(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.when(F.col("event_type") == "signup", "ADD").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("event"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts")).alias("pos"))
 
 
+def d12_history_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The history of every user, in the order of the events."""
+    kind = F.when(F.col("event_type") == "signup", "ADD").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
+    return table(spark, d, "events").select("event_id", "user_id", kind.alias("event"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"))
+
+
 def d18_dedup_status(spark: SparkSession, d: str) -> DataFrame:
     first = Window.partitionBy("source", F.md5("text")).orderBy("doc_id")
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.when(F.row_number().over(first) == 1, "active").otherwise("duplicate").alias("status"))
@@ -240,5 +252,7 @@ SQL = {
         SELECT event_id, CASE WHEN coalesce(starts_with(ctx, prev), false) THEN substr(ctx, length(prev) + 1) ELSE ctx END AS delta FROM p""",
     "d11_bounded_deque": "SELECT memory_id, type FROM (SELECT DISTINCT memory_id, type, created_at FROM memory_bank WHERE content IS NOT NULL AND lower(trim(content, ' ')) NOT IN ('', 'none')) QUALIFY row_number() OVER (PARTITION BY type ORDER BY created_at DESC NULLS LAST, memory_id DESC) <= 25",
     "d12_history": "SELECT event_id, CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS event, row_number() OVER (ORDER BY ts)::INTEGER AS pos FROM events WHERE user_id = 7",
+    "x9_time_range_whole": "SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22'",
+    "d12_history_whole": "SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS pos FROM events",
     "d18_dedup_status": "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) = 1 THEN 'active' ELSE 'duplicate' END AS status FROM documents WHERE text IS NOT NULL",
 }

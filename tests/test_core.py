@@ -2,6 +2,7 @@
 
 import json
 import math
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
 from lodestrand.operators import analytics, filters, graph, lifecycle, nested, retrieval
-from lodestrand.plans import memory_queries
+from lodestrand.plans import memory_queries, more_queries
 
 RAW = [
     json.dumps({"id": "a", "n": 1, "metadata": {"k": "x", "questions": [{"q": "1"}, {"q": "2"}]}, "per_turn_totals": [{"input_tokens_per_step": [1, None, "3"]}, None, {"input_tokens_per_step": 5}]}),
@@ -137,3 +138,12 @@ def test_every_hundredth_document_asks(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = memory_queries.r2_bm25_plus_one_whole(spark, str(tmp_path)).filter("rank <= 4").collect()
     assert {(r["qid"], r["id"]) for r in got} == {(q, i) for q in (0, 100, 200, 300) for i in (0, 100, 200, 300)}
+
+
+def test_history_and_time_range_take_all_users(spark, tmp_path):
+    day = lambda n: datetime(2024, 1, n)
+    rows = [(1, 7, day(9), "signup"), (2, 8, day(8), "error"), (3, 8, day(7), "view"), (4, 900, day(21), "view"), (5, None, day(22), "view"), (6, 7, day(9), "click")]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["event_id"], r["event"], r["pos"]) for r in more_queries.d12_history_whole(spark, str(tmp_path)).collect()}
+    assert got == {(1, "ADD", 1), (6, "UPDATE", 2), (3, "UPDATE", 1), (2, "DELETE", 2), (4, "UPDATE", 1), (5, "UPDATE", 1)}
+    assert {r["event_id"] for r in more_queries.x9_time_range_whole(spark, str(tmp_path)).collect()} == {1, 2, 4, 6}
