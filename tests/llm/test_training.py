@@ -192,6 +192,20 @@ def test_neighbours_of_few(spark):
     assert {(r["id"], r["neighbour"], round(r["cos"], 5)) for r in two} == {("a", "b", -1.0), ("b", "a", -1.0)}
 
 
+def test_neighbours_ask_eight_percent_of_the_lists(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(vectors, lists, probes, groups):
+        raise Seen(lists, probes)
+
+    monkeypatch.setattr(neighbours, "fit", fit)
+    rows = [(str(i), v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(size=(4000, 8)))]
+    with pytest.raises(Seen) as seen:
+        neighbours.similar(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", dim=8)
+    assert seen.value.args == (126, 11)
+
+
 # 6. Containers
 
 
