@@ -43,10 +43,28 @@ def p5_questions(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_turns(spark: SparkSession, d: str) -> DataFrame:
     t = _tables(spark, d, "per_turn_totals")["per_turn_totals"]
-    return t.select(F.col("record_key").alias("id"), "parent_table", "parent_key", "pos", "place", "step_count", "latency_s", "input_tokens", "output_tokens")
+    return t.select(F.col("record_key").alias("id"), "key", "parent_table", "parent_key", "pos", "place", "step_count", "latency_s", "input_tokens", "output_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_records, p5_metadata, p5_questions, p5_turns)}
+def p5_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The whole steps table, nulls included; values as text, as records differ in their kind."""
+    t = _tables(spark, d, "input_tokens_per_step")["input_tokens_per_step"]
+    return t.select("record_key", "key", "parent_table", "parent_key", "pos", F.col("value").cast("string").alias("value"))
+
+
+def p5_metadata_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata table with its own key, to which the questions point."""
+    t = _tables(spark, d, "metadata")["metadata"]
+    return t.select("record_key", "key", "parent_key", "task_id", "context_id", "context_category", "sub_category")
+
+
+def p5_questions_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """The questions with the keys of their metadata rows."""
+    t = _tables(spark, d, "questions")["questions"]
+    return t.select("record_key", "key", "parent_table", "parent_key", "pos", "question_id", "question_type", "question_date")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_records, p5_metadata, p5_questions, p5_turns, p5_steps, p5_metadata_keyed, p5_questions_keyed)}
 
 _READ = """
 WITH lines AS (

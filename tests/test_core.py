@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
 from lodestrand.operators import analytics, filters, graph, lifecycle, nested, retrieval
-from lodestrand.plans import memory_queries, more_queries
+from lodestrand.plans import memory_queries, more_queries, nested_queries
 
 RAW = [
     json.dumps({"id": "a", "n": 1, "metadata": {"k": "x", "questions": [{"q": "1"}, {"q": "2"}]}, "per_turn_totals": [{"input_tokens_per_step": [1, None, "3"]}, None, {"input_tokens_per_step": 5}]}),
@@ -147,3 +147,14 @@ def test_history_and_time_range_take_all_users(spark, tmp_path):
     got = {(r["event_id"], r["event"], r["pos"]) for r in more_queries.d12_history_whole(spark, str(tmp_path)).collect()}
     assert got == {(1, "ADD", 1), (6, "UPDATE", 2), (3, "UPDATE", 1), (2, "DELETE", 2), (4, "UPDATE", 1), (5, "UPDATE", 1)}
     assert {r["event_id"] for r in more_queries.x9_time_range_whole(spark, str(tmp_path)).collect()} == {1, 2, 4, 6}
+
+
+def test_flat_table_queries_keep_keys_and_values(spark, tmp_path):
+    raw = json.dumps({"id": "a", "metadata": {"task_id": "t", "context_id": "c", "context_category": "x", "sub_category": "y", "questions": [{"question_id": "1", "question_type": "k", "question_date": "d"}]}, "per_turn_totals": [{"step_count": 2, "latency_s": 1.0, "input_tokens": 4, "output_tokens": 2, "input_tokens_per_step": [1, None, 3]}]})
+    _raw(spark, [raw]).write.parquet(f"{tmp_path}/tool_results.parquet")
+    turn = nested_queries.p5_turns(spark, str(tmp_path)).first()
+    steps = nested_queries.p5_steps(spark, str(tmp_path)).collect()
+    assert {(r["pos"], r["value"]) for r in steps if r["value"] is not None} == {(0, "1"), (2, "3")}
+    assert {(r["record_key"], r["parent_key"]) for r in steps} == {("a", turn["key"])}
+    meta, question = (f(spark, str(tmp_path)).first() for f in (nested_queries.p5_metadata_keyed, nested_queries.p5_questions_keyed))
+    assert question["parent_key"] == meta["key"] and meta["parent_key"] == "a"
