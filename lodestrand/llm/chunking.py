@@ -112,7 +112,7 @@ def _cutter(limit: int, overlap: int, slack: int):
     def cuts(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: None if x is None else [{"a": a, "b": b} for a, b in cut_points(x, limit, overlap, slack)])
 
-    return cuts
+    return cuts.asNondeterministic()  # else the filter that an explode implies would cut every text a second time
 
 
 def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> DataFrame:
@@ -120,8 +120,8 @@ def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int =
     (code points) and ``piece``. Where a column of such a name exists, that column stays and the new one
     is called ``<name>_new``.
 
-    A text within the limit is its own only piece and never leaves the JVM; an empty text gives one
-    empty piece, a null gives no row. There is no shuffle.
+    A text within the limit is its own only piece, and only a null goes to Python for it; an empty text gives
+    one empty piece, a null gives no row. There is no shuffle.
     """
     new = {c: f"{c}_new" if c in df.columns else c for c in ("piece_no", "n_pieces", "piece_start", "piece_end", "piece")}
     size, t = F.char_length(F.col(f"`{text}`")), F.col(f"`{text}`")

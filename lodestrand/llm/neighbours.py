@@ -1,16 +1,19 @@
 """The k most similar vectors of every vector: inverted file with product-quantised residuals.
 
-Fit (on a bounded sample, ``SAMPLE`` vectors at most): coarse centroids by k-means; the residuals' parts
-are quantised by ``PARTS`` codebooks of 256 centres each. The model is at most a few MB, whatever the data.
+Fit (on a bounded sample): coarse centroids by two levels of k-means; the residuals' parts are quantised by
+``PARTS`` codebooks of 256 centres each. There are about 2 sqrt(n) lists, each with ``PER_LIST`` sample
+vectors at least, so the sample is of min(n, PER_LIST x lists) vectors and never of more than ``SAMPLE``;
+that bounds the lists too, and the model to a few MB.
 Index: every distinct vector is put into the list of its nearest centroid, with the codes of its residual.
-Search: every vector asks its ``probes`` nearest lists. Per list, asymmetric distance tables (the query's
-exact parts against the codebooks) score all codes; the best ``RERANK`` candidates are scored again with
-their exact vectors, and the best k of all lists stay.
+Search: every vector asks its nearest lists, ``PROBES`` times the square root of their number. Per list,
+asymmetric distance tables (the query's exact parts against the codebooks) score all codes; the best
+``RERANK`` candidates are scored again with their exact vectors, and the best k of all lists stay. A query
+thus scores about n^(3/4) codes, until n exceeds (SAMPLE / PER_LIST / 2)^2, some 25 million.
 
 Lists near each other form a group, of about ``GROUP`` vectors, so that a query goes to few groups. A group
 is searched in one task, unless it came out several times as large: then its rows are parted into blocks
-and its queries into turns, and each turn asks each block. Equal vectors are one vector with members, so a vector that a third of all rows has is
-indexed and asked once.
+and its queries into turns, and each turn asks each block. Vectors of equal direction (to six digits) are one
+vector with members, so a vector that a third of all rows has is indexed and asked once.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from lodestrand.session import cut
 
-SAMPLE, PARTS, RERANK, GROUP = 40_000, 16, 96, 10_000
+SAMPLE, PER_LIST, PROBES, PARTS, RERANK, GROUP = 200_000, 40, 1.6, 16, 96, 10_000
+QUERIES = 256  # asked at once when recall is measured
+DIGITS = 6  # of a cosine, and of the vectors that count as equal
 
 
 def usable(v, dim: int):
@@ -59,6 +64,19 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
+def coarse(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """About k centres: of sqrt(k) first, then some for the vectors next to each, by their number."""
+    if k <= 1024:
+        return kmeans(x, k, 8, seed)
+    top = kmeans(x, int(k**0.5), 8, seed)
+    half, near = (top * top).sum(1) / 2, np.empty(len(x), np.int64)
+    for a in range(0, len(x), 4096):
+        near[a : a + 4096] = (half - x[a : a + 4096] @ top.T).argmin(1)
+    order = np.argsort(near, kind="stable")
+    parts = np.split(order, np.cumsum(np.bincount(near, minlength=len(top)))[:-1])
+    return np.concatenate([kmeans(x[p], max(1, round(k * len(p) / len(x))), 8, seed) for p in parts if len(p)])
+
+
 @dataclass
 class Model:
     centres: np.ndarray  # lists x dim
@@ -93,9 +111,9 @@ def fit(vectors: np.ndarray, lists: int, probes: int, groups: int, seed: int = 5
     parts = PARTS if dim % PARTS == 0 else 1
     if not len(vectors):
         return Model(np.zeros((1, dim), np.float32), np.zeros(1, np.int64), np.zeros((parts, 1, dim // parts), np.float32), 1)
-    centres = kmeans(vectors, lists, 8, seed)
+    centres = coarse(vectors, lists, seed)
     model = Model(centres, np.zeros(len(centres), np.int64), np.zeros((parts, 1, dim // parts), np.float32), probes)
-    residual = (vectors - centres[model.nearest(vectors, 1)[:, 0]]).reshape(len(vectors), parts, -1)[:20_000]
+    residual = (vectors - centres[model.nearest(vectors, 1)[:, 0]]).reshape(len(vectors), parts, -1)[:40_000]
     books = [kmeans(np.ascontiguousarray(residual[:, p]), 256, 6, seed + p) for p in range(parts)]
     width = max(map(len, books))
     model.books = np.stack([np.concatenate([b, np.repeat(b[:1], width - len(b), 0)]) for b in books])
@@ -105,33 +123,55 @@ def fit(vectors: np.ndarray, lists: int, probes: int, groups: int, seed: int = 5
     return model
 
 
-def _placer(model: Model, dim: int):
-    """The list of each vector, its group, its codes, and the groups that it asks."""
+def _placer(models: list[Model], first: list[int], dim: int):
+    """The list of each vector, its group, its codes, and the groups that it asks. Groups are numbered from ``first``."""
 
-    @F.pandas_udf("struct<vec:binary,cell:int,grp:int,codes:binary,ask:array<int>>")
-    def place(vectors: pd.Series) -> pd.DataFrame:
-        x = _unit(np.stack(vectors.to_numpy())) if len(vectors) else np.zeros((0, dim), np.float32)
-        near = np.concatenate([model.nearest(x[a : a + 2048], model.probes) for a in range(0, len(x), 2048)]) if len(x) else np.zeros((0, 1), np.int64)
-        cell = near[:, 0]
-        codes = model.encode(x, cell)
-        return pd.DataFrame(
-            {"vec": [v.tobytes() for v in x], "cell": cell.astype(np.int32), "grp": model.group[cell].astype(np.int32), "codes": [c.tobytes() for c in codes], "ask": [np.unique(g).tolist() for g in model.group[near]]}
-        )
+    @F.pandas_udf("struct<unit:binary,cell:int,grp:int,codes:binary,ask:array<int>>")
+    def place(fields: pd.Series, vectors: pd.Series) -> pd.DataFrame:
+        n = len(vectors)
+        unit, cell, grp, codes, ask = ([None] * n for _ in range(5))
+        for f in fields.unique():
+            at = np.flatnonzero(fields.to_numpy() == f)
+            model, x = models[f], np.frombuffer(b"".join(vectors.iloc[at]), np.float32).reshape(-1, dim)
+            near = np.concatenate([model.nearest(x[a : a + 2048], model.probes) for a in range(0, len(x), 2048)])
+            groups = np.sort(model.group[near], axis=1) + first[f]
+            new = np.ones(groups.shape, bool)
+            new[:, 1:] = groups[:, 1:] != groups[:, :-1]
+            asked = np.split(groups[new].astype(np.int32), np.cumsum(new.sum(1))[:-1])
+            own, code = near[:, 0], model.encode(x, near[:, 0]).tobytes()
+            width = len(code) // max(1, len(x))
+            for k, i in enumerate(at.tolist()):
+                cell[i], grp[i], codes[i], ask[i] = int(own[k]), int(model.group[own[k]]) + first[f], code[k * width : (k + 1) * width], asked[k]
+        return pd.DataFrame({"unit": vectors, "cell": cell, "grp": grp, "codes": codes, "ask": ask})
 
     return place
 
 
-def _searcher(model: Model, dim: int, k: int):
-    parts, width = model.books.shape[0], model.books.shape[2]
-    books = np.ascontiguousarray(model.books.transpose(0, 2, 1))
+def _united():
+    """Unit vectors as bytes, and rounded to whole ``DIGITS``-th parts, as bytes too."""
+
+    @F.pandas_udf("struct<unit:binary,rounded:binary>")
+    def united(vectors: pd.Series) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"unit": [], "rounded": []}, dtype=object)
+        unit, width = _unit(np.stack(vectors.to_numpy())), 4 * len(vectors.iloc[0])
+        both = unit.tobytes(), np.round(unit.astype(np.float64) * 10**DIGITS).astype(np.int32).tobytes()
+        return pd.DataFrame({name: [raw[a : a + width] for a in range(0, len(raw), width)] for name, raw in zip(("unit", "rounded"), both, strict=True)})
+
+    return united
+
 
+def _searcher(models: list[Model], dim: int, k: int):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
+        model = models[rows["f"].iloc[0]]
+        parts, width = model.books.shape[0], model.books.shape[2]
+        books = np.ascontiguousarray(model.books.transpose(0, 2, 1))
         own, asks = rows[rows["own"]].sort_values("cell", kind="stable"), rows[rows["asks"]]
-        ids, cells = own["no"].to_numpy(), own["cell"].to_numpy()
-        x = np.frombuffer(b"".join(own["vec"]), np.float32).reshape(-1, dim)
+        ids, ties, cells = own["no"].to_numpy(), own["h1"].to_numpy(), own["cell"].to_numpy()
+        x = np.frombuffer(b"".join(own["unit"]), np.float32).reshape(-1, dim)
         codes = np.ascontiguousarray(np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(-1, parts).T).astype(np.intp)
         lo, hi = np.searchsorted(cells, np.arange(model.lists)), np.searchsorted(cells, np.arange(model.lists), "right")
-        qid, q = asks["no"].to_numpy(), np.frombuffer(b"".join(asks["vec"]), np.float32).reshape(-1, dim)
+        qid, q = asks["no"].to_numpy(), np.frombuffer(b"".join(asks["unit"]), np.float32).reshape(-1, dim)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a in range(0, len(q), 1024):
             qs, qi = q[a : a + 1024], qid[a : a + 1024]
@@ -161,56 +201,103 @@ def _searcher(model: Model, dim: int, k: int):
                 if len(cand) > RERANK:
                     cand = cand[np.argpartition(s, len(s) - RERANK)[len(s) - RERANK :]]
                 cand = cand[ids[cand] != qi[w]]
-                exact = x[cand].astype(np.float64) @ qs[w].astype(np.float64)
-                top = np.lexsort([ids[cand], -exact])[:k]
-                out.append((np.full(len(top), qi[w]), ids[cand[top]], exact[top]))
+                exact = np.round(x[cand].astype(np.float64) @ qs[w].astype(np.float64), DIGITS)
+                top = np.lexsort([ties[cand], -exact])[:k]
+                out.append((np.full(len(top), qi[w]), ids[cand[top]], exact[top], ties[cand[top]]))
         if not out:
-            return pd.DataFrame({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "cos": np.zeros(0)})
-        return pd.DataFrame(dict(zip(("q", "c", "cos"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            return pd.DataFrame({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "cos": np.zeros(0), "tie": np.zeros(0, np.int64)})
+        return pd.DataFrame(dict(zip(("q", "c", "cos", "tie"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return search
 
 
-def similar(df: DataFrame, id_: str, vector: str, k: int = 5, dim: int = 64, lists: int | None = None, probes: int | None = None) -> DataFrame:
-    """For every row with a usable vector, its k most similar other rows: ``id``, ``rank`` (from 1),
-    ``neighbour``, ``cos``. Ids are compared as text; equal cosines go by the neighbour's id.
+def similar(df: DataFrame, id_: str, vectors: list[str], k: int = 5, dim: int = 64, lists: int | None = None, probes: int | None = None) -> DataFrame:
+    """For each of the columns ``vectors`` and every row with a usable vector in it, its k most similar other
+    rows: ``field`` (the column), ``id``, ``rank`` (from 1), ``neighbour``, ``cos`` (to six digits). Ids are
+    compared as text. Vectors of equal cosine go by a hash of their direction; rows of equal direction by their id.
 
     A row without an id, or whose vector is null, of another length, not finite or all zero, takes no
-    part. Rows that repeat an id are one (if their vectors differ, any one of these). Fewer than k
+    part. Rows that repeat an id are one (if their vectors differ, the one of the least hash). Fewer than k
     neighbours come out where there are no more rows. Unless told otherwise, there are about 2 sqrt(n)
-    lists, of which 8 %, and 8 at least, are asked.
+    lists, of which 1.6 times the square root of their number, and 8 at least, are asked.
     """
-    v = usable(F.col(f"`{vector}`").cast("array<float>"), dim)
-    rows = df.select(F.col(f"`{id_}`").cast("string").alias("id"), v.alias("v")).filter(F.col("v").isNotNull() & F.col("id").isNotNull())
-    rows = rows.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
-    ids = rows.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.*")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), usable(F.col(f"`{v}`").cast("array<float>"), dim).alias("v")) for i, v in enumerate(vectors)]))
+    rows = df.select(F.col(f"`{id_}`").cast("string").alias("id"), each.alias("e")).select("id", "e.f", "e.v").filter(F.col("v").isNotNull() & F.col("id").isNotNull())
+    rows = rows.select("id", "f", _united()("v").alias("u")).select("id", "f", "u.unit", F.xxhash64("u.rounded").alias("h1"), F.xxhash64(F.lit(1), "u.rounded").alias("h2"))
+    ids = rows.groupBy("f", "id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("f", "id", "h.*")
     # Equal vectors are one; what is written here keeps its number.
-    distinct = cut(rows.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(ids.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").withColumn("no", F.monotonically_increasing_id()))
-    members = cut(ids.join(distinct.select("h1", "h2", "no"), ["h1", "h2"]).select("id", "no"))
-    n = distinct.count()
-    share = int(min(1.0, 1.05 * SAMPLE / max(n, 1)) * (1 << 20))
-    got = distinct.filter(F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 20)) < share).select("v").limit(SAMPLE).toArrow()["v"].combine_chunks()
-    vectors = _unit(got.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)) if n else np.zeros((0, dim), np.float32)
-    lists = lists or max(1, int(2 * n**0.5))
-    model = fit(vectors, lists, probes or min(lists, max(8, -(-lists * 8 // 100))), max(1, -(-n // GROUP)))
-    placed = cut(distinct.select("no", _placer(model, dim)("v").alias("p")).select("no", "p.*"))
+    one = rows.groupBy("f", "h1", "h2").agg(F.min_by("unit", "id").alias("unit")).join(ids.select("f", "h1", "h2").distinct(), ["f", "h1", "h2"], "left_semi")
+    distinct = cut(one.select("f", "h1", "h2", "unit", F.monotonically_increasing_id().alias("no")))
+    members = cut(ids.join(distinct.select("f", "h1", "h2", "no"), ["f", "h1", "h2"]).select("f", "id", "no"))
+    counts = dict(distinct.groupBy("f").agg(F.count("*")).collect())  # a row for each of the columns asked
+    models, first, groups = [], [], 0
+    for f in range(len(vectors)):
+        n = counts.get(f, 0)
+        wanted = lists or max(1, min(int(2 * n**0.5), SAMPLE // PER_LIST))
+        size = min(n, SAMPLE, max(PER_LIST * wanted, 40_000))
+        share = int(min(1.0, 1.05 * size / max(n, 1)) * (1 << 20)) + 1
+        got = distinct.filter((F.col("f") == f) & (F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 20)) < share)).select("unit").limit(size).toArrow()["unit"] if n else []
+        x = np.frombuffer(b"".join(v.as_py() for v in got), np.float32).reshape(-1, dim)
+        models.append(fit(x, wanted, probes or min(wanted, max(8, round(PROBES * wanted**0.5))), max(1, -(-n // GROUP))))
+        first.append(groups)
+        groups += int(models[-1].group.max()) + 1
+    placed = cut(distinct.select("f", "no", "h1", _placer(models, first, dim)("f", "unit").alias("p")).select("f", "no", "h1", "p.*"))
     # A large group is parted into blocks of its rows and turns of its queries; every turn asks every block.
     load = placed.select("grp", F.explode("ask").alias("g")).groupBy("g").agg(F.count("*").alias("asks"), F.count_if(F.col("g") == F.col("grp")).alias("rows"))
     load = load.select("g", F.ceil(F.col("rows") / (4 * GROUP)).cast("int").alias("blocks"), F.ceil(F.col("asks") / (4 * GROUP)).cast("int").alias("turns"))
-    seen = placed.select("no", "cell", "vec", "codes", "grp", F.explode("ask").alias("g")).join(load.filter(F.col("blocks") > 0), "g")
+    seen = placed.withColumn("g", F.explode("ask")).drop("ask").join(load.filter(F.col("blocks") > 0), "g")
     block, turn = F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64(F.lit(2), "no"), F.col("turns")).cast("int")
     seen = seen.withColumns({"block0": block, "turn0": turn, "owned": F.col("g") == F.col("grp")})
     # An owned row is indexed in its block for every turn, and asks in its turn in every block; one row does both where these meet.
     here = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: F.struct(b.alias("block"), t.alias("turn")))))
     seen = seen.withColumn("at", F.explode(F.filter(here, lambda x: (x["turn"] == F.col("turn0")) | (F.col("owned") & (x["block"] == F.col("block0"))))))
     owns = F.col("owned") & (F.col("at.block") == F.col("block0"))
-    both = seen.select("g", "at.block", "at.turn", "no", "cell", "vec", F.when(owns, F.col("codes")).alias("codes"), owns.alias("own"), (F.col("at.turn") == F.col("turn0")).alias("asks"))
-    hits = both.groupBy("g", "block", "turn").applyInPandas(_searcher(model, dim, k), "q long, c long, cos double")
-    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "c"))).filter(F.col("r") <= k).select("q", "c", "cos")
+    both = seen.select("f", "g", "at.block", "at.turn", "no", "h1", "cell", "unit", F.when(owns, F.col("codes")).alias("codes"), owns.alias("own"), (F.col("at.turn") == F.col("turn0")).alias("asks"))
+    hits = both.groupBy("g", "block", "turn").applyInPandas(_searcher(models, dim, k), "q long, c long, cos double, tie long")
+    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "tie", "c"))).filter(F.col("r") <= k).select("q", "c", "cos")
     # From distinct vectors back to rows: the least k + 1 members of a vector are all that an answer can hold.
     few = members.withColumn("m", F.row_number().over(Window.partitionBy("no").orderBy("id"))).filter(F.col("m") <= k + 1).select(F.col("no").alias("c"), F.col("id").alias("neighbour"))
-    mine = members.select(F.col("no").alias("q"), "id")
-    near = mine.join(hits, "q").join(few, "c").select("id", "neighbour", "cos")
-    same = mine.join(few, F.col("q") == F.col("c")).filter(F.col("id") != F.col("neighbour")).select("id", "neighbour", F.lit(1.0).alias("cos"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "neighbour"))
-    return near.unionByName(same).withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "cos")
+    mine = members.select("f", F.col("no").alias("q"), "id")
+    near = mine.join(hits, "q").join(few, "c").select("f", "id", "neighbour", "cos")
+    same = mine.join(few, F.col("q") == F.col("c")).filter(F.col("id") != F.col("neighbour")).select("f", "id", "neighbour", F.lit(1.0).alias("cos"))
+    rank = F.row_number().over(Window.partitionBy("f", "id").orderBy(F.desc("cos"), "neighbour"))
+    name = F.element_at(F.array(*map(F.lit, vectors)), F.col("f") + 1)
+    return near.unionByName(same).withColumn("rank", rank).filter(F.col("rank") <= k).select(name.alias("field"), "id", "rank", "neighbour", "cos")
+
+
+def recall(found: DataFrame, df: DataFrame, id_: str, vectors: list[str], asked: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
+    """How much of the true answers ``found`` (as made by :func:`similar`) has, for the ids in ``asked`` (column
+    ``id``): a row for each column of ``vectors`` with ``field``, ``asked`` and ``recall``. An answer counts if its
+    cosine reaches that of the k-th true one. The queries are held against all rows in blocks of ``QUERIES``.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("field"), usable(F.col(f"`{v}`").cast("array<float>"), dim).alias("v")) for v in vectors]))
+    rows = df.select(F.col(f"`{id_}`").cast("string").alias("id"), each.alias("e")).select("id", "e.field", "e.v").filter(F.col("v").isNotNull() & F.col("id").isNotNull())
+    rows = rows.groupBy("field", "id").agg(F.first("v").alias("v")).select("field", "id", _united()("v").unit.alias("unit"))
+    blocks = max(1, -(-asked.count() // QUERIES))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    queries = rows.join(asked.select("id"), "id", "left_semi").groupBy("field", block.alias("block")).agg(F.collect_list(F.struct("id", "unit")).alias("queries"))
+
+    def best(batches):
+        for b in batches:
+            out = []
+            for queries_, part in b.groupby(["field", "block"]):
+                qs = part["queries"].iloc[0]
+                q = np.frombuffer(b"".join(x["unit"] for x in qs), np.float32).reshape(-1, dim).astype(np.float64)
+                s = np.round(np.frombuffer(b"".join(part["unit"]), np.float32).reshape(-1, dim).astype(np.float64) @ q.T, DIGITS)
+                ids = part["id"].to_numpy()
+                for j, x in enumerate(qs):
+                    col = np.where(ids == x["id"], -2.0, s[:, j])
+                    top = np.argpartition(-col, min(k, len(col) - 1))[:k]
+                    out += [(queries_[0], x["id"], float(c)) for c in col[top] if c > -2]
+            yield pd.DataFrame(out, columns=["field", "id", "cos"])
+
+    if blocks <= 64:  # some 5 MB a column
+        queries = F.broadcast(queries)
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
+        queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(255))).cast("long"))
+    hits = rows.join(queries, "field" if blocks <= 64 else ["field", "salt"]).drop("salt").mapInPandas(best, "field string, id string, cos double")
+    by = Window.partitionBy("field", "id").orderBy(F.desc("cos"))
+    kth = hits.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k).groupBy("field", "id").agg(F.min("cos").alias("least"), F.count("*").alias("true"))
+    got = kth.join(found.select("field", "id", "cos"), ["field", "id"], "left").groupBy("field", "id").agg(F.first("true").alias("true"), F.count_if(F.col("cos") >= F.col("least") - 2e-6).alias("hit"))
+    return got.groupBy("field").agg(F.count("*").alias("asked"), (F.sum(F.least("hit", "true")) / F.sum("true")).alias("recall"))

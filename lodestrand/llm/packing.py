@@ -5,10 +5,11 @@ of open containers with gap g. Opening a container counts as filling one of gap
 that is exactly full is closed. The rule keeps many different gaps in stock, so that later items find one
 that they fill, and it needs only the counts, not the containers.
 
-Items are dealt to shards by hash, a bounded number to each, and every shard packs its own. Containers
-that stay emptier than ``target`` after that are opened again: their items go on to the next level, where
-there are fewer shards, until one shard is left. What goes on is a small part of what came in, as an item
-is never moved out of a full container.
+Items are dealt to shards by hash, about ``shard_items`` to each, and every shard packs its own. Containers
+that stay emptier than ``target`` after that are opened again: their items go on to the next level, again
+about ``shard_items`` to a shard. That ends with a single shard, or where the shards would be more than half
+as many as before: items most of which can't be combined (all just over half the capacity, for instance)
+stay where they are, as other items of their kind would fill their containers no better.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def _packer(capacity: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.Dat
     return pack
 
 
-def pack(df: DataFrame, item: str, size: Column | str, capacity: int = 2048, shard_items: int = 20_000, target: float = 0.99, fan_in: int = 8) -> DataFrame:
+def pack(df: DataFrame, item: str, size: Column | str, capacity: int = 2048, shard_items: int = 20_000, target: float = 0.99) -> DataFrame:
     """A row for each part of each item: ``item`` (text), ``part``, ``n_parts``, ``size``, ``container``, ``gap``.
 
     An item within the capacity has one part. A larger one is cut into parts that fill a container each,
@@ -80,16 +81,17 @@ def pack(df: DataFrame, item: str, size: Column | str, capacity: int = 2048, sha
         "item", "part", "n_parts", "size", F.when(~none, F.concat_ws("-", F.lit("whole"), "no", "part")).alias("container"), F.when(~none, F.lit(0)).cast("long").alias("gap")
     )
     todo = rows.filter((F.col("size") > 0) & (F.col("size") < c)).select(*ITEM)
-    shards = max(1, -(-todo.count() // shard_items))
-    closed, level = None, 0
+    shards, level, closed = max(1, -(-todo.count() // shard_items)), 0, None
     while True:
         shard = F.pmod(F.xxhash64("no", "part", F.lit(level)), F.lit(shards)).cast("int")
         packed = cut(todo.withColumn("shard", shard).groupBy("shard").applyInPandas(_packer(capacity, level), OUT))
-        good = packed if shards == 1 else packed.filter(F.col("gap") <= c * (1 - target))
+        emptier = packed.filter(F.col("gap") > c * (1 - target))
+        fewer = max(1, -(-emptier.count() // shard_items)) if shards > 1 else 1
+        last = fewer * 2 > shards
+        good = packed if last else packed.filter(F.col("gap") <= c * (1 - target))
         closed = good if closed is None else closed.unionByName(good)
-        if shards == 1:
+        if last:
             break
-        todo = packed.filter(F.col("gap") > c * (1 - target)).select(*ITEM)
-        shards, level = -(-shards // fan_in), level + 1
+        todo, shards, level = emptier.select(*ITEM), fewer, level + 1
     placed = closed.select("item", "part", "n_parts", "size", F.concat_ws("-", "level", "shard", "bin").alias("container"), "gap")
     return full.unionByName(placed)

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.chunking import split_oversized
 from lodestrand.llm.mixing import Mix, mix
-from lodestrand.llm.neighbours import similar
+from lodestrand.llm.neighbours import recall, similar
 from lodestrand.llm.packing import pack
 from lodestrand.llm.partenum import classes, near_duplicates
 from lodestrand.llm.partenum import expand as expand_near
 from lodestrand.llm.quantiles import above, merged, percentiles, sketches
 from lodestrand.llm.spans import expand, shared_pairs, shared_spans
 from lodestrand.llm.tokens import token_count
-from lodestrand.session import cut
 from lodestrand.sources.tables import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -101,11 +100,14 @@ FIELDS = ["query_embedding", "plan_embedding", "search_plan_embedding"]
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar workflows of every workflow, by each of the three vectors."""
-    flows, out = table(spark, d, "workflow_instances"), None
-    for f in FIELDS:
-        one = similar(flows.select("workflow_id", f), "workflow_id", f).select(F.lit(f).alias("field"), F.col("id").alias("workflow_id"), "rank", "neighbour", "cos")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return similar(table(spark, d, "workflow_instances").select("workflow_id", *FIELDS), "workflow_id", FIELDS).withColumnRenamed("id", "workflow_id")
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the true 5 neighbours that is found, for every workflow whose second is divisible by 100."""
+    flows = table(spark, d, "workflow_instances").select("workflow_id", *FIELDS)
+    asked = flows.select(F.col("workflow_id").alias("id")).distinct().filter(F.pmod(F.floor(F.col("id").cast("double")), F.lit(100)) == 0)
+    return recall(similar(flows, "workflow_id", FIELDS), flows, "workflow_id", FIELDS, asked)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -137,10 +139,9 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> Mix:
-    sizes = cut(_sizes(spark, d))
-    # Quality weight: characters a token, which is low for noise and for scripts that the tokenizer knows badly.
-    weight = F.greatest(F.lit(0.1), F.least(F.lit(2.0), F.try_divide(F.col("chars").cast("double"), F.col("tokens") * 4)))
-    return mix(sizes.select(F.col("doc_id").alias("id"), "source", F.col("tokens").alias("size"), weight.alias("weight")), table(spark, d, "mix_targets"))
+    """The weight is a measure of the text as it is: its characters a token."""
+    weight = F.try_divide(F.col("chars").cast("double"), F.col("tokens"))
+    return mix(_sizes(spark, d).select(F.col("doc_id").alias("id"), "source", F.col("tokens").alias("size"), weight.alias("weight")), table(spark, d, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +174,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chars", F.coalesce("spans", F.lit(0)).alias("spans"), n.alias("shared_chars"), F.coalesce(F.try_divide(n, F.col("chars")), F.lit(0.0)).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p4_recall, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT idx, (i - 1)::INTEGER AS msg_index FROM (SELECT idx, messages, unnest(range(1, len(messages) + 1)) AS i FROM inference_records WHERE idx IS NOT NULL) WHERE length(messages[i].content) > 3000",

@@ -172,7 +172,7 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark):
     bad = [("z0", None), ("z1", [0.0] * 64), ("z2", [1.0] * 63), ("z3", [float("nan")] * 64), ("z4", [float("inf")] + [1.0] * 63), (None, x[1][1]), x[5]]
     df = spark.createDataFrame(x + bad, "id string, v array<double>")
     got: dict[str, list[str]] = {}
-    for r in neighbours.similar(df, "id", "v").orderBy("id", "rank").collect():
+    for r in neighbours.similar(df, "id", ["v"]).orderBy("id", "rank").collect():
         got.setdefault(r["id"], []).append(r["neighbour"])
     m = np.array([v for _, v in x], np.float32).astype(float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -186,24 +186,55 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark):
 
 def test_neighbours_of_few(spark):
     schema = "id string, v array<float>"
-    assert neighbours.similar(spark.createDataFrame([], schema), "id", "v").count() == 0
-    assert neighbours.similar(spark.createDataFrame([("a", [1.0] * 64)], schema), "id", "v").count() == 0
-    two = neighbours.similar(spark.createDataFrame([("a", [1.0] * 64), ("b", [-1.0] * 64)], schema), "id", "v").collect()
+    assert neighbours.similar(spark.createDataFrame([], schema), "id", ["v"]).count() == 0
+    assert neighbours.similar(spark.createDataFrame([("a", [1.0] * 64)], schema), "id", ["v"]).count() == 0
+    two = neighbours.similar(spark.createDataFrame([("a", [1.0] * 64), ("b", [-1.0] * 64)], schema), "id", ["v"]).collect()
     assert {(r["id"], r["neighbour"], round(r["cos"], 5)) for r in two} == {("a", "b", -1.0), ("b", "a", -1.0)}
 
 
-def test_neighbours_ask_eight_percent_of_the_lists(spark, monkeypatch):
-    class Seen(Exception):
-        pass
+def test_more_lists_than_the_sample_bears_are_never_made(spark, monkeypatch):
+    seen = []
 
     def fit(vectors, lists, probes, groups):
-        raise Seen(lists, probes)
+        seen.append((len(vectors), lists, probes))
+        return kept(vectors, lists, probes, groups)
 
+    kept = neighbours.fit
     monkeypatch.setattr(neighbours, "fit", fit)
     rows = [(str(i), v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(size=(4000, 8)))]
-    with pytest.raises(Seen) as seen:
-        neighbours.similar(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", dim=8)
-    assert seen.value.args == (126, 11)
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    neighbours.similar(df, "id", ["v"], dim=8)
+    monkeypatch.setattr(neighbours, "SAMPLE", 1600)
+    neighbours.similar(df, "id", ["v"], dim=8)
+    assert seen[0] == (4000, 126, 18) and seen[1][0] <= 1600 and seen[1][1:] == (40, 10)
+
+
+def test_quantiser_keeps_real_residuals_and_many_lists():
+    x = neighbours._unit(np.random.default_rng(5).normal(size=(60_000, 16)))
+    m = neighbours.fit(x, 1500, 60, 6)
+    assert 1300 <= m.lists <= 1700 and np.abs(m.books).max() > 0.05
+    cell = m.nearest(x[:500], 1)[:, 0]
+    rest = x[:500] - m.centres[cell]
+    parts, _, width = m.books.shape
+    coded = np.stack([m.books[p][m.encode(x[:500], cell)[:, p]] for p in range(parts)], axis=1).reshape(500, -1)
+    assert np.linalg.norm(rest - coded, axis=1).mean() < 0.3 * np.linalg.norm(rest, axis=1).mean()
+
+
+def test_a_hot_direction_and_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP", 20)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=16)
+    x = [(f"z{i}", (v * (i + 1)).tolist(), None) for i in range(9)] + [(f"h{i:03}", [1.0, *[0.0] * 15], [1.0] * 16) for i in range(150)]
+    x += [(f"r{i:03}", rng.normal(size=16).tolist(), None) for i in range(300)]
+    df = spark.createDataFrame(x, "id string, v array<double>, w array<double>")
+    rows = neighbours.similar(df, "id", ["v", "w"], dim=16, probes=10_000).orderBy("rank").collect()
+    got: dict[tuple[str, str], list[str]] = {}
+    for r in rows:
+        got.setdefault((r["field"], r["id"]), []).append(r["neighbour"])
+    assert got["v", "z8"] == ["z0", "z1", "z2", "z3", "z4"] and got["v", "h149"] == got["w", "h149"] == ["h000", "h001", "h002", "h003", "h004"]
+    asked = df.filter("id like 'r%0'").select("id")
+    kept = {(r["field"]): (r["asked"], r["recall"]) for r in neighbours.recall(neighbours.similar(df, "id", ["v", "w"], dim=16, probes=10_000), df, "id", ["v", "w"], asked, dim=16).collect()}
+    assert kept == {"v": (30, 1.0)}
 
 
 # 6. Containers
@@ -226,6 +257,15 @@ def test_packing_places_everything_once_within_capacity(spark):
     assert packing.pack(df.limit(0), "id", "tokens", 100).count() == 0
 
 
+def test_no_level_packs_more_than_a_shard_holds(spark, monkeypatch):
+    seen, packer = [], packing._packer
+    monkeypatch.setattr(packing, "_packer", lambda capacity, level: seen.append(level) or packer(capacity, level))
+    half = spark.range(4000).select("id", F.lit(51).cast("long").alias("tokens"))
+    rows = packing.pack(half, "id", "tokens", 100, shard_items=200).collect()
+    assert len({r["container"] for r in rows}) == 4000 and seen == [0]
+    assert max(sum(r["container"].startswith(f"0-{s}-") for r in rows) for s in range(20)) < 300
+
+
 def test_packing_keeps_unnamed_and_repeated_items(spark):
     items = [(None, 30), (None, 230), (None, 100), (None, 0), ("a", 60), ("a", 60), ("a", 100), ("a", 100), ("b", 250), ("b", 250)]
     rows = packing.pack(spark.createDataFrame(items, "id string, tokens long"), "id", "tokens", 100).collect()
@@ -265,7 +305,7 @@ def test_mixture_reaches_shares_within_caps(spark):
     rows = [(i, " Big " if i % 2 else "big", 10, 1.0) for i in range(2000)] + [(9000 + i, "small", 10, 2.0) for i in range(30)] + [(9900, None, 500, 1.0), (9901, "other", None, None)]
     sized = spark.createDataFrame(rows, "id long, source string, size long, weight double")
     targets = spark.createDataFrame([("BIG", 0.5, 1), ("small", 0.05, 3), ("none", 0.2, 2), ("rest", 0.25, 0)], "source string, target_weight double, max_repeat int")
-    m = mixing.mix(sized, targets, buckets=16)
+    m = mixing.mix(sized, targets)
     total = 2000 * 10 + 300 + 500
     report = {r["source"]: r for r in m.report.collect()}
     assert abs(report["big"]["used"] - 0.5 * total) <= 10 and not report["big"]["short"]
@@ -273,12 +313,29 @@ def test_mixture_reaches_shares_within_caps(spark):
     assert report["none"]["short"] and report["none"]["used"] == 0
     chosen = {r["id"]: r["copies"] for r in m.chosen.collect()}
     assert len(chosen) == sum(1 for _ in chosen) and all(chosen[9000 + i] == 3 for i in range(30))
-    once = mixing.mix(sized, targets.filter("source = 'small'").withColumn("target_weight", F.lit(0.02)), buckets=16)
+    once = mixing.mix(sized, targets.filter("source = 'small'").withColumn("target_weight", F.lit(0.02)))
     copies = [r["copies"] for r in once.chosen.collect()]
     assert sum(copies) * 10 <= 0.02 * total < (sum(copies) + 1) * 10 and set(copies) <= {1, 2}
     assert mixing.mix(sized.limit(0), targets).chosen.count() == 0
 
 
+@pytest.mark.parametrize("weights", ["equal", "tiny", "wide"])
+def test_budget_ends_in_a_range_of_few_records(spark, monkeypatch, weights):
+    monkeypatch.setattr(mixing, "SORTED", 20)
+    rnd = random.Random(9)
+    weight = {"equal": lambda: 1.0, "tiny": lambda: None, "wide": lambda: 10 ** rnd.uniform(-5, 5)}[weights]
+    rows = [(i if i < 700 else 7, "a" if i % 3 else "b", rnd.randrange(0, 40), weight()) for i in range(1000)] + [(None, "a", 5, 1.0)] * 500
+    sized = spark.createDataFrame(rows, "id long, source string, size long, weight double")
+    targets = spark.createDataFrame([("a", 0.31, 2), ("b", 0.2, 1)], "source string, target_weight double, max_repeat int")
+    m = mixing.mix(sized, targets)
+    for r in m.report.collect():
+        assert 0 <= r["budget"] - r["used"] < 40 and r["most_copies"] <= r["max_repeat"]
+    ids = [r["id"] for r in m.chosen.collect()]
+    assert sorted(map(str, ids)) == sorted(str(r["id"]) for r in mixing.mix(sized, targets).chosen.collect())
+    if weights == "equal":
+        assert 0 < sum(i is None for i in ids) <= 500
+
+
 # 8. Shared spans
 
 
