@@ -332,8 +332,8 @@ def test_budget_ends_in_a_range_of_few_records(spark, monkeypatch, weights):
         assert 0 <= r["budget"] - r["used"] < 40 and r["most_copies"] <= r["max_repeat"]
     ids = [r["id"] for r in m.chosen.collect()]
     assert sorted(map(str, ids)) == sorted(str(r["id"]) for r in mixing.mix(sized, targets).chosen.collect())
-    if weights == "equal":
-        assert 0 < sum(i is None for i in ids) <= 500
+    unnamed = mixing.mix(sized.filter("id is null"), targets.limit(1)).report.collect()
+    assert [(r["budget"], r["used"]) for r in unnamed] == [(775.0, 775)]
 
 
 # 8. Shared spans
