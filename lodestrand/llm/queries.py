@@ -14,7 +14,7 @@ from lodestrand.llm.packing import pack
 from lodestrand.llm.partenum import classes, near_duplicates
 from lodestrand.llm.partenum import expand as expand_near
 from lodestrand.llm.quantiles import above, merged, percentiles, sketches
-from lodestrand.llm.spans import expand, shared_pairs, shared_spans
+from lodestrand.llm.spans import expand, pair_spans, shared_pairs, shared_spans
 from lodestrand.llm.tokens import token_count
 from lodestrand.sources.tables import table
 
@@ -164,6 +164,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return expand(*shared_pairs(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"))
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The shared spans themselves: document, start and stop, and the document (the first of those with that text)
+    that has them too. Of documents with the same text, the first stands for all; ``p8_classes`` names the others."""
+    spans, _ = pair_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return spans.select(F.col("x").alias("doc_id"), F.col("y").alias("other_doc"), "start", "stop")
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of 200 characters or more with the first document of the same text, the number of its copies,
+    how many other texts share a span with it, and its group: all documents that shared spans link."""
+    pairs, members = shared_pairs(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    rows = classes(pairs, members.select(F.lit("text").alias("field"), F.col("id"), F.col("rep").alias("rid")))
+    return rows.select(F.col("id").alias("doc_id"), "class", "copies", "links", "group")
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """For every document with a text, how many spans it shares and what share of the text they cover."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -174,7 +189,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chars", F.coalesce("spans", F.lit(0)).alias("spans"), n.alias("shared_chars"), F.coalesce(F.try_divide(n, F.col("chars")), F.lit(0.0)).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p4_recall, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p4_recall, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares, p8_spans, p8_classes)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT idx, (i - 1)::INTEGER AS msg_index FROM (SELECT idx, messages, unnest(range(1, len(messages) + 1)) AS i FROM inference_records WHERE idx IS NOT NULL) WHERE length(messages[i].content) > 3000",

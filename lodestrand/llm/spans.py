@@ -3,28 +3,38 @@
 1. Equal texts are one: their first id stands for them, and the others are members.
 2. Each text is sampled by its content: of every ``WINDOW`` successive substrings of ``SEED`` characters the
    one with the least hash is taken, so any stretch of ``least`` characters that two texts share gives both
-   the same hash. Only hashes that occur in two different texts go on; the text around them, as far as a
-   stretch with that hash can reach, is a unit. This loses nothing and leaves out text that can't be shared.
+   the same hash. Only hashes that occur in two different texts go on. One that more than ``HOT`` texts have may be
+   a phrase shorter than ``least``, so it is replaced by longer ones: a stretch around the seed has half of its
+   other characters on one side of it at least, half of the rest on one side of that, and so on, ``HALVINGS`` times;
+   each of the ways is a substring, and two texts that share the stretch share one of these. The text around
+   what is left, as far as a stretch can reach, is a unit. This loses nothing and leaves out text that can't be shared.
 3. Units are dealt to shards by document. Each shard's units make an FM-index (see ``fmindex``), and every
    unit that has a hash in common with a shard is streamed through it: matching statistics by backward
    search give all places where it agrees with the shard in ``least`` characters, and with which documents.
 
-A shard holds at most about ``SHARD`` characters, whatever the corpus. What is streamed follows what is
-really shared. A hot hash reaches every shard, but only once for each document that has it.
+A shard holds at most about ``SHARD`` characters, whatever the corpus. A shard whose stream is longer than
+``STREAM`` is searched by several tasks. For pairs, what is streamed follows the number of pairs there are. To tell
+only how much of a text occurs elsewhere, no pairs are needed: the stretches around what more than ``HOT`` texts
+have even after the halvings are then counted by their digests, so that the work stays linear.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.fmindex import DEPTH, FMIndex
+from lodestrand.llm.fmindex import FMIndex
 from lodestrand.llm.hashing import powers
 from lodestrand.session import cut
 
 LEAST, SHARD, STREAM, UNIT = 200, 1_500_000, 4_000_000, 2048
+HOT, HALVINGS = 64, 3
+ROWS = 2_000_000  # of a result that a task makes at once
 BLOCK = 1 << 18  # characters that are hashed at once
 
 
@@ -128,43 +138,132 @@ def _unit_maker(least: int, seed: int):
     return units
 
 
-def _matcher(least: int, pairs: bool):
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["own"]]
+def _around(extra: int, halvings: int) -> list[tuple[int, int]]:
+    """All (left, right): of ``extra`` characters on two sides, so many are to the left or right at least, as chosen ``halvings`` times."""
+    ways, rest = [(0, 0)], extra
+    for _ in range(halvings):
+        half = -(-rest // 2)
+        ways, rest = [w for x, y in ways for w in ((x + half, y), (x, y + half))], rest - half
+    return ways
+
+
+def _digest(text: str) -> bytes:
+    return blake2b(text.encode("utf-32-le", "surrogatepass"), digest_size=16).digest()
+
+
+def _places(text: str, spots, seed: int) -> Iterator[int]:
+    """Where the seeds of the runs are."""
+    for x in spots:
+        piece, p = text[x["a"] : x["a"] + seed], x["a"]
+        while 0 <= p <= x["b"]:
+            yield p
+            p = text.find(piece, p + 1)
+
+
+def _lengthener(least: int, seed: int, window: int):
+    """For hashes with too many texts: the longer substrings around them, with the first and last place of each run."""
+    ways = _around(least - seed, HALVINGS)
+
+    @F.pandas_udf("array<struct<h:long,a:int,b:int>>")
+    def lengthen(texts: pd.Series, spots: pd.Series) -> pd.Series:
+        out = []
+        for t, found in zip(texts, spots, strict=True):
+            runs: dict[int, list[list[int]]] = {}
+            for p in sorted(set(_places(t, found, seed))):
+                for left, right in ways:
+                    if left <= p and p + seed + right <= len(t):
+                        h = int.from_bytes(_digest(f"{left} {t[p - left : p + seed + right]}")[:8], "little", signed=True)
+                        run = runs.setdefault(h, [])
+                        if run and p - run[-1][1] < window:
+                            run[-1][1] = p
+                        else:
+                            run.append([p, p])
+            out.append([{"h": h, "a": a, "b": b} for h, run in runs.items() for a, b in run])
+        return pd.Series(out)
+
+    return lengthen
+
+
+def _stretcher(least: int, seed: int):
+    """The digest of each stretch of ``least`` characters around the seeds, and its first and last place."""
+
+    @F.pandas_udf("array<struct<d:binary,a:array<int>>>")
+    def stretches(texts: pd.Series, spots: pd.Series) -> pd.Series:
+        out = []
+        for t, found in zip(texts, spots, strict=True):
+            starts = {s for p in _places(t, found, seed) for s in range(max(0, p + seed - least), min(p, len(t) - least) + 1)}
+            at: dict[bytes, list[int]] = {}
+            for s in sorted(starts):
+                at.setdefault(_digest(t[s : s + least]), []).append(s)
+            out.append([{"d": d, "a": a} for d, a in at.items()])
+        return pd.Series(out)
+
+    return stretches
+
+
+def _expanded(index: FMIndex, cls: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Each row with each owner of its class (first), at most about ROWS at once."""
+    width = (index.owner_hi - index.owner_lo)[cls]
+    upto = np.cumsum(width)
+    a = 0
+    while a < len(cls):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + ROWS, "right")))
+        w = width[a:b]
+        inner = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        yield index.owners[np.repeat(index.owner_lo[cls[a:b]], w) + inner], *[np.repeat(x[a:b], w) for x in more]
+        a = b
+
+
+def _matcher(least: int, want: str):
+    """``want``: the "pairs" of texts, the "spans" of each pair, or what is shared with "any"."""
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        own, streamed = rows[rows["own"]], rows[~rows["own"]]
         index = FMIndex(own["piece"].tolist(), own["id"].to_numpy(), least)
-        streamed = rows[~rows["own"]]
         ids, starts = streamed["id"].to_numpy(), streamed["a"].to_numpy()
         lane, at, cls = index.matches(streamed["piece"].tolist())
-        sole = (index.owner_hi - index.owner_lo)[cls] == 1 if len(cls) else cls.astype(bool)
-        other = ~(sole & (index.owners[index.owner_lo[cls]] == ids[lane])) if len(cls) else sole
+        if not len(cls):
+            return
+        sole = (index.owner_hi - index.owner_lo)[cls] == 1
+        other = ~(sole & (index.owners[index.owner_lo[cls]] == ids[lane]))
         lane, at, cls = lane[other], at[other], cls[other]
-        if pairs:
-            # Classes with the same set of documents count once for each streamed document.
-            _, set_no = np.unique(index.signature[cls], return_inverse=True)
-            key = np.unique(np.stack([ids[lane], set_no]), axis=1, return_index=True)[1] if len(cls) else cls
-            me, c = ids[lane[key]], cls[key]
-            width = index.owner_hi[c] - index.owner_lo[c]
-            left = np.repeat(me, width)
-            right = index.owners[np.repeat(index.owner_lo[c] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())] if len(c) else left
-            keep = left != right
-            both = np.unique(np.stack([np.minimum(left, right)[keep], np.maximum(left, right)[keep]]), axis=1)
-            return pd.DataFrame({"x": both[0], "y": both[1], "a": 0, "b": 0})
+        _, kind = np.unique(index.signature[cls], return_inverse=True)  # classes with the same documents
         doc, pos = ids[lane], starts[lane] + at
-        order = np.lexsort([pos, doc])
-        doc, pos = doc[order], pos[order]
+        if want == "pairs":
+            key = np.unique(np.stack([doc, kind]), axis=1, return_index=True)[1] if len(cls) else cls
+            for right, left in _expanded(index, cls[key], doc[key]):
+                keep = left != right
+                both = np.unique(np.stack([np.minimum(left, right)[keep], np.maximum(left, right)[keep]]), axis=1)
+                yield pd.DataFrame({"x": both[0], "y": both[1], "a": 0, "b": 0})
+            return
+        order = np.lexsort([kind, pos, doc]) if want == "any" else np.lexsort([pos, kind, doc])
+        doc, pos, kind, cls = doc[order], pos[order], kind[order], cls[order]
         if not len(doc):
-            return pd.DataFrame({"x": doc, "y": doc, "a": pos, "b": pos})
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > least)]))
+            return
+        same = kind[1:] == kind[:-1] if want == "spans" else np.ones(len(doc) - 1, bool)
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | ~same | (pos[1:] - pos[:-1] > 1)]))
         last = np.append(first[1:], len(doc)) - 1
-        return pd.DataFrame({"x": doc[first], "y": doc[first], "a": pos[first], "b": pos[last] + least})
+        if want == "any":
+            yield pd.DataFrame({"x": doc[first], "y": doc[first], "a": pos[first], "b": pos[last] + least})
+            return
+        for y, x, a, b in _expanded(index, cls[first], doc[first], pos[first], pos[last] + least):
+            keep = x != y
+            yield pd.DataFrame({"x": x[keep], "y": y[keep], "a": a[keep], "b": b[keep]})
 
     return match
 
 
-def _search(docs: DataFrame, id_: str, text: str, least: int, pairs: bool) -> tuple[DataFrame, DataFrame]:
+def _of_two(keys: DataFrame, key: str) -> DataFrame:
+    """Keys that two different ids have, and whether more than ``HOT`` have them (as rows go, one for an id and run)."""
+    found = keys.groupBy(key).agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count("*").alias("n"))
+    return found.filter(F.col("p") < F.col("q")).select(key, (F.col("n") > HOT).alias("hot"))
+
+
+def _search(docs: DataFrame, id_: str, text: str, least: int, want: str) -> tuple[DataFrame, DataFrame]:
     """What the shards found (``x``, ``y``, ``a``, ``b``), and the members of each text (``id``, ``rep``)."""
-    if not 16 <= least < DEPTH:
-        raise ValueError(f"least must be from 16 to {DEPTH - 1}")
+    if least < 16:
+        raise ValueError("least must be 16 or more")
     seed = max(8, least * 64 // 200)
     window = least - seed + 1
     t = F.col("text")
@@ -175,8 +274,20 @@ def _search(docs: DataFrame, id_: str, text: str, least: int, pairs: bool) -> tu
 
     reps = sampled.groupBy("digest").agg(F.min_by(F.struct("id", "n", "spots"), "id").alias("r")).select("r.*")
     spots = reps.select("id", "n", F.explode("spots").alias("s")).select("id", "n", "s.*")
-    shared = spots.groupBy("h").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter(F.col("p") < F.col("q")).select("h")
-    hits = cut(spots.join(shared, "h"))
+    both = cut(spots.join(_of_two(spots, "h"), "h"))
+    hits, stretches = both.filter(~F.col("hot")).drop("hot"), None
+    hot = both.filter("hot").groupBy("id", "n").agg(F.collect_list(F.struct("a", "b")).alias("spots"))  # as many as one text has
+    if not hot.isEmpty():
+        longer = known.join(hot, "id").select("id", "n", F.explode(_lengthener(least, seed, window)("text", "spots")).alias("s")).select("id", "n", "s.*")
+        longer = cut(longer)
+        longer = cut(longer.join(_of_two(longer, "h"), "h"))
+        if want == "any":
+            wide = longer.filter("hot").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spots"))
+            each = cut(known.join(wide, "id").select("id", F.explode(_stretcher(least, seed)("text", "spots")).alias("s")).select("id", "s.*"))
+            twice = each.groupBy("d").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter(F.col("p") < F.col("q")).select("d")
+            stretches = each.join(twice, "d").select(F.col("id").alias("x"), F.col("id").alias("y"), F.explode("a").alias("a")).withColumn("b", F.col("a") + least)
+            longer = longer.filter(~F.col("hot"))
+        hits = cut(hits.unionByName(longer.drop("hot")))
     regions = hits.groupBy("id", "n").agg(F.collect_list(F.struct("a", "b")).alias("spots"))  # as many as one text has
     regions = regions.select("id", _unit_maker(least, seed)("spots", "n").alias("units"))
     units = known.join(regions, "id").select("id", F.explode("units").alias("u"), "text").select("id", F.col("u.a").alias("a"), F.substring(t, F.col("u.a") + 1, F.col("u.b") - F.col("u.a")).alias("piece"))
@@ -188,13 +299,11 @@ def _search(docs: DataFrame, id_: str, text: str, least: int, pairs: bool) -> tu
     routes = hits.select("id", "h").join(at, "h").select("id", "shard").distinct() if shards > 1 else hits.select("id", F.lit(0).alias("shard")).distinct()
     streamed = cut(units.join(routes, "id"))
     # A shard whose stream is long is searched by several tasks, each with the same index.
-    flow = streamed.agg(F.sum(F.char_length("piece"))).first()[0] or 0
-    salts = max(1, -(-flow // (shards * STREAM)))
-    rows = (
-        streamed.select("shard", F.pmod(F.xxhash64("id", "a"), F.lit(salts)).cast("int").alias("salt"), F.lit(False).alias("own"), "id", "a", "piece")
-        .unionByName(units.select(home.alias("shard"), F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"), F.lit(True).alias("own"), "id", "a", "piece"))
-    )
-    return rows.groupBy("shard", "salt").applyInPandas(_matcher(least, pairs), "x long, y long, a int, b int"), members
+    turns = streamed.groupBy("shard").agg(F.ceil(F.sum(F.char_length("piece")) / STREAM).cast("int").alias("turns"))
+    asks = streamed.join(turns, "shard").select("shard", F.pmod(F.xxhash64("id", "a"), F.col("turns")).cast("int").alias("turn"), F.lit(False).alias("own"), "id", "a", "piece")
+    owns = units.withColumn("shard", home).join(turns, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(True).alias("own"), "id", "a", "piece")
+    found = asks.unionByName(owns).groupBy("shard", "turn").applyInPandas(_matcher(least, want), "x long, y long, a int, b int")
+    return found if stretches is None else found.unionByName(stretches), members
 
 
 def shared_pairs(docs: DataFrame, id_: str, text: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +312,7 @@ def shared_pairs(docs: DataFrame, id_: str, text: str, least: int = LEAST) -> tu
 
     Nulls and shorter texts share nothing. The same id with several texts shares with itself nothing.
     """
-    found, members = _search(docs, id_, text, least, True)
+    found, members = _search(docs, id_, text, least, "pairs")
     return found.select("x", "y").distinct(), members
 
 
@@ -215,17 +324,33 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return between.unionByName(same).filter(F.col("doc_a") != F.col("doc_b")).distinct()
 
 
+def _merged(found: DataFrame, by: list[str]) -> DataFrame:
+    """Spans that overlap so far that every stretch is within one, as one: ``by``, ``start``, ``stop``."""
+    order = Window.partitionBy(*by).orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = found.withColumn("fresh", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn("k", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy(*by, "k").agg(F.min("a").alias("start"), F.max("b").alias("stop")).drop("k")
+
+
+def pair_spans(docs: DataFrame, id_: str, text: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """For each pair of different texts that share text, both ways round: ``x``, ``y``, and ``start`` and ``stop``
+    (code points) of every span of x of which each stretch of ``least`` characters occurs in y; a span begins anew
+    where two such stretches don't overlap in all but one character. And the members of each text, as above."""
+    found, members = _search(docs, id_, text, least, "spans")
+    # Two spans are one if the second starts no later than one character after the first's last stretch does.
+    spans = _merged(found.select("x", "y", "a", (F.col("b") - least + 1).alias("b")).distinct(), ["x", "y"])
+    return spans.select("x", "y", "start", (F.col("stop") + least - 1).alias("stop")), members
+
+
 def shared_spans(docs: DataFrame, id_: str, text: str, least: int = LEAST) -> DataFrame:
-    """For each document that shares text: ``id``, ``start``, ``stop`` of every span (code points, spans
-    that touch being one) of which each stretch of ``least`` characters occurs in another document.
+    """How much of each document occurs elsewhere, for those that share text: ``id``, ``start``, ``stop`` of every
+    covered part (code points, parts that touch being one): each of its characters lies in a stretch of ``least``
+    characters that another document has, though not all of them in the same one (:func:`pair_spans` tells these).
 
     The whole of a text that occurs twice is shared, whatever its parts are.
     """
-    found, members = _search(docs, id_, text, least, False)
-    by = Window.partitionBy("x").orderBy("a", "b")
-    reach = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    spans = found.withColumn("fresh", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn("k", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("x", "k").agg(F.min("a").alias("start"), F.max("b").alias("stop")).select(F.col("x").alias("rep"), "start", "stop")
+    found, members = _search(docs, id_, text, least, "any")
+    spans = _merged(found, ["x"]).withColumnRenamed("x", "rep")
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
     sizes = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.char_length(F.col(f"`{text}`")).alias("n"))
     alone = spans.join(copies, "rep").filter(F.col("copies") == 1).select(F.col("rep").alias("id"), "start", "stop")

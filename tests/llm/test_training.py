@@ -357,7 +357,18 @@ def test_index_matches_equal_brute_force(seed):
     assert got == want
 
 
-def test_shared_spans_equal_brute_force(spark, monkeypatch):
+def test_index_goes_beyond_256_characters():
+    rnd = random.Random(1)
+    base = "".join(rnd.choice("abcd") for _ in range(900))
+    ix = FMIndex([base, "x" + base[100:500] + "y"], np.array([1, 2]), 300)
+    got = {(p, tuple(ix.owners[ix.owner_lo[c] : ix.owner_hi[c]].tolist())) for _, p, c in zip(*map(np.ndarray.tolist, ix.matches([base[50:600]])), strict=True)}
+    assert got == {(p, (1, 2) if 50 <= p <= 150 else (1,)) for p in range(251)}
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_shared_spans_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    monkeypatch.setattr(spans, "ROWS", 50)
     monkeypatch.setattr(spans, "SHARD", 3000)
     monkeypatch.setattr(spans, "STREAM", 3000)
     rnd = random.Random(8)
@@ -386,4 +397,13 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch):
     for r in spans.shared_spans(df, "doc_id", "text").collect():
         sums[r["id"]] = sums.get(r["id"], 0) + r["stop"] - r["start"]
     assert sums == {i: len(c) for i, c in covered.items()}
+    found, members = spans.pair_spans(df, "doc_id", "text")
+    rep = {r["id"]: r["rep"] for r in members.collect()}
+    want: dict[tuple[int, int], set[int]] = {}
+    for m in where.values():
+        for x in {rep[i] for i in m}:
+            for y in {rep[i] for i in m} - {x}:
+                want.setdefault((x, y), set()).update(m[x])
+    runs = {(*k, p, next(q for q in range(p, 10_000) if q not in ps) - 1 + n) for k, ps in want.items() for p in ps if p - 1 not in ps}
+    assert {tuple(r) for r in found.collect()} == runs
     assert spans.shared_pairs(df.limit(0), "doc_id", "text")[0].count() == 0
