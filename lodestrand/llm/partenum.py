@@ -20,7 +20,13 @@ Pairs with an equal signature are screened by parity sketches (two sketches diff
 sets in elements), and what passes is compared exactly. A signature can't be more frequent than its rarest
 element, so most are known to have at most ``HOT`` sets. The others are counted; one that is too frequent is
 taken together with each signature of a second, independent partition, of which a similar pair also shares one;
-and with a third, if need be.
+and with a third, if need be. Sets that agree in all of these are nearly alike, so what is still frequent then
+makes as many pairs as there are; its sets are dealt to blocks of about ``HOT``, and each two blocks are compared
+by themselves.
+
+Runs that a ``COMMON``-th of all sets or more have would make their bucket of the shuffle as large as the table.
+They are found in a sample of ``SAMPLE`` texts, at most COMMON times as many as a text has runs, and don't take part
+in the shuffle: they are known to be shared, and count as the most frequent. What the sample misses is only slower.
 """
 
 from __future__ import annotations
@@ -44,6 +50,7 @@ from lodestrand.session import cut
 HOT, BUCKET = 512, 1_000_000
 LEVELS = 3
 BLOCK = 1 << 18
+COMMON, SAMPLE, ENTRIES = 500, 20_000, 200_000
 
 
 def words(text: Column) -> Column:
@@ -117,9 +124,27 @@ def _edges(x: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(0, cuts), np.append(cuts, len(x))
 
 
-def _packer(buckets: int, width: int):
-    """Deals the runs of each block of 1,024 texts to the buckets, a row of bytes for each."""
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hash", pa.binary()), ("delta", pa.binary())])
+def _common(texts: DataFrame, n: int, buckets: int, width: int) -> np.ndarray:
+    """Runs that so many sets have that they would fill a bucket with ``ENTRIES`` or more."""
+    if n < ENTRIES:
+        return np.zeros(0, np.int64)
+    share = int(min(1.0, 1.05 * SAMPLE / n) * (1 << 20)) + 1
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_, fields = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for _, _, _, h in _sets(texts_, fields, width):
+                yield pa.RecordBatch.from_arrays([pa.array(_element(h, buckets))], names=["e"])
+
+    sample = cut(texts.filter(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < share).limit(SAMPLE).select("norm", "field"))
+    least = max(2, sample.count() // COMMON)
+    often = sample.mapInArrow(runs, "e long").groupBy("e").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("e")
+    return np.sort(np.array(often.toArrow()["e"].to_pylist(), np.int64))
+
+
+def _packer(buckets: int, width: int, common: np.ndarray):
+    """Deals the runs of each block of 1,024 texts to the buckets, a row of bytes for each; common ones to places of their own, by block."""
+    schema = pa.schema([("place", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("hash", pa.binary()), ("delta", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,19 +152,23 @@ def _packer(buckets: int, width: int):
             for a, b, text, h in _sets(texts, fields, width):
                 e, r = _element(h, buckets), rid[a:b][text]
                 bucket, block = e >> 32, r >> 10
-                order = np.lexsort([block, bucket])
-                bucket, block, e, r = bucket[order], block[order], e[order].astype(np.uint32), (r[order] & 1023).astype(np.uint16)
-                lo, hi = _edges(bucket, block)
+                known = np.isin(e, common) if len(common) else np.zeros(len(e), bool)
+                place = np.where(known, buckets + block % buckets, bucket)
+                order = np.lexsort([block, bucket, place])
+                place, bucket, block, e, r = place[order], bucket[order], block[order], e[order].astype(np.uint32), (r[order] & 1023).astype(np.uint16)
+                lo, hi = _edges(place, bucket, block)
                 cols = [pa.array([x[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary()) for x in (e, r)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[lo].astype(np.int32)), pa.array(block[lo]), *cols], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(place[lo].astype(np.int32)), pa.array(bucket[lo].astype(np.int32)), pa.array(block[lo]), *cols], schema=schema)
 
     return pack
 
 
-def _sharer():
-    """Of a bucket, the runs that two sets or more have, dealt back by block, with the bit length of their number."""
+def _sharer(buckets: int):
+    """Of a bucket, the runs that two sets or more have, dealt back by block, with the bit length of their number; common ones as they come."""
 
     def share(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if key[0] >= buckets:
+            return rows[["block", "bucket", "hash", "delta"]].assign(grade=[b"\x3f" * (len(d) // 2) for d in rows["delta"]])
         h = np.frombuffer(b"".join(rows["hash"]), np.uint32)
         delta = np.frombuffer(b"".join(rows["delta"]), np.uint16)
         block = np.repeat(rows["block"].to_numpy(), [len(d) // 2 for d in rows["delta"]])
@@ -213,7 +242,7 @@ def _subsets(e: list[int], grade: list[int], m: int, g: Fraction, key: tuple, co
     alone = m - len(e)
     for t, first in plan(m, g):
         for c in combinations(range(min(len(e), first - alone)), t) if first > alone else ():
-            (cool if (1 << grade[c[0]]) - 1 <= HOT else warm).append(hash((*key, *[e[i] for i in c])))
+            (cool if (1 << int(grade[c[0]])) - 1 <= HOT else warm).append(hash((*key, *[e[i] for i in c])))
 
 
 def _signer(g: Fraction):
@@ -298,7 +327,7 @@ def _candidates(sets: DataFrame, texts: DataFrame, buckets: int, g: Fraction, wi
     """Pairs ``x`` < ``y`` of ``sets`` that share a signature and that the sketches allow."""
     kept = ["rid", "n", "s0", "s1"]
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
+    def pairs_of(rows: DataFrame, buckets: int = buckets) -> DataFrame:
         bucket = F.pmod(F.col("sig"), F.lit(buckets)).cast("int")
         return rows.select(bucket.alias("bucket"), "sig", *kept).groupBy("bucket").applyInPandas(_pairer(float(g)), "x long, y long")
 
@@ -307,11 +336,18 @@ def _candidates(sets: DataFrame, texts: DataFrame, buckets: int, g: Fraction, wi
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > 1)
         alike = cut(rows.join(sizes, "sig"))
-        last = level == LEVELS
-        out = out.unionByName(pairs_of(alike if last else alike.filter(F.col("c") <= HOT)))
-        hot = alike.filter(F.col("c") > HOT).drop("c")
-        if last or hot.isEmpty():
+        out = out.unionByName(pairs_of(alike.filter(F.col("c") <= HOT)))
+        hot = alike.filter(F.col("c") > HOT)
+        if hot.isEmpty():
+            break
+        if level == LEVELS:
+            blocks = F.ceil(F.col("c") / HOT).cast("int")
+            mine = F.pmod(F.xxhash64("rid"), blocks).cast("int")
+            two = hot.select("sig", *kept, mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            two = cut(two.select(F.xxhash64("sig", F.least("mine", "other"), F.greatest("mine", "other")).alias("sig"), *kept))
+            out = out.unionByName(pairs_of(two, max(buckets, -(-two.count() // ENTRIES))))
             break
+        hot = hot.drop("c")
         again = hot.select("rid").distinct().join(texts.select("rid", "norm", "field"), "rid").select("rid", _resigner(g, width, buckets, level)("norm", "field").alias("more"))
         rows = hot.join(again, "rid").withColumn("sig", F.explode(F.transform("more", lambda x: F.xxhash64("sig", x)))).drop("more")
     return out.distinct()
@@ -337,11 +373,12 @@ def near_duplicates(df: DataFrame, field: str, id_: str, text: str, threshold: F
     texts = cut(texts.withColumn("rid", F.monotonically_increasing_id()))
     members = ids.join(texts.select("field", "digest", "rid"), ["field", "digest"]).select("field", "id", "rid")
 
-    volume = texts.agg(F.sum(F.char_length("norm"))).first()[0] or 0
+    n, volume = texts.agg(F.count("*"), F.coalesce(F.sum(F.char_length("norm")), F.lit(0))).first()
     buckets = max(12, -(-volume // (6 * BUCKET)))  # about one run for each 6 characters
     full, block = texts.select("rid", "norm", "field"), F.shiftright("rid", 10)
-    packed = full.mapInArrow(_packer(buckets, width), "bucket int, block long, hash binary, delta binary")
-    shared = packed.groupBy("bucket").applyInPandas(_sharer(), "block long, bucket int, hash binary, delta binary, grade binary")
+    common = _common(texts, n, buckets, width)
+    packed = full.mapInArrow(_packer(buckets, width, common), "place int, bucket int, block long, hash binary, delta binary")
+    shared = packed.groupBy("place").applyInPandas(_sharer(buckets), "block long, bucket int, hash binary, delta binary, grade binary")
     profiles = full.mapInArrow(_profiler(buckets, width, g), "rid long, n int, s0 long, s1 long, counts binary").withColumn("block", block)
     signed = profiles.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_signer(g), "rid long, n int, s0 long, s1 long, cool array<long>, warm array<long>")
     pairs = cut(_candidates(cut(signed), texts, buckets, g, width))

@@ -91,8 +91,12 @@ def test_near_duplicates_equal_brute_force(spark, g, width):
     assert per["same1"]["class"] == per["same2"]["class"] and per["same1"]["copies"] >= 3
 
 
-def test_near_duplicates_hot_signatures(spark, monkeypatch):
+@pytest.mark.parametrize(("levels", "entries"), [(3, 200_000), (1, 30)])
+def test_near_duplicates_hot_signatures(spark, monkeypatch, levels, entries):
     monkeypatch.setattr(partenum, "HOT", 3)
+    monkeypatch.setattr(partenum, "LEVELS", levels)
+    monkeypatch.setattr(partenum, "ENTRIES", entries)
+    monkeypatch.setattr(partenum, "COMMON", 4)
     rnd = random.Random(5)
     base = words(rnd, 30)
     texts = {f"{i:03}": " ".join([*base[:22], *words(rnd, 12)]) for i in range(60)}
