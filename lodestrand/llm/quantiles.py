@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K = 400
+from lodestrand.session import cut
+
+K, FEW = 400, 20_000
 
 
 def rank_error(k: int = K) -> float:
@@ -67,16 +69,19 @@ def above(df: DataFrame, by: list[str], bounds: list[tuple[str, int, float]], le
 
     The sketches decide all groups whose interval, three rank errors and more than one rank
     wide on either side, doesn't hold the bound.
-    The values of the others alone are read again and counted.
+    The values of the others alone are read again and counted, without a shuffle of the values as long as there are at
+    most ``FEW`` such groups.
     """
     limits = df.sparkSession.createDataFrame(bounds, "metric string, pct int, bound double")
     metrics = sorted({m for m, _, _ in bounds})
     asked = percentiles(sketches(df, by, metrics, k).filter(F.col("n") >= least), sorted({p for _, p, _ in bounds}), k, 3.0, 1.2 / max(least, 1))
-    asked = asked.join(F.broadcast(limits), ["metric", "pct"])  # as many rows as the caller gave bounds
+    asked = cut(asked.join(F.broadcast(limits), ["metric", "pct"]))  # as many rows as the caller gave bounds
     sure = asked.filter(F.col("low") > F.col("bound")).select(*by, "metric", "pct")
     unsure = asked.filter((F.col("low") <= F.col("bound")) & (F.col("high") > F.col("bound"))).select(*by, "metric", "pct", "bound", "n")
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), value(m).alias("value")) for m in metrics])).alias("__m"))
     long = long.select(*by, "__m.metric", "__m.value").filter(F.col("value").isNotNull())
+    if unsure.count() <= FEW:
+        unsure = F.broadcast(unsure)
     counted = long.join(unsure, [*by, "metric"]).groupBy(*by, "metric", "pct", "n").agg(F.count_if(F.col("value") <= F.col("bound")).alias("under"))
     checked = counted.filter(F.col("under") * 100 < F.col("pct") * F.col("n")).select(*by, "metric", "pct")
     return sure.unionByName(checked)

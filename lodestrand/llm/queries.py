@@ -16,6 +16,7 @@ from lodestrand.llm.partenum import expand as expand_near
 from lodestrand.llm.quantiles import above, merged, percentiles, sketches
 from lodestrand.llm.spans import expand, pair_spans, shared_pairs, shared_spans
 from lodestrand.llm.tokens import token_count
+from lodestrand.session import cut
 from lodestrand.sources.tables import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -44,6 +45,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_messages(first), "content").select("idx", "msg_index", "piece_no", "n_pieces", "piece_start", "piece_end", "piece")
 
 
+def p1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each message: the digest of its pieces put together again, and whether these are small enough, and overlap as they should."""
+    rows = p1_pieces(spark, d).groupBy("idx", "msg_index").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece_end", "piece"))).alias("p"))  # of one message
+    before = F.transform("p", lambda x, i: F.when(i > 0, F.element_at("p", i)["piece_end"]).otherwise(0))
+    fresh = F.zip_with("p", before, lambda x, b: F.substring(x["piece"], b - x["piece_start"] + 1, 3000))
+    laps = F.zip_with("p", before, lambda x, b: (x["piece_no"] == 0) | (b - x["piece_start"]).between(120, 150))
+    small = F.forall("p", lambda x: (F.char_length(x["piece"]) <= 3000) & (F.char_length(x["piece"]) == x["piece_end"] - x["piece_start"]))
+    return rows.select("idx", "msg_index", F.md5(F.array_join(fresh, "")).alias("digest"), small.alias("small"), F.forall(laps, lambda x: x).alias("overlapping"))
+
+
 # 2. Near-duplicates
 
 
@@ -77,7 +88,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    samples = _samples(spark, d).filter(F.col("context_category").isNotNull() & F.col("run_date").isNotNull())
+    samples = cut(_samples(spark, d).filter(F.col("context_category").isNotNull() & F.col("run_date").isNotNull()))
     found = above(samples, ["context_category", "run_date"], BOUNDS)
     return found.select("metric", F.col("pct").cast("int").alias("pct"), "context_category", "run_date")
 
@@ -138,6 +149,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.count("*").alias("containers"), F.sum("size").alias("tokens"), F.max("size").alias("fullest"), (F.sum("size") / (F.count("*") * CAPACITY)).alias("fill"))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: documents placed; containers above the capacity, documents cut without need, and documents of which tokens are missing."""
+    sizes = _sizes(spark, d).select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    rows = cut(pack(sizes, "doc_id", "tokens", CAPACITY))
+    over = rows.filter(F.col("container").isNotNull()).groupBy("container").agg(F.sum("size").alias("s")).agg(F.count_if(F.col("s") > CAPACITY).alias("overfull"))
+    each = rows.groupBy(F.col("item").cast("long").alias("doc_id")).agg(F.sum("size").alias("s"), F.max("n_parts").alias("n"), F.count("*").alias("parts")).join(sizes, "doc_id", "full")
+    wrong = F.col("s").isNull() | F.col("tokens").isNull() | (F.col("s") != F.col("tokens")) | (F.col("n") != F.col("parts"))
+    return each.agg(F.count_if(F.col("s") > 0).alias("placed"), F.count_if((F.col("n") > 1) & (F.col("s") <= CAPACITY)).alias("cut_small"), F.count_if(wrong).alias("lost")).withColumn("overfull", over.scalar())
+
+
 def _mix(spark: SparkSession, d: str) -> Mix:
     """The weight is a measure of the text as it is: its characters a token."""
     weight = F.try_divide(F.col("chars").cast("double"), F.col("tokens"))
@@ -157,6 +178,14 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).chosen
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each source: no record above the repeats allowed, no more used than the budget, and no more left of it than the largest record, unless the source ran short."""
+    sizes = _sizes(spark, d).groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("tokens").alias("largest"))
+    r = p7_report(spark, d).join(sizes, "source", "left")
+    near = F.col("short") | (F.col("budget") - F.col("used") <= F.coalesce("largest", F.lit(0)))
+    return r.select("source", (F.col("most_copies") <= F.col("max_repeat")).alias("repeats"), (F.col("used") <= F.col("budget")).alias("within"), near.alias("near"))
+
+
 # 8. Shared spans
 
 
@@ -189,10 +218,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chars", F.coalesce("spans", F.lit(0)).alias("spans"), n.alias("shared_chars"), F.coalesce(F.try_divide(n, F.col("chars")), F.lit(0.0)).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p4_recall, p6_found, p6_packed, p6_fill, p7_found, p7_report, p7_mixture, p8_found, p8_shares, p8_spans, p8_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_whole, p2_found, p2_classes, p3_found, p3_percentiles, p3_merged, p4_found, p4_neighbours, p4_recall, p6_found, p6_packed, p6_fill, p6_checked, p7_found, p7_report, p7_mixture, p7_checked, p8_found, p8_shares, p8_spans, p8_classes)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT idx, (i - 1)::INTEGER AS msg_index FROM (SELECT idx, messages, unnest(range(1, len(messages) + 1)) AS i FROM inference_records WHERE idx IS NOT NULL) WHERE length(messages[i].content) > 3000",
+    "p1_whole": """SELECT idx, (i - 1)::INTEGER AS msg_index, md5(messages[i].content) AS digest, true AS small, true AS overlapping FROM (
+  SELECT idx, messages, unnest(range(1, len(messages) + 1)) AS i FROM (SELECT idx, arg_min(messages, ingested_at) AS messages FROM inference_records WHERE idx IS NOT NULL GROUP BY 1)
+) WHERE messages[i].content IS NOT NULL""",
+    "p6_checked": "SELECT count(*) FILTER (WHERE text <> '') AS placed, 0 AS cut_small, 0 AS lost, 0 AS overfull FROM documents",
+    "p7_checked": "SELECT DISTINCT lower(trim(source)) AS source, true AS repeats, true AS within, true AS near FROM mix_targets WHERE source IS NOT NULL",
     "p3_found": """WITH s AS (
   SELECT sample_id, arg_min({'c': context_category, 'd': strftime(run_ts, '%Y-%m-%d'), 'l': latency_s, 't': total_tokens}, ingested_at) AS r FROM sample_totals WHERE sample_id IS NOT NULL GROUP BY 1
 ), v AS (
