@@ -57,9 +57,10 @@ def substring_match(predicted: Column, gold: Column) -> Column:
 
 
 def parse_output(c: Column, prefix: str = "answer:") -> Column:
-    """What follows the prefix on its line, else the first line; trimmed."""
+    """What follows the prefix on its line, else the first line; trimmed, and without the prefix where it comes again."""
     hit = F.regexp_extract(c, rf"(?i){prefix}([^\n]*)", 1)
-    return F.trim(F.when(c.rlike(rf"(?i){prefix}"), hit).otherwise(F.split(c, "\n")[0]))
+    found = F.trim(F.when(c.rlike(rf"(?i){prefix}"), hit).otherwise(F.split(c, "\n")[0]))
+    return F.trim(F.regexp_replace(found, rf"(?i)^{prefix}", ""))
 
 
 def standardize_string(c: Column) -> Column:
@@ -74,10 +75,10 @@ def truncate_head_tail(c: Column, most: int, marker: str = "\n...\n") -> Column:
 
 
 def estimate_tokens(c: Column) -> Column:
-    """floor(1.5 CJK characters + 1.33 alphabetic words + 0.5 other characters), at least 1; 0 if empty."""
+    """floor(1.5 CJK characters + 1.33 words with a letter and without CJK + 0.5 other characters), at least 1; 0 if empty."""
     cjk = F.char_length(c) - F.char_length(F.regexp_replace(c, "[一-鿿]", ""))
-    alphabetic = F.size(F.filter(F.split(F.regexp_replace(c, "[一-鿿]", " "), r"\s+"), lambda w: w.rlike("^[A-Za-z]+$")))
-    return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.floor(1.5 * cjk + 1.33 * alphabetic + 0.5 * (F.char_length(c) - cjk)))).cast("long")
+    lettered = F.size(F.filter(F.split(c, r"\s+"), lambda w: w.rlike(r"\p{L}") & ~w.rlike("[一-鿿]")))
+    return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.floor(1.5 * cjk + 1.33 * lettered + 0.5 * (F.char_length(c) - cjk)))).cast("long")
 
 
 def signature(c: Column) -> Column:

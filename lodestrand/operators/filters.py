@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OPS: dict[str, Callable[[Column, object], Column]] = {
@@ -70,3 +70,18 @@ def default_status(c: Column) -> Column:
 def kept_by_relevance(c: Column, least: float) -> Column:
     """A missing or unreadable relevance counts as 1."""
     return F.coalesce(c.try_cast("double"), F.lit(1.0)) >= least
+
+
+def accessible(rules: DataFrame, items: DataFrame) -> DataFrame:
+    """``reader``, ``id`` of the items (``reader``, ``id``) that each reader may have.
+
+    ``rules`` has ``reader``, ``pos``, ``effect`` ("allow" or "deny") and ``id``, null for all. The first rule in ``pos``
+    that is about all decides alone: everything, or nothing. Without one, what is allowed and not denied remains, so
+    denials alone leave nothing. A reader without rules may have everything.
+    """
+    whole = rules.filter(F.col("id").isNull()).groupBy("reader").agg(F.min_by("effect", "pos").alias("whole"))
+    kinds = rules.groupBy("reader").agg(F.lit(True).alias("ruled")).join(whole, "reader", "left")
+    own = rules.filter(F.col("id").isNotNull()).groupBy("reader", "id").agg(F.bool_and(F.col("effect") == "allow").alias("fine"))
+    rows = items.select("reader", "id").distinct().join(kinds, "reader", "left").join(own, ["reader", "id"], "left")
+    allowed = F.when(F.col("ruled").isNull(), True).when(F.col("whole").isNotNull(), F.col("whole") == "allow").otherwise(F.coalesce("fine", F.lit(False)))
+    return rows.filter(allowed).select("reader", "id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.session import cut
+
 
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Each triple once."""
@@ -29,18 +31,21 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False
     seen = frontier = seeds.select(F.col("id").alias("seed"), F.col("id"), F.lit(0).alias("hops"))
     for hop in range(1, depth + 1):
         fresh = frontier.join(step, frontier["id"] == step["a"]).select("seed", F.col("b").alias("id")).distinct()
-        frontier = fresh.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier = cut(fresh.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
 def paths(edges: DataFrame, src, dst, depth: int = 3) -> DataFrame:
-    """Simple directed paths of at most ``depth`` edges from ``src`` to ``dst``, as arrays of nodes."""
+    """Simple directed paths of at most ``depth`` edges from ``src`` to ``dst``, as arrays of nodes. What was reached
+    is written after each step, so that no step starts from the beginning."""
     grown = edges.filter(F.col("src") == src).select(F.array("src", "dst").alias("path"))
     out = grown.filter(F.element_at("path", -1) == dst)
     for _ in range(depth - 1):
         open_ = grown.filter(F.element_at("path", -1) != dst)
-        grown = open_.join(edges, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        grown = cut(open_).join(edges, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
         out = out.unionByName(grown.filter(F.element_at("path", -1) == dst))
     return out.select("path", (F.size("path") - 1).alias("length"))
 

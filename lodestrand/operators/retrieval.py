@@ -13,43 +13,54 @@ K1, B = 1.5, 0.75
 BLOCK = 512
 
 
-def postings(docs: DataFrame, id_: str, text: str, only: DataFrame | None = None) -> DataFrame:
-    """``id``, ``term``, ``tf``, ``dl``: an inverted index of lower-case words between white space; with
-    ``only`` (``term``), of these terms, which are then joined before anything is shuffled."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    rows = docs.select(F.col(id_).alias("id"), words.alias("w")).withColumn("dl", F.size("w"))
-    each = rows.select("id", "dl", F.explode("w").alias("term"))
-    if only is not None:
-        each = each.join(only, "term", "left_semi")
-    return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, id_: str, text: str, queries: DataFrame, k: int = 10, idf: str = "plus", delta: float = 0.0) -> DataFrame:
+FEW = 500_000  # rows of queries' terms that may go to every task
+
+
+def words(text: Column | str, lower: bool = True) -> Column:
+    """The words between white space, none for a null."""
+    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.filter(F.split(F.lower(c) if lower else c, r"\s+"), lambda w: w != "")
+
+
+def small(df: DataFrame, rows: int, limit: int = FEW) -> DataFrame:
+    """With a broadcast hint if it was counted and has ``limit`` rows or fewer."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def bm25(
+    docs: DataFrame, id_: str, text: str, queries: DataFrame, k: int = 10, idf: str = "plus", delta: float = 0.0, lower: bool = True, later_first: bool = False, k1: float = K1, b: float = B
+) -> DataFrame:
     """Top k documents of each query: ``qid``, ``id``, ``score``, ``rank``.
 
-    ``queries`` has ``qid`` and ``query``; it is the small side, whose terms reduce the postings before they
-    meet any statistics. A term that a query repeats counts as often. ``idf`` "plus" is ln((N - n + .5) /
-    (n + .5) + 1), never negative; "okapi" lacks the 1 and takes a quarter of the mean idf for negative ones.
-    Ties go to the smaller id. Queries without a hit give no rows.
+    ``queries`` has ``qid`` and ``query``. The words of the documents meet the queries' terms before anything is
+    shuffled, as long as these are few enough to go to every task (``FEW``, counted); only what is asked for is grouped.
+    A term that a query repeats counts as often. ``idf`` "plus" is ln((N - n + .5) / (n + .5) + 1), never negative;
+    "okapi" lacks the 1 and takes a quarter of the mean idf for negative ones. Ties go to the smaller id, or to
+    the larger one if ``later_first``. Queries without a hit give no rows, and neither do null texts.
     """
-    q = queries.select("qid", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
-    post = postings(docs, id_, text, q.select("term").distinct())
-    stats = docs.select(F.size(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")).alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
-    df = (post if idf == "plus" else postings(docs, id_, text)).groupBy("term").agg(F.count("*").alias("n"))
-    raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5) + (1 if idf == "plus" else 0))
-    df = df.withColumn("total", stats.select("total").scalar()).withColumn("idf", raw).drop("total")
+    q = queries.select("qid", F.explode(words("query", lower)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
+    q = cut(q)
+    n_q = q.count()
+    terms = small(q.select("term").distinct(), n_q)
+    rows = docs.select(F.col(id_).alias("id"), words(text, lower).alias("w")).withColumn("dl", F.size("w"))
+    total, avgdl = rows.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    each = rows.select(F.explode(F.array_distinct("w")).alias("term"))
+    df = (each if idf == "okapi" else each.join(terms, "term", "left_semi")).groupBy("term").agg(F.count("*").alias("n"))
+    df = df.withColumn("idf", F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5) + (1 if idf == "plus" else 0)))
     if idf == "okapi":
-        df = df.withColumn("idf", F.when(F.col("idf") < 0, 0.25 * df.agg(F.avg("idf")).scalar()).otherwise(F.col("idf")))
-    asked = q.join(df, "term")
-    hits = post.join(asked, "term").withColumn("avgdl", stats.select("avgdl").scalar())
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) + delta
-    scored = hits.groupBy("qid", "id").agg(F.sum(F.col("qn") * F.col("idf") * tf).alias("score"))
-    return top_k(scored, ["qid"], k)
-
-
-def top_k(scored: DataFrame, by: list[str], k: int, digits: int = 6) -> DataFrame:
-    """Best k by rounded score, ties to the smaller id."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
+        df = cut(df)
+        mean = df.agg(F.avg("idf")).first()[0] or 0.0
+        df = df.withColumn("idf", F.when(F.col("idf") < 0, 0.25 * mean).otherwise(F.col("idf")))
+    asked = cut(q.join(df, "term"))
+    post = rows.select("id", "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))) + delta
+    scored = post.join(small(asked, n_q), "term").groupBy("qid", "id").agg(F.sum(F.col("qn") * F.col("idf") * tf).alias("score"))
+    return top_k(scored, ["qid"], k, later_first=later_first)
+
+
+def top_k(scored: DataFrame, by: list[str], k: int, digits: int = 6, later_first: bool = False) -> DataFrame:
+    """Best k by rounded score, ties to the smaller id, or to the larger one."""
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("id") if later_first else F.asc("id"))
     return scored.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -18,10 +18,11 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two runs of the tasks: the records as they are, and a second run made from them by the digest of the task. Each lacks some of the tasks."""
+    records = A.last_by(_records(spark, d).filter(F.col("task_id").isNotNull()), "task_id", "idx").withColumn("h", F.conv(F.substring(F.md5("task_id"), 1, 6), 16, 10).cast("long"))
     cols = ["task_id", "idx", "context_id", "category", "score", "latency", "tokens"]
-    records = _records(spark, d).filter(F.col("task_id").isNotNull())
-    base = A.last_by(records.filter("memory = 'none'").select(*cols), "task_id", "idx")
-    return base, A.last_by(records.filter("memory <> 'none'").select(*cols), "task_id", "idx")
+    second = records.filter("h % 5 <> 0").withColumns({"score": F.when(F.col("h") % 3 == 0, 1).otherwise(F.col("score")), "latency": F.col("latency") * 1.5, "tokens": F.col("tokens") + F.col("h") % 1000})
+    return records.filter("h % 7 <> 0").select(*cols), second.select(*cols)
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -82,8 +83,8 @@ def _tiers(spark: SparkSession, d: str) -> DataFrame:
 
 def a7_mean_of_means(spark: SparkSession, d: str) -> DataFrame:
     rows = _records(spark, d).filter("category is not null").join(_tiers(spark, d), "context_id")
-    means = A.mean_of_means(rows.withColumn("score", F.col("score").cast("double")), "score", [["category", "tier", "context_id"], ["category", "tier"]])
-    return means.select("category", "tier", F.round("score", 6).alias("mean"))
+    means = A.mean_of_means(rows.withColumn("score", F.col("score").cast("double")), "score", [["category", "tier", "context_id"], ["category", "tier"], ["category"]])
+    return means.select("category", F.round("score", 6).alias("mean"))
 
 
 def a8_solving_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -170,9 +171,13 @@ def a39_population_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(F.avg("l_quantity"), "mean"), r6(F.stddev_pop("l_quantity"), "std"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.sum("l_quantity").alias("total"))
 
 
-def d20_pareto_front(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("cost"))
-    return A.pareto_front(s, "s_suppkey", ["s_acctbal"], ["cost"])
+def d20_pareto_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of a run by success (more is better), tokens and latency (less is)."""
+    lat = F.when(F.isnan("latency_s"), None).otherwise(F.col("latency_s"))
+    per = _samples(spark, d).filter("context_id is not null").groupBy("context_id").agg(F.round(A.rate(F.col("error").isNull()), 3).alias("success"), F.round(F.avg("total_tokens"), -2).alias("tokens"), F.round(F.avg(lat), 1).alias("latency"))
+    ranked = A.pareto_ranks(per.na.drop(), "context_id", ["success"], ["tokens", "latency"])
+    weighed = 0.6 * A.min_max("success") + 0.25 * (1 - A.min_max("tokens", 0.0)) + 0.15 * (1 - A.min_max("latency", 0.0))
+    return ranked.select("context_id", "front", F.round(weighed, 6).alias("score"))
 
 
 def w7_min_max(spark: SparkSession, d: str) -> DataFrame:
@@ -187,8 +192,9 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "ajdw" and k[1].i
 _REC = """WITH rec0 AS (SELECT idx, ingested_at, metadata.task_id AS task_id, metadata.context_id AS context_id, metadata.context_category AS category, coalesce(memory_type, 'none') AS memory,
   coalesce(score, 0) AS score, requirement_status, stats.latency.total_s AS latency, stats.tokens.inference.total_tokens AS tokens FROM inference_records),
 rec AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY ingested_at DESC) AS rn FROM rec0) WHERE rn = 1),
-base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY idx DESC) AS rn FROM rec WHERE task_id IS NOT NULL AND memory = 'none') WHERE rn = 1),
-mem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY idx DESC) AS rn FROM rec WHERE task_id IS NOT NULL AND memory <> 'none') WHERE rn = 1),
+tasks AS (SELECT *, ('0x' || md5(task_id)[1:6])::BIGINT AS h FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY idx DESC) AS rn FROM rec WHERE task_id IS NOT NULL) WHERE rn = 1),
+base AS (SELECT * FROM tasks WHERE h % 7 <> 0),
+mem AS (SELECT * REPLACE (CASE WHEN h % 3 = 0 THEN 1 ELSE score END AS score, latency * 1.5 AS latency, tokens + h % 1000 AS tokens) FROM tasks WHERE h % 5 <> 0),
 cmp AS (SELECT b.task_id, b.category, b.context_id, b.score AS bs, m.score AS ms, b.tokens AS bt, m.tokens AS mt, m.latency AS ml FROM base b JOIN mem m USING (task_id)),
 sam AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at) AS rn FROM sample_totals) WHERE rn = 1)
 """
@@ -207,7 +213,7 @@ SQL = {
         round(count(*) FILTER (WHERE lower(s) = 'yes')::DOUBLE / nullif(count(*) FILTER (WHERE lower(s) IN ('yes', 'no')), 0), 6) AS rate FROM (SELECT category, unnest(requirement_status) AS s FROM rec) GROUP BY 1""",
     "a6_category_rollup": _REC + f"SELECT coalesce(category, 'Overall') AS category, coalesce(memory, 'all') AS memory, count(*) AS n, round({_S}, 6) AS rate FROM rec WHERE category IS NOT NULL GROUP BY ROLLUP (rec.category, rec.memory)",
     "a7_mean_of_means": _REC + """, tiers AS (SELECT trim(context_id) AS context_id, min(lower(trim(difficulty))) AS tier FROM difficulty_tiers WHERE context_id IS NOT NULL AND difficulty IS NOT NULL GROUP BY 1)
-        SELECT category, tier, round(avg(m), 6) AS mean FROM (SELECT category, tier, context_id, avg(score::DOUBLE) AS m FROM rec JOIN tiers USING (context_id) WHERE category IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        SELECT category, round(avg(m), 6) AS mean FROM (SELECT category, tier, avg(m) AS m FROM (SELECT category, tier, context_id, avg(score::DOUBLE) AS m FROM rec JOIN tiers USING (context_id) WHERE category IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1""",
     "a8_solving_rate": _REC + f"SELECT category, count(*) FILTER (WHERE score = 1) AS score_1, count(*) FILTER (WHERE score <> 1) AS score_0, round({_S}, 6) AS rate FROM rec GROUP BY 1",
     "a9_block": _REC + f"""SELECT memory_type, count(*) AS n, count(*) FILTER (WHERE error IS NOT NULL) AS failed, round({_ACC}, 6) AS success, round(coalesce(avg(latency_s) FILTER (WHERE error IS NULL AND NOT isnan(latency_s)), 0), 6) AS latency,
         round(coalesce(avg(total_tokens) FILTER (WHERE error IS NULL), 0), 6) AS tokens FROM sam GROUP BY 1""",
@@ -227,7 +233,12 @@ SQL = {
     "a33_keyword_frequency": "SELECT tag, count(*) AS n FROM (SELECT DISTINCT memory_id, unnest(tags) AS tag FROM memory_bank) GROUP BY 1",
     "a34_access_stats": "SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1",
     "a39_population_stats": "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, min(l_quantity) AS lo, max(l_quantity) AS hi, sum(l_quantity) AS total FROM lineitem GROUP BY 1",
-    "d20_pareto_front": "SELECT s_suppkey, s_acctbal, s_nationkey AS cost FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM supplier o WHERE o.s_acctbal >= s.s_acctbal AND o.s_nationkey <= s.s_nationkey AND (o.s_acctbal > s.s_acctbal OR o.s_nationkey < s.s_nationkey))",
+    "d20_pareto_ranks": _REC.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT context_id, round(count(*) FILTER (WHERE error IS NULL)::DOUBLE / count(*), 3) AS s, round(avg(total_tokens), -2) AS t, round(avg(latency_s) FILTER (WHERE NOT isnan(latency_s)), 1) AS l FROM sam WHERE context_id IS NOT NULL GROUP BY 1),
+        q AS (SELECT * FROM p WHERE s IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL), m AS (SELECT min(s) AS s0, max(s) AS s1, min(t) AS t0, max(t) AS t1, min(l) AS l0, max(l) AS l1 FROM q),
+        f AS (SELECT context_id, (SELECT max(depth) FROM chain c WHERE c.id = q.context_id) AS front FROM q)
+        SELECT q.context_id, f.front::INTEGER AS front, round(0.6 * CASE WHEN s1 = s0 THEN 1 ELSE (s - s0) / (s1 - s0) END + 0.25 * (1 - CASE WHEN t1 = t0 THEN 0 ELSE (t - t0) / (t1 - t0) END) + 0.15 * (1 - CASE WHEN l1 = l0 THEN 0 ELSE (l - l0) / (l1 - l0) END), 6) AS score
+        FROM q JOIN f USING (context_id), m""".replace("f AS (SELECT", """dom AS (SELECT a.context_id AS up, b.context_id AS low FROM q a JOIN q b ON a.s >= b.s AND a.t <= b.t AND a.l <= b.l AND (a.s > b.s OR a.t < b.t OR a.l < b.l)),
+        chain AS (SELECT context_id AS id, 1 AS depth FROM q UNION SELECT low, depth + 1 FROM chain JOIN dom ON up = id), f AS (SELECT""", 1),
     "w7_min_max": _REC + """SELECT memory_type, round(CASE WHEN max(x) OVER () = min(x) OVER () THEN 1.0 ELSE (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) END, 6) AS scaled
         FROM (SELECT memory_type, avg(total_tokens) AS x FROM sam WHERE total_tokens IS NOT NULL AND memory_type IS NOT NULL GROUP BY 1)""",
 }

@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from lodestrand.operators import filters, graph, lifecycle, retrieval
 from lodestrand.sources.tables import table
 
-QUESTIONS = ["the agent validated the ledger", "how should the agent rinse the claim", "budget tokens instead of the cursor", "rule a threshold may rinse another basin"]
-
-
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "qid long, query string")
-
 
 def _bank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memory_bank").groupBy("memory_id").agg(F.max("content").alias("content"), F.max("type").alias("type"), F.max("usage_count").alias("usage"), F.max("success_count").alias("success"), F.max("updated_at").alias("updated_at"))
@@ -24,62 +18,18 @@ def _bank(spark: SparkSession, d: str) -> DataFrame:
 # Retrieval
 
 
-def r1_bm25_okapi(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", _questions(spark), 10, "okapi").select("qid", "id", "score", "rank")
-
-
-def r2_bm25_plus_one(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", _questions(spark), 10).select("qid", "id", "score", "rank")
-
-
-def r12_normalised_rank(spark: SparkSession, d: str) -> DataFrame:
-    hits = r2_bm25_plus_one(spark, d)
-    return hits.select("qid", "id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("qid")), 4).alias("score"))
-
-
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
 
-def _queries(spark: SparkSession, d: str):
-    rows = _vectors(spark, d).filter("vec_id < 5").orderBy("vec_id").collect()  # five query vectors, the feature's input
-    return [list(r["embedding"]) for r in rows], [int(r["vec_id"]) for r in rows]
-
-
-def r4_cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
-    q, ids = _queries(spark, d)
-    return retrieval.exact_search(_vectors(spark, d), "vec_id", "embedding", q, ids, 10).select("qid", "id", F.round("score", 4).alias("score"))
-
-
-def r9_inner_product(spark: SparkSession, d: str) -> DataFrame:
-    q, ids = _queries(spark, d)
-    return retrieval.exact_search(_vectors(spark, d), "vec_id", "embedding", q, ids, 10, "ip").filter("score >= 0.2").select("qid", "id", F.round("score", 4).alias("score"))
-
-
-def r29_l2(spark: SparkSession, d: str) -> DataFrame:
-    q, ids = _queries(spark, d)
-    return retrieval.exact_search(_vectors(spark, d), "vec_id", "embedding", q, ids, 10, "l2").select("qid", "id", F.round(-F.col("score"), 4).alias("distance"))
-
-
-def r17_rrf(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    a = retrieval.bm25(docs, "doc_id", "text", _questions(spark), 20)
-    b = retrieval.bm25(docs, "doc_id", "source", spark.createDataFrame([(i, s) for i, s in enumerate(["tool_manual", "rulebook", "chat_session", "memory_note"])], "qid long, query string"), 20)
-    return retrieval.rrf([a, b], 10).select("qid", "id", "score", "rank")
-
-
 def r26_tag_overlap(spark: SparkSession, d: str) -> DataFrame:
-    tags = ["retry", "ledger", "planning", "tools"]
-    rows = table(spark, d, "memory_bank").groupBy("memory_id").agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"))
-    top = [r["tag"] for r in rows.select(F.explode("tags").alias("tag")).groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(3).collect()]
-    n = F.size(F.array_intersect("tags", F.array(*[F.lit(t) for t in top or tags])))
-    return rows.select("memory_id", n.cast("int").alias("overlap")).filter("overlap > 0").orderBy(F.desc("overlap"), "memory_id").limit(20)
-
-
-def r18_mmr(spark: SparkSession, d: str) -> DataFrame:
-    q, ids = _queries(spark, d)
-    hits = retrieval.exact_search(_vectors(spark, d), "vec_id", "embedding", q, ids, 20)
-    return retrieval.mmr(hits.join(_vectors(spark, d), F.col("id") == F.col("vec_id")).select("qid", "id", "score", F.col("embedding").alias("v")), 10)
+    """For every memory the digest of whose id is divisible by 100: the 20 others with most tags in common."""
+    rows = table(spark, d, "memory_bank").filter("tags is not null").groupBy("memory_id").agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"))
+    tags = rows.select("memory_id", F.explode("tags").alias("tag")).filter("tag is not null")
+    asked = tags.filter(F.pmod(F.conv(F.substring(F.md5("memory_id"), 1, 8), 16, 10).cast("long"), F.lit(100)) == 0).select(F.col("memory_id").alias("of"), "tag")
+    shared = tags.join(asked, "tag").filter(F.col("of") != F.col("memory_id")).groupBy("of", "memory_id").agg(F.count("*").alias("overlap"))
+    w = Window.partitionBy("of").orderBy(F.desc("overlap"), "memory_id")
+    return shared.withColumn("rank", F.row_number().over(w)).filter("rank <= 20")
 
 
 # The same searches over the whole job: every row whose id is divisible by 100 asks, against all rows.
@@ -93,38 +43,39 @@ def _asking_texts(spark: SparkSession, d: str, col: str = "text") -> DataFrame:
     return table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col(col).alias("query"))
 
 
-def r1_bm25_okapi_whole(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", _asking_texts(spark, d), 10, "okapi").select("qid", "id", "score", "rank")
+def r1_bm25_okapi(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", _asking_texts(spark, d), 10, "okapi", lower=False, later_first=True).select("qid", "id", "score", "rank")
 
 
-def r2_bm25_plus_one_whole(spark: SparkSession, d: str) -> DataFrame:
+def r2_bm25_plus_one(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", _asking_texts(spark, d), 10).select("qid", "id", "score", "rank")
 
 
-def r12_normalised_rank_whole(spark: SparkSession, d: str) -> DataFrame:
-    hits = r2_bm25_plus_one_whole(spark, d)
+def r12_normalised_rank(spark: SparkSession, d: str) -> DataFrame:
+    hits = r2_bm25_plus_one(spark, d)
     return hits.select("qid", "id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("qid")), 4).alias("score"))
 
 
-def r4_cosine_top_k_whole(spark: SparkSession, d: str) -> DataFrame:
+def r4_cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search_all(_vectors(spark, d), "vec_id", "embedding", _asking(spark, d), 10).select("qid", "id", F.round("score", 4).alias("score"))
 
 
-def r9_inner_product_whole(spark: SparkSession, d: str) -> DataFrame:
+def r9_inner_product(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search_all(_vectors(spark, d), "vec_id", "embedding", _asking(spark, d), 10, "ip").filter("score >= 0.2").select("qid", "id", F.round("score", 4).alias("score"))
 
 
-def r29_l2_whole(spark: SparkSession, d: str) -> DataFrame:
+def r29_l2(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search_all(_vectors(spark, d), "vec_id", "embedding", _asking(spark, d), 10, "l2").select("qid", "id", F.round(-F.col("score"), 4).alias("distance"))
 
 
-def r17_rrf_whole(spark: SparkSession, d: str) -> DataFrame:
+def r17_rrf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     a = retrieval.bm25(docs, "doc_id", "text", _asking_texts(spark, d), 20)
-    return retrieval.rrf([a, retrieval.bm25(docs, "doc_id", "source", _asking_texts(spark, d, "source"), 20)], 10).select("qid", "id", "score", "rank")
+    b = retrieval.bm25(docs, "doc_id", "text", _asking_texts(spark, d), 20, "okapi", lower=False, later_first=True)
+    return retrieval.rrf([a, b], 10).select("qid", "id", "score", "rank")
 
 
-def r18_mmr_whole(spark: SparkSession, d: str) -> DataFrame:
+def r18_mmr(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieval.search_all(_vectors(spark, d), "vec_id", "embedding", _asking(spark, d), 20)
     return retrieval.mmr(hits.join(_vectors(spark, d), F.col("id") == F.col("vec_id")).select("qid", "id", "score", F.col("embedding").alias("v")), 10)
 
@@ -162,13 +113,19 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return up.unionByName(n.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"), F.lit("PARENT").alias("kind")))
 
 
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of parts, and parts of suppliers: s - p - s - p."""
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p")).distinct()
+    return li.select(F.col("s").alias("src"), F.col("p").alias("dst"), F.lit("SELLS").alias("kind")).unionByName(li.select(F.col("p").alias("src"), F.col("s").alias("dst"), F.lit("SOLD").alias("kind")))
+
+
 def g5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     seeds = spark.createDataFrame([("n3",), ("r1",)], "id string")
     return graph.neighbours(_edges(spark, d), seeds)
 
 
 def g6_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.paths(_edges(spark, d), "r1", "n2").select(F.array_join("path", ">").alias("path"), "length")
+    return graph.paths(_orders(spark, d), "s1", "s2").select(F.array_join("path", ">").alias("path"), "length")
 
 
 def g7_k_hop(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +134,7 @@ def g7_k_hop(spark: SparkSession, d: str) -> DataFrame:
 
 def j14_isolated(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    edges = table(spark, d, "orders").filter("o_totalprice > 150000").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
     return graph.isolated(nodes, edges.select("src", (-F.col("dst")).alias("dst")))
 
 
@@ -213,14 +170,17 @@ def w11_tertiles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.ntile(3).over(w).alias("tier"))
 
 
+_RULES = "(coalesce(lower(trim(source)), '') = 'rulebook')"
+
+
 def d1_new_by_signature(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("text is not null")
-    return lifecycle.new_by_signature(docs.filter("source = 'rulebook'"), docs.filter("source <> 'rulebook'"), "text", "doc_id", False, 20).select("doc_id")
+    return lifecycle.new_by_signature(docs.filter(_RULES), docs.filter(f"not {_RULES}"), "text", "doc_id", False, 20).select("doc_id")
 
 
 def d2_new_once(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("text is not null")
-    return lifecycle.new_by_signature(docs.filter("source = 'rulebook'"), docs.filter("source <> 'rulebook'"), "text", "doc_id").select("doc_id")
+    return lifecycle.new_by_signature(docs.filter(_RULES), docs.filter(f"not {_RULES}"), "text", "doc_id").select("doc_id")
 
 
 def d5_prune(spark: SparkSession, d: str) -> DataFrame:
@@ -243,13 +203,15 @@ def k8_partial_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k9_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Customers, without those who ordered something of more than 150,000."""
     c = table(spark, d, "customer").select("c_custkey")
-    return c.join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return c.join(table(spark, d, "orders").filter("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 def k15_resume(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sample_totals").select("task_id", "error")
-    return s.select("task_id").distinct().join(s.filter("error is null").select("task_id"), "task_id", "left_anti")
+    """Samples still to run: all of whose rows bear an error, or a run of more than 5 steps."""
+    s = table(spark, d, "sample_totals").select("sample_id", "error", "step_count")
+    return s.select("sample_id").distinct().join(s.filter("error is null and step_count <= 5").select("sample_id"), "sample_id", "left_anti")
 
 
 def x8_rate_limit(spark: SparkSession, d: str) -> DataFrame:
@@ -302,42 +264,37 @@ def t6_hottest(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"[a-z]+\d+_", k)}
 
-_Q = "q(qid, query) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(QUESTIONS)) + ")"
+
+_QW = "q(qid, query) AS (SELECT doc_id, text FROM documents WHERE doc_id % 100 = 0)"
 
 
-def _bm25(idf: str, col: str = "text", q: str = _Q, k: int = 10) -> str:
-    w = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> '')"
+def _bm25(idf: str, col: str = "text", q: str = _QW, k: int = 10, lower: bool = True) -> str:
+    w = "list_filter(string_split_regex(" + ("lower" if lower else "") + "(coalesce({0}, '')), '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> '')"
     return f"""{q}, dd AS (SELECT doc_id AS id, {w.format(col)} AS w FROM documents), st AS (SELECT count(*) AS total, avg(len(w)) AS avgdl FROM dd),
 post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM dd) GROUP BY ALL), df0 AS (SELECT term, ln((total - n + 0.5) / (n + 0.5) + {1 if idf == 'plus' else 0}) AS i FROM (SELECT term, count(*) AS n FROM post GROUP BY 1), st),
 df AS (SELECT term, {"i" if idf == 'plus' else "CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM df0) ELSE i END"} AS idf FROM df0),
 qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest({w.format('query')}) AS term FROM q) GROUP BY ALL),
 sc AS (SELECT qid, id, round(sum(qn * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score FROM post JOIN qt USING (term) JOIN df USING (term), st GROUP BY 1, 2),
-top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= {k})"""
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id{"" if lower else " DESC"})::INTEGER AS rank FROM sc QUALIFY rank <= {k})"""
 
 
-_V = "v AS (SELECT a.vec_id AS qid, b.vec_id AS id, {0} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 5)"
+_V = "v AS (SELECT a.vec_id AS qid, b.vec_id AS id, {0} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"
 _TOP = "SELECT qid, id, round(score, 4) AS {0} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) {1}, id) AS r FROM v) WHERE r <= 10"
 _BANK = "bank AS (SELECT memory_id, max(content) AS content, max(type) AS type, max(usage_count) AS usage, max(success_count) AS success FROM memory_bank GROUP BY 1)"
 _EDGE = "edge AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'PARENT' AS kind FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'PARENT' FROM customer)"
 SQL = {
-    "r1_bm25_okapi": "WITH " + _bm25("okapi") + " SELECT qid, id, score, rank FROM top",
-    "r2_bm25_plus_one": "WITH " + _bm25("plus") + " SELECT qid, id, score, rank FROM top",
-    "r12_normalised_rank": "WITH " + _bm25("plus") + " SELECT qid, id, round(score / max(score) OVER (PARTITION BY qid), 4) AS score FROM top",
-    "r4_cosine_top_k": "WITH " + _V.format("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("score", "DESC"),
-    "r9_inner_product": "WITH " + _V.format("list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " SELECT * FROM (" + _TOP.format("score", "DESC") + ") WHERE score >= 0.2",
-    "r29_l2": "WITH " + _V.format("list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("distance", "ASC"),
-    "r26_tag_overlap": """WITH m AS (SELECT memory_id, list_distinct(flatten(list(tags))) AS tags FROM memory_bank WHERE tags IS NOT NULL GROUP BY 1), t AS (SELECT tag FROM (SELECT memory_id, unnest(tags) AS tag FROM m) WHERE tag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, tag LIMIT 3)
-        SELECT memory_id, len(list_intersect(tags, (SELECT list(tag) FROM t)))::INTEGER AS overlap FROM m WHERE overlap > 0 ORDER BY overlap DESC, memory_id LIMIT 20""",
+    "r26_tag_overlap": """WITH t AS (SELECT DISTINCT memory_id, unnest(tags) AS tag FROM memory_bank WHERE tags IS NOT NULL), a AS (SELECT memory_id AS of, tag FROM t WHERE ('0x' || md5(memory_id)[1:8])::BIGINT % 100 = 0)
+        SELECT a.of, t.memory_id, count(*) AS overlap, row_number() OVER (PARTITION BY a.of ORDER BY count(*) DESC, t.memory_id)::INTEGER AS rank FROM t JOIN a USING (tag) WHERE tag IS NOT NULL AND a.of <> t.memory_id GROUP BY 1, 2 QUALIFY rank <= 20""",
     "pred1_filter_ast": """SELECT event_id FROM (SELECT *, json_extract(props, '$.k')::INTEGER AS k FROM events) WHERE event_type IN ('click', 'view') AND value >= 10 AND value < 60 AND NOT coalesce(k > 50, false) AND (user_id < 40 OR contains(event_type, 'vi'))""",
     "pred8_default_status": "SELECT DISTINCT memory_id FROM memory_bank WHERE type IS NULL OR type <> 'insight'",
     "pred21_keyword_or_tag": "SELECT DISTINCT memory_id FROM memory_bank WHERE contains(lower(content), 'ledger') OR len(list_filter(coalesce(tags, []), lambda t: lower(t) = 'retry')) > 0",
     "pred26_relevance": "SELECT event_id FROM events WHERE user_id % 3 = 0 OR value / 100 >= 0.5",
     "g5_neighbours": f"WITH {_EDGE} SELECT src AS id, dst AS neighbour FROM edge WHERE src IN ('n3', 'r1') UNION SELECT dst, src FROM edge WHERE dst IN ('n3', 'r1')",
-    "g6_paths": f"""WITH RECURSIVE {_EDGE}, p AS (SELECT dst AS tip, [src, dst] AS path, 1 AS length FROM edge WHERE src = 'r1' UNION ALL SELECT e.dst, list_append(path, e.dst), length + 1 FROM p JOIN edge e ON e.src = p.tip WHERE length < 3 AND NOT list_contains(path, e.dst) AND p.tip <> 'n2')
-        SELECT array_to_string(path, '>') AS path, length::INTEGER AS length FROM p WHERE tip = 'n2'""",
+    "g6_paths": """WITH RECURSIVE li AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem), edge AS (SELECT s AS src, p AS dst FROM li UNION ALL SELECT p, s FROM li), p AS (SELECT dst AS tip, [src, dst] AS path, 1 AS length FROM edge WHERE src = 's1' UNION ALL SELECT e.dst, list_append(path, e.dst), length + 1 FROM p JOIN edge e ON e.src = p.tip WHERE length < 3 AND NOT list_contains(path, e.dst) AND p.tip <> 's2')
+        SELECT array_to_string(path, '>') AS path, length::INTEGER AS length FROM p WHERE tip = 's2'""",
     "g7_k_hop": f"""WITH {_EDGE}, u AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge), h1 AS (SELECT DISTINCT b AS id FROM u WHERE a = 'r2'), h2 AS (SELECT DISTINCT u.b AS id FROM u JOIN h1 ON u.a = h1.id WHERE u.b <> 'r2' AND u.b NOT IN (SELECT id FROM h1))
         SELECT 'r2' AS id, 0::INTEGER AS hops UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""",
-    "j14_isolated": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "j14_isolated": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "g11_fold": f"""WITH {_EDGE}, f AS (SELECT DISTINCT CASE WHEN src IN ('n1','n2','r1') THEN 's1' ELSE src END AS src, CASE WHEN dst IN ('n1','n2','r1') THEN 's1' ELSE dst END AS dst, CASE WHEN dst IN ('n1','n2','r1') THEN 'folded' ELSE kind END AS kind
         FROM edge WHERE NOT (src IN ('n1','n2','r1') AND dst IN ('n1','n2','r1'))) SELECT src, kind, count(*) AS n FROM f GROUP BY 1, 2""",
     "w1_keep_latest": "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) <= 3",
@@ -345,15 +302,15 @@ SQL = {
     "w12_page_links": "SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS following FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "w9_passing_prefix": "SELECT l_orderkey, round(sum(g)::DOUBLE / count(*), 6) AS progress FROM (SELECT l_orderkey, min((l_quantity > 10)::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM lineitem) GROUP BY 1",
     "w11_tertiles": "SELECT c_custkey, ntile(3) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)::INTEGER AS tier FROM customer",
-    "d1_new_by_signature": "SELECT doc_id FROM documents WHERE text IS NOT NULL AND source <> 'rulebook' AND length(text) >= 20 AND lower(text) NOT IN (SELECT lower(text) FROM documents WHERE source = 'rulebook' AND text IS NOT NULL)",
-    "d2_new_once": """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL AND source <> 'rulebook'
-        AND lower(text) NOT IN (SELECT lower(text) FROM documents WHERE source = 'rulebook' AND text IS NOT NULL)) WHERE r = 1""",
+    "d1_new_by_signature": "SELECT doc_id FROM documents WHERE text IS NOT NULL AND coalesce(lower(trim(source)), '') <> 'rulebook' AND length(text) >= 20 AND lower(text) NOT IN (SELECT lower(text) FROM documents WHERE coalesce(lower(trim(source)), '') = 'rulebook' AND text IS NOT NULL)",
+    "d2_new_once": """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL AND coalesce(lower(trim(source)), '') <> 'rulebook'
+        AND lower(text) NOT IN (SELECT lower(text) FROM documents WHERE coalesce(lower(trim(source)), '') = 'rulebook' AND text IS NOT NULL)) WHERE r = 1""",
     "d5_prune": f"WITH {_BANK} SELECT memory_id FROM (SELECT memory_id, count(*) OVER (PARTITION BY type) AS n, row_number() OVER (PARTITION BY type ORDER BY 2 * success + usage DESC NULLS LAST, memory_id DESC) AS r FROM bank WHERE type IS NOT NULL) WHERE n <= 35 OR r <= 30",
     "d9_lfu": f"WITH {_BANK} SELECT type, memory_id AS evicted FROM bank WHERE type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY type ORDER BY usage NULLS FIRST, memory_id) = 1",
     "k7_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -1, 1.0",
     "k8_partial_update": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'PATCHED' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer",
-    "k9_delete": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "k15_resume": "SELECT task_id FROM sample_totals GROUP BY 1 HAVING count(*) FILTER (WHERE error IS NULL) = 0",
+    "k9_delete": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
+    "k15_resume": "SELECT sample_id FROM sample_totals GROUP BY 1 HAVING count(*) FILTER (WHERE error IS NULL AND step_count <= 5) = 0",
     "x8_rate_limit": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW) <= 5 AS allowed FROM events",
     "j5_tier_join": "SELECT s.context_id, count(*) AS n FROM sample_totals s JOIN (SELECT DISTINCT trim(context_id) AS context_id FROM difficulty_tiers WHERE context_id IS NOT NULL) t USING (context_id) GROUP BY 1",
     "j11_counts_or_zero": "SELECT c_custkey, count(o_orderkey) AS orders, coalesce(round(sum(o_totalprice), 2), 0.0) AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
@@ -364,13 +321,13 @@ SQL = {
     "t5_page": "SELECT s_suppkey, s_name FROM supplier ORDER BY s_name LIMIT 10 OFFSET 20",
     "t6_hottest": "SELECT user_id, round(count(*) FILTER (WHERE event_type = 'view') + count(*) + max(value), 4) AS heat FROM events GROUP BY 1 ORDER BY heat DESC, user_id LIMIT 1",
 }
-_QW = "q(qid, query) AS (SELECT doc_id, text FROM documents WHERE doc_id % 100 = 0)"
-_VW = _V.replace("a.vec_id < 5", "a.vec_id % 100 = 0")
 SQL |= {
-    "r1_bm25_okapi_whole": "WITH " + _bm25("okapi", q=_QW) + " SELECT qid, id, score, rank FROM top",
-    "r2_bm25_plus_one_whole": "WITH " + _bm25("plus", q=_QW) + " SELECT qid, id, score, rank FROM top",
-    "r12_normalised_rank_whole": "WITH " + _bm25("plus", q=_QW) + " SELECT qid, id, round(score / max(score) OVER (PARTITION BY qid), 4) AS score FROM top",
-    "r4_cosine_top_k_whole": "WITH " + _VW.format("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("score", "DESC"),
-    "r9_inner_product_whole": "WITH " + _VW.format("list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " SELECT * FROM (" + _TOP.format("score", "DESC") + ") WHERE score >= 0.2",
-    "r29_l2_whole": "WITH " + _VW.format("list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("distance", "ASC"),
+    "r17_rrf": "WITH " + _bm25("plus", k=20) + ", a AS (SELECT qid, id, rank FROM top), b AS (SELECT qid, id, rank FROM (WITH " + _bm25("okapi", k=20, lower=False) + """ SELECT * FROM top))
+        SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) QUALIFY rank <= 10""",
+    "r1_bm25_okapi": "WITH " + _bm25("okapi", lower=False) + " SELECT qid, id, score, rank FROM top",
+    "r2_bm25_plus_one": "WITH " + _bm25("plus") + " SELECT qid, id, score, rank FROM top",
+    "r12_normalised_rank": "WITH " + _bm25("plus") + " SELECT qid, id, round(score / max(score) OVER (PARTITION BY qid), 4) AS score FROM top",
+    "r4_cosine_top_k": "WITH " + _V.format("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("score", "DESC"),
+    "r9_inner_product": "WITH " + _V.format("list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " SELECT * FROM (" + _TOP.format("score", "DESC") + ") WHERE score >= 0.2",
+    "r29_l2": "WITH " + _V.format("list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + " " + _TOP.format("distance", "ASC"),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import scores as S
 from lodestrand.functions import text as X
+from lodestrand.operators import filters
 from lodestrand.sources import files
 from lodestrand.sources.tables import table
 from lodestrand.streaming import updates
@@ -31,11 +32,6 @@ def x6_quota(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x9_time_range(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.filter("user_id between 10 and 20 and value > 50").select("event_id", "user_id")
-
-
-def x9_time_range_whole(spark: SparkSession, d: str) -> DataFrame:
     """The time-range read, over all users: from the first time on, up to but without the second."""
     ts = F.col("ts")
     return table(spark, d, "events").filter((ts >= F.to_timestamp(F.lit("2024-01-08"))) & (ts < F.to_timestamp(F.lit("2024-01-22")))).select("event_id", "user_id", "ts")
@@ -88,9 +84,17 @@ def pred9_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pred11_access(spark: SparkSession, d: str) -> DataFrame:
-    """Allowed less denied: customers of some nations, less those with a large balance."""
-    c = table(spark, d, "customer")
-    return c.filter("c_nationkey < 5").select("c_custkey").join(c.filter("c_acctbal > 8000").select("c_custkey"), "c_custkey", "left_anti")
+    """Nations as readers of their customers. Rich customers are denied and poor ones allowed; nations of one kind may read
+    all, of another nothing (each after such a rule of the other kind had its turn for some), of a third have denials only, of a fourth no rules."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("reader"), F.col("c_custkey").alias("id"), "c_acctbal")
+    kind = F.col("reader") % 5
+    some = c.filter((kind == 0) & (F.col("c_acctbal") < 5000) | kind.isin(0, 4) & (F.col("c_acctbal") > 4000))
+    rules = some.select("reader", F.lit(9).alias("pos"), F.when(F.col("c_acctbal") > 4000, "deny").otherwise("allow").alias("effect"), "id")
+    rules = rules.unionByName(some.filter("c_acctbal > 4000 and c_acctbal < 5000 and reader % 5 = 0").select("reader", F.lit(8).alias("pos"), F.lit("allow").alias("effect"), "id"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("reader"))
+    whole = n.filter("reader % 5 in (1, 2)").select("reader", F.explode(F.array(F.lit(1), F.lit(2))).alias("pos"))
+    whole = whole.select("reader", "pos", F.when((F.col("reader") % 5 == 1) == (F.col("pos") == 1), "allow").otherwise("deny").alias("effect"), F.lit(None).cast("long").alias("id"))
+    return filters.accessible(rules.unionByName(whole), c.select("reader", "id"))
 
 
 def pred12_pattern_search(spark: SparkSession, d: str) -> DataFrame:
@@ -197,11 +201,6 @@ def d11_bounded_deque(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d12_history(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("user_id = 7")
-    return e.select("event_id", F.when(F.col("event_type") == "signup", "ADD").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("event"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts")).alias("pos"))
-
-
-def d12_history_whole(spark: SparkSession, d: str) -> DataFrame:
     """The history of every user, in the order of the events."""
     kind = F.when(F.col("event_type") == "signup", "ADD").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
     return table(spark, d, "events").select("event_id", "user_id", kind.alias("event"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"))
@@ -219,7 +218,6 @@ SQL = {
     "x1_stream_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "x2_stream_rows": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error'",
     "x6_quota": "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 4",
-    "x9_time_range": "SELECT event_id, user_id FROM events WHERE user_id BETWEEN 10 AND 20 AND value > 50",
     "x10_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
         SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM g GROUP BY user_id, k""",
     "s2_tolerant_lines": "SELECT source_file, count(*) FILTER (WHERE coalesce(json_valid(raw), false)) AS good, count(*) FILTER (WHERE NOT coalesce(json_valid(raw), false)) AS bad FROM tool_results GROUP BY 1",
@@ -231,7 +229,7 @@ SQL = {
     "k14_soft_delete": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'deleted' END AS status FROM customer), a AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 AND status IS NULL THEN 'deleted' ELSE status END AS status, CASE WHEN c_custkey % 6 = 0 AND status IS NULL THEN 'r1' END AS record_id FROM c),
         b AS (SELECT CASE WHEN c_custkey % 10 = 0 AND status IS NULL THEN 'activated' ELSE status END AS status, record_id FROM a) SELECT status, record_id, count(*) AS n FROM b GROUP BY 1, 2""",
     "pred9_listing": "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_name ILIKE '%1%' AND c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY c_custkey LIMIT 25 OFFSET 5",
-    "pred11_access": "SELECT c_custkey FROM customer WHERE c_nationkey < 5 AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 8000)",
+    "pred11_access": "SELECT c_nationkey AS reader, c_custkey AS id FROM customer WHERE c_nationkey % 5 IN (1, 3) OR (c_nationkey % 5 = 0 AND c_acctbal <= 4000)",
     "pred12_pattern_search": "SELECT doc_id FROM documents WHERE (contains(text, 'ledger') OR contains(text, 'kettle') OR contains(text, 'token')) AND created_at IS NOT NULL ORDER BY created_at DESC, doc_id LIMIT 40",
     "pred14_prefix_key": "SELECT DISTINCT sample_id FROM sample_totals WHERE lower(left(context_id, 6)) IN ('ctx-a1', 'ctx-b3', 'ctx-47')",
     "pred20_date_range": "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1995-03-31'",
@@ -251,8 +249,7 @@ SQL = {
     "w6_context_delta": """WITH e AS (SELECT event_id, user_id, event_type || '/' || floor(value)::BIGINT AS ctx FROM events), p AS (SELECT *, lag(ctx) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM e)
         SELECT event_id, CASE WHEN coalesce(starts_with(ctx, prev), false) THEN substr(ctx, length(prev) + 1) ELSE ctx END AS delta FROM p""",
     "d11_bounded_deque": "SELECT memory_id, type FROM (SELECT DISTINCT memory_id, type, created_at FROM memory_bank WHERE content IS NOT NULL AND lower(trim(content, ' ')) NOT IN ('', 'none')) QUALIFY row_number() OVER (PARTITION BY type ORDER BY created_at DESC NULLS LAST, memory_id DESC) <= 25",
-    "d12_history": "SELECT event_id, CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS event, row_number() OVER (ORDER BY ts)::INTEGER AS pos FROM events WHERE user_id = 7",
-    "x9_time_range_whole": "SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22'",
-    "d12_history_whole": "SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS pos FROM events",
+    "x9_time_range": "SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22'",
+    "d12_history": "SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS pos FROM events",
     "d18_dedup_status": "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) = 1 THEN 'active' ELSE 'duplicate' END AS status FROM documents WHERE text IS NOT NULL",
 }

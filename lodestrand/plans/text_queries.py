@@ -124,7 +124,13 @@ SQL = {
         c AS (SELECT *, len(list_intersect(a, b)) AS k FROM t) SELECT workflow_id, round(CASE WHEN k > 0 THEN 2.0 * k / (len(a) + len(b)) ELSE 0 END::DOUBLE, 6) AS f1 FROM c""",
     "f4_matches": f"""WITH {_FLOWS}, n AS (SELECT workflow_id, {_norm("coalesce(pred, '')")} AS p, {_norm("coalesce(gold, '')")} AS g FROM flows) SELECT workflow_id, (p = g)::INTEGER AS em, contains(p, g)::INTEGER AS sub_em FROM n""",
     "f6_parse_output": """WITH o AS (SELECT idx, min(model_output) AS o FROM inference_records GROUP BY 1)
-        SELECT idx, trim(CASE WHEN regexp_matches(o, '(?i)answer:') THEN regexp_extract(o, '(?i)answer:([^\\n]*)', 1) ELSE string_split(o, chr(10))[1] END, ' ') AS parsed FROM o""",
+        SELECT idx, trim(regexp_replace(trim(CASE WHEN regexp_matches(o, '(?i)answer:') THEN regexp_extract(o, '(?i)answer:([^\\n]*)', 1) ELSE string_split(o, chr(10))[1] END, ' '), '(?i)^answer:', ''), ' ') AS parsed FROM o""",
+    "f5_max_over_golds": f"""WITH {_FLOWS}, g AS (SELECT workflow_id, pred, unnest(string_split(gold, ' -> ')) AS g FROM flows), m AS (SELECT workflow_id, max(contains({_norm("coalesce(pred, '')")}, {_norm('g')})::INTEGER) AS best FROM g GROUP BY 1)
+        SELECT workflow_id, best FROM flows LEFT JOIN m USING (workflow_id)""",
+    "f27_estimate_tokens": """SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, floor(1.5::DOUBLE * c + 1.33::DOUBLE * w + 0.5::DOUBLE * (length(text) - c))) END::BIGINT AS n FROM (
+        SELECT doc_id, text, length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g')) AS c, len(list_filter(string_split_regex(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda w: regexp_matches(w, '\\p{L}') AND NOT regexp_matches(w, '[一-鿿]'))) AS w FROM documents)""",
+    "f42_is_english": "SELECT lang, count(*) FILTER (WHERE coalesce(regexp_full_match(text, '[\\x00-\\x7F]*'), false)) AS english, count(*) AS n FROM documents GROUP BY 1",
+    "pred15_min_length": f"""SELECT DISTINCT memory_id FROM memory_bank WHERE content IS NOT NULL AND CASE WHEN regexp_full_match(content, '[\\x00-\\x7F]*') THEN len({_tok('content')}) ELSE length(content) END >= 20""",
     "f14_standardize_string": f"WITH {_FLOWS} SELECT workflow_id, replace(lower(regexp_replace(query, '[ ,./\\-_*^]', '', 'g')), chr(39), '\"') AS std FROM flows",
     "f26_token_count": "SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> ''))::BIGINT AS n FROM documents",
     "f28_truncate_head_tail": "SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text ELSE text[1:200] || chr(10) || '...' || chr(10) || text[-200:] END) AS h FROM documents",

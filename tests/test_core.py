@@ -126,7 +126,7 @@ def test_every_hundredth_vector_asks_in_blocks(spark, tmp_path, monkeypatch):
     x = rng.normal(size=(1001, 8))
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got: dict[int, list[int]] = {}
-    for r in memory_queries.r29_l2_whole(spark, str(tmp_path)).orderBy("qid", "distance").collect():
+    for r in memory_queries.r29_l2(spark, str(tmp_path)).orderBy("qid", "distance").collect():
         got.setdefault(r["qid"], []).append(r["id"])
     assert set(got) == set(range(0, 1001, 100))
     for i, ids in got.items():
@@ -136,7 +136,7 @@ def test_every_hundredth_vector_asks_in_blocks(spark, tmp_path, monkeypatch):
 def test_every_hundredth_document_asks(spark, tmp_path):
     rows = [(i, f"word{i % 100} common", "log") for i in range(301)] + [(400, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = memory_queries.r2_bm25_plus_one_whole(spark, str(tmp_path)).filter("rank <= 4").collect()
+    got = memory_queries.r2_bm25_plus_one(spark, str(tmp_path)).filter("rank <= 4").collect()
     assert {(r["qid"], r["id"]) for r in got} == {(q, i) for q in (0, 100, 200, 300) for i in (0, 100, 200, 300)}
 
 
@@ -144,9 +144,9 @@ def test_history_and_time_range_take_all_users(spark, tmp_path):
     day = lambda n: datetime(2024, 1, n)
     rows = [(1, 7, day(9), "signup"), (2, 8, day(8), "error"), (3, 8, day(7), "view"), (4, 900, day(21), "view"), (5, None, day(22), "view"), (6, 7, day(9), "click")]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    got = {(r["event_id"], r["event"], r["pos"]) for r in more_queries.d12_history_whole(spark, str(tmp_path)).collect()}
+    got = {(r["event_id"], r["event"], r["pos"]) for r in more_queries.d12_history(spark, str(tmp_path)).collect()}
     assert got == {(1, "ADD", 1), (6, "UPDATE", 2), (3, "UPDATE", 1), (2, "DELETE", 2), (4, "UPDATE", 1), (5, "UPDATE", 1)}
-    assert {r["event_id"] for r in more_queries.x9_time_range_whole(spark, str(tmp_path)).collect()} == {1, 2, 4, 6}
+    assert {r["event_id"] for r in more_queries.x9_time_range(spark, str(tmp_path)).collect()} == {1, 2, 4, 6}
 
 
 def test_flat_table_queries_keep_keys_and_values(spark, tmp_path):
