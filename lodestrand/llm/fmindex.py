@@ -158,7 +158,7 @@ class FMIndex:
         starts = np.flatnonzero(self.lcp[:-1] < self.cap)
         self.class_lo, self.class_hi = starts, np.append(starts[1:], self.n)
         docs, idx = np.unique(owner, return_inverse=True)
-        pairs = np.unique(self.class_of * len(docs) + idx[order]) if self.n else np.zeros(0, np.int64)
+        pairs = np.unique(self.class_of.astype(np.int64) * len(docs) + idx[order]) if self.n else np.zeros(0, np.int64)
         cls = pairs // max(1, len(docs))
         self.owners = docs[pairs % max(1, len(docs))] if len(docs) else docs
         self.owner_lo = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else cls
