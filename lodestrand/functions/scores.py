@@ -32,13 +32,6 @@ def l2_normalize(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def bm25_sigmoid(raw: Column, n_terms: Column) -> Column:
-    """A lexical score as a share of 1; midpoint and steepness go by the number of query terms."""
-    mid = F.when(n_terms <= 3, 5.0).when(n_terms <= 6, 7.0).when(n_terms <= 9, 9.0).when(n_terms <= 15, 10.0).otherwise(12.0)
-    steep = F.when(n_terms <= 3, 0.7).when(n_terms <= 6, 0.6).when(n_terms <= 15, 0.5).otherwise(0.5)
-    return 1.0 / (1.0 + F.exp(-steep * (raw - mid)))
-
-
 def ordered_subsequence(a: Column, b: Column) -> Column:
     """Whether all of ``a`` occurs in ``b`` in order, with anything between."""
     at = F.aggregate(b, F.lit(0), lambda i, x: F.when((i < F.size(a)) & (F.get(a, i) == x), i + 1).otherwise(i))

@@ -79,19 +79,8 @@ WITH lines AS (
   SELECT id, r, CASE WHEN json_type(r, '$.metadata') = 'VARCHAR' THEN json_extract_string(r, '$.metadata')::JSON ELSE json_extract(r, '$.metadata') END AS m FROM firsts
 )
 """
-SQL = {
-    "p5_records": _READ
-    + """SELECT id, json_extract_string(r, '$.category') AS category, json_extract_string(r, '$.num_turns')::BIGINT AS num_turns,
-       json_extract_string(r, '$.sample_totals.total_tokens')::BIGINT AS total_tokens, json_extract_string(r, '$.metrics.success_rate')::BIGINT AS success_rate FROM firsts""",
-    "p5_metadata": _READ
-    + """SELECT id, json_extract_string(m, '$.task_id') AS task_id, json_extract_string(m, '$.context_id') AS context_id,
-       json_extract_string(m, '$.context_category') AS context_category, json_extract_string(m, '$.sub_category') AS sub_category FROM metas WHERE json_type(m) = 'OBJECT'""",
-    "p5_questions": _READ
-    + """SELECT id, i::INTEGER AS pos, json_extract_string(q, '$.question_id') AS question_id, json_extract_string(q, '$.question_type') AS question_type,
-       json_extract_string(q, '$.question_date') AS question_date
-       FROM (SELECT id, unnest(range(json_array_length(m, '$.questions')::BIGINT)) AS i, m FROM metas WHERE json_type(m, '$.questions') = 'ARRAY'),
-       LATERAL (SELECT json_extract(m, '$.questions[' || i || ']') AS q) WHERE json_type(q) <> 'NULL'""",
-    "p5_found": _READ
+STEPS = (
+    _READ
     + """, held AS (
   SELECT id, unnest([json_extract(r, '$.per_turn_totals'), json_extract(m, '$.per_turn_totals')]) AS t FROM metas
 ), shaped AS (
@@ -106,9 +95,24 @@ SQL = {
   SELECT id, turn_no, json_extract(turn, '$.input_tokens_per_step') AS s FROM turns WHERE json_type(turn) = 'OBJECT'
 ), decoded AS (
   SELECT id, turn_no, CASE WHEN json_type(s) = 'VARCHAR' AND json_extract_string(s, '$') LIKE '[%' THEN json_extract_string(s, '$')::JSON ELSE s END AS s FROM steps
-)
-SELECT DISTINCT id, turn_no::INTEGER AS turn_no, i::INTEGER AS step_no FROM (
+), found AS (
+  SELECT DISTINCT id, turn_no, i, x FROM (
   SELECT id, turn_no, i, json_extract(s, '$[' || i || ']') AS x FROM (SELECT id, turn_no, s, unnest(range(json_array_length(s)::BIGINT)) AS i FROM decoded WHERE json_type(s) = 'ARRAY')
   UNION ALL SELECT id, turn_no, 0, s FROM decoded WHERE json_type(s) NOT IN ('ARRAY', 'NULL')
-) WHERE json_type(x) <> 'NULL'""",
+) WHERE json_type(x) <> 'NULL')"""
+)
+SQL = {
+    "p5_records": _READ
+    + """SELECT id, json_extract_string(r, '$.category') AS category, json_extract_string(r, '$.num_turns')::BIGINT AS num_turns,
+       json_extract_string(r, '$.sample_totals.total_tokens')::BIGINT AS total_tokens, json_extract_string(r, '$.metrics.success_rate')::BIGINT AS success_rate FROM firsts""",
+    "p5_metadata": _READ
+    + """SELECT id, json_extract_string(m, '$.task_id') AS task_id, json_extract_string(m, '$.context_id') AS context_id,
+       json_extract_string(m, '$.context_category') AS context_category, json_extract_string(m, '$.sub_category') AS sub_category FROM metas WHERE json_type(m) = 'OBJECT'""",
+    "p5_questions": _READ
+    + """SELECT id, i::INTEGER AS pos, json_extract_string(q, '$.question_id') AS question_id, json_extract_string(q, '$.question_type') AS question_type,
+       json_extract_string(q, '$.question_date') AS question_date
+       FROM (SELECT id, unnest(range(json_array_length(m, '$.questions')::BIGINT)) AS i, m FROM metas WHERE json_type(m, '$.questions') = 'ARRAY'),
+       LATERAL (SELECT json_extract(m, '$.questions[' || i || ']') AS q) WHERE json_type(q) <> 'NULL'""",
+    "p5_found": STEPS + " SELECT DISTINCT id, turn_no::INTEGER AS turn_no, i::INTEGER AS step_no FROM found",
+    "p5_steps": STEPS.replace("WHERE json_type(x) <> 'NULL'", "WHERE true") + " SELECT id AS record_key, turn_no::INTEGER AS turn_no, i::INTEGER AS pos, json_extract_string(x, '$') AS value FROM found",
 }
