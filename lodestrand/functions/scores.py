@@ -16,6 +16,23 @@ def convert_length(value: Column, unit: str, to: str) -> Column:
     return value * METRES[unit] / METRES[to]
 
 
+#: How many of the second unit one of the first is.
+FACTORS = {("mile", "km"): 1.609344, ("inch", "cm"): 2.54, ("foot", "m"): 0.3048, ("yard", "m"): 0.9144, ("pound", "kg"): 0.45359237, ("ounce", "g"): 28.349523125, ("gallon", "litre"): 3.785411784}
+
+
+def convert(value: Column, unit: str, to: str) -> Column:
+    """Lengths, imperial units and temperatures; an unknown pair raises ValueError."""
+    if (unit, to) in FACTORS:
+        return value * FACTORS[unit, to]
+    if (to, unit) in FACTORS:
+        return value / FACTORS[to, unit]
+    if (unit, to) == ("celsius", "fahrenheit"):
+        return value * 9.0 / 5 + 32
+    if (unit, to) == ("fahrenheit", "celsius"):
+        return (value - 32) * 5.0 / 9
+    return convert_length(value, unit, to)
+
+
 def success_rate(success: Column, usage: Column) -> Column:
     """0 where a memory was never used."""
     return F.coalesce(F.try_divide(success.cast("double"), usage), F.lit(0.0))

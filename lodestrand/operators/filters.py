@@ -85,3 +85,68 @@ def accessible(rules: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.select("reader", "id").distinct().join(kinds, "reader", "left").join(own, ["reader", "id"], "left")
     allowed = F.when(F.col("ruled").isNull(), True).when(F.col("whole").isNotNull(), F.col("whole") == "allow").otherwise(F.coalesce("fine", F.lit(False)))
     return rows.filter(allowed).select("reader", "id")
+
+
+def first_operator(filters: dict | None) -> dict:
+    """The same filters as a store reads them that honours only the first operator of each field."""
+    out: dict = {}
+    for key, want in (filters or {}).items():
+        if key.lstrip("$").upper() in ("AND", "OR", "NOT"):
+            out[key] = [first_operator(x) for x in (want if isinstance(want, list) else [want])]
+        else:
+            out[key] = dict(list(want.items())[:1]) if isinstance(want, dict) else want
+    return out
+
+
+def with_dates(filters: dict) -> dict:
+    """Dates without a time in comparisons cover their whole day: ``lt`` and ``lte`` go to its end, ``gt`` and ``gte`` from its start."""
+    from datetime import date, datetime, timedelta
+
+    def moved(op: str, v: object) -> object:
+        if not isinstance(v, str):
+            return v
+        try:
+            day = date.fromisoformat(v)
+        except ValueError:
+            return v
+        start = datetime(day.year, day.month, day.day)
+        return start + timedelta(days=1) if op == "lt" else start + timedelta(days=1, microseconds=-1) if op == "lte" else start
+
+    out: dict = {}
+    for key, want in filters.items():
+        if isinstance(want, list) and key.lstrip("$").upper() in ("AND", "OR", "NOT"):
+            out[key] = [with_dates(x) for x in want]
+        else:
+            out[key] = {op: moved(op.lstrip("$"), v) for op, v in want.items()} if isinstance(want, dict) else want
+    return out
+
+
+def from_expressions(conditions: list[dict], field: Callable[[str], Column] = F.col) -> Column:
+    """A list of ``field``, ``op``, ``value``: =, in, >, >=, <, <=, contains (of a list: it has the value, or for several values any of
+    them), starts_with, ends_with; all are required. An unknown op raises ValueError."""
+    out = F.lit(True)
+    for c in conditions:
+        x, op, v = field(c["field"]), c["op"], c["value"]
+        if op == "contains":
+            cond = F.arrays_overlap(x, F.array(*map(F.lit, v))) if isinstance(v, list) else F.array_contains(x, v)
+        else:
+            name = {"=": "eq", "in": "in", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte", "starts_with": "starts_with", "ends_with": "ends_with"}.get(op)
+            if name is None:
+                raise ValueError(f"unknown filter operator {op!r}")
+            cond = _OPS[name](x, v)
+        out = out & F.coalesce(cond, F.lit(False))
+    return out
+
+
+def subset(rows: DataFrame, id_: str, wanted: DataFrame | None = None, skipped: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Only the wanted ids, then without the skipped ones, then the first ``limit`` by id."""
+    if wanted is not None:
+        rows = rows.join(wanted, id_, "left_semi")
+    if skipped is not None:
+        rows = rows.join(skipped, id_, "left_anti")
+    return rows if limit is None else rows.orderBy(id_).limit(limit)
+
+
+def fields(df: DataFrame, wanted: list[str], allowed: list[str]) -> DataFrame:
+    """Only columns that are wanted and allowed; no other name comes through."""
+    return df.select(*[F.col(f"`{c}`") for c in wanted if c in allowed and c in df.columns])

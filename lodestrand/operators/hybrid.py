@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.operators import retrieval as R
 from lodestrand.session import cut
@@ -150,3 +151,33 @@ def keyword_score(words: Column, fields: list[tuple[Column, float]]) -> Column:
 def near_existing(new: DataFrame, bank: DataFrame, least: float, k: int = 1) -> DataFrame:
     """For each new vector (``qid``, ``v``) the k nearest of the bank (``id``, ``v``) of cosine ``least`` or more."""
     return R.search_all(bank, "id", "v", new, k).filter(F.col("score") >= least)
+
+
+def first_of_similar(rows: DataFrame, by: str, id_: str, text: str, most: float, window: int = 512) -> DataFrame:
+    """Ids that stay when, within each group in the order of ids, a text goes that is like an earlier one that stayed: the cosine of their TF-IDF
+    vectors (over the group's texts) is ``most`` or more. A group is a pool of candidates; one of more than ``window`` texts is taken in runs of that many."""
+
+    def keep(part: pd.DataFrame) -> pd.DataFrame:
+        import re
+        from collections import Counter
+        from math import log
+
+        part = part.sort_values("id")
+        counts = [Counter(re.findall(r"\w\w+", t.lower())) for t in part["text"]]
+        df = Counter(w for c in counts for w in c)
+        at = {w: i for i, w in enumerate(df)}
+        x = np.zeros((len(part), max(1, len(at))), np.float32)
+        for i, c in enumerate(counts):
+            for w, n in c.items():
+                x[i, at[w]] = n * (log((1 + len(part)) / (1 + df[w])) + 1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        kept: list[int] = []
+        for i in range(len(part)):
+            if not kept or (x[kept] @ x[i]).max() < most:
+                kept.append(i)
+        return part.iloc[kept][["id"]]
+
+    run = F.floor((F.row_number().over(Window.partitionBy("by").orderBy("id")) - 1) / window)
+    pool = rows.select(F.col(by).alias("by"), F.col(id_).alias("id"), F.col(text).alias("text")).filter("text is not null and id is not null").withColumn("run", run)
+    return pool.groupBy("by", "run").applyInPandas(keep, T.StructType([T.StructField("id", rows.schema[id_].dataType)])).withColumnRenamed("id", id_)

@@ -167,7 +167,7 @@ def r27_near_existing(spark: SparkSession, d: str) -> DataFrame:
 
 def r30_reply_scores(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 4
-    reply = F.when(k == 0, F.concat(F.lit("Relevance 7 of 10, so "), F.round(F.col("value") / 100, 2).cast("string"))).when(k == 1, "no idea").when(k == 2, "score: 1.0").otherwise("12 or 0.25?")
+    reply = F.when(k == 0, F.concat(F.lit("Relevance 7 of 10, so "), (F.floor("value") / 100).cast("string"))).when(k == 1, "no idea").when(k == 2, "score: 1.0").otherwise("12 or 0.25?")
     return table(spark, d, "events").select("event_id", H.reply_score(reply).alias("score"))
 
 
@@ -280,7 +280,7 @@ _SIG = "sig AS (SELECT t.qid, t.id, 1 / (1 + exp(-(CASE WHEN n <= 3 THEN 0.7 WHE
 _KEY = "replace(coalesce(source, ''), '_', ' ')"
 _ENT = "boost AS (SELECT a.doc_id AS qid, b.doc_id AS id, 0.5 / (1 + 0.001 * (n - 1) * (n - 1))::DOUBLE AS score FROM documents a JOIN documents b USING (context_id) JOIN (SELECT context_id, count(*) AS n FROM documents GROUP BY 1) USING (context_id) WHERE a.doc_id % 200 = 0)"
 SQL = {
-    "r3_bm25_keys": "WITH " + _bm25("plus", _KEY, f"q(qid, query) AS (SELECT doc_id, {_KEY} FROM documents WHERE doc_id % 100 = 0)").replace("dl / avgdl)))), 6)", "dl / avgdl))) + 1.0)), 6)") + " SELECT qid, id, score, rank FROM top",
+    "r3_bm25_keys": "WITH " + _bm25("plus", _KEY, f"q(qid, query) AS (SELECT doc_id, {_KEY} FROM documents WHERE doc_id % 100 = 0)").replace("(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))", "(1.0 + tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))") + " SELECT qid, id, score, rank FROM top",
     "r5_cosine_or_zero": """WITH w AS (SELECT workflow_id, min(query_embedding) AS a, min(plan_embedding) AS b, count(DISTINCT query_embedding) AS n FROM workflow_instances GROUP BY 1) SELECT workflow_id, round(CASE WHEN len(a) = len(b) AND list_inner_product(a::DOUBLE[], a::DOUBLE[]) > 0 AND list_inner_product(b::DOUBLE[], b::DOUBLE[]) > 0 THEN list_inner_product(a::DOUBLE[], b::DOUBLE[]) / (sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_inner_product(b::DOUBLE[], b::DOUBLE[]))) ELSE 0 END, 4) AS cos
         FROM w WHERE len(list_filter(a, lambda x: isnan(x) OR x IS NULL OR abs(x) >= 1e30)) = 0 AND len(list_filter(b, lambda x: isnan(x) OR x IS NULL OR abs(x) >= 1e30)) = 0""",
     "r6_level_weights": "WITH " + _vec(20) + ", w AS (SELECT qid, id, score * CASE WHEN lower(trim(lang)) = 'en' THEN 1.0::DOUBLE WHEN lang IS NULL THEN 0.5 ELSE 0.8 END AS score FROM sem LEFT JOIN documents ON doc_id = id) " + _R4 + _TOP.format("w", 10),
@@ -301,7 +301,7 @@ SQL = {
     "r25_paired_sources": """WITH e AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2 AS pair FROM events), p AS (SELECT user_id, pair, round(sum(value), 6) AS score, min(event_id) AS id FROM e GROUP BY 1, 2)
         SELECT user_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY user_id ORDER BY p.score DESC, id)::INTEGER AS rank FROM p QUALIFY rank <= 2""",
     "r27_near_existing": "WITH " + _vec(3, "b.vec_id % 100 <> 0") + " " + _R4 + "sem WHERE score >= 0.3",
-    "r30_reply_scores": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN round(value / 100, 2) <= 1 THEN round(value / 100, 2) ELSE 0.5 END WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 0.25 END AS score FROM events",
+    "r30_reply_scores": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN floor(value) <= 100 THEN floor(value) / 100 ELSE 0.5 END WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 0.25 END AS score FROM events",
     "r31_bounded_store": "SELECT doc_id, md5(text[1:80]) AS entry FROM documents WHERE text IS NOT NULL AND context_id IS NOT NULL AND created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY context_id ORDER BY created_at DESC, doc_id DESC) <= 100",
     "r34_back_fill": "WITH " + _vec(60) + " SELECT qid, id, id % 2 AS kind FROM sem QUALIFY score >= 0.3 OR row_number() OVER (PARTITION BY qid, id % 2 ORDER BY score DESC, id) <= 3",
     "r35_positive_only": "WITH " + _tfidf() + ", " + _vec(1_000_000) + ", " + _BLEND.format("lex") + " " + _R4 + _TOP.format("bl", 40) + " WHERE score > 0.2",
