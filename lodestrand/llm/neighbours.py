@@ -245,7 +245,9 @@ def similar(df: DataFrame, id_: str, vectors: list[str], k: int = 5, dim: int =
     # A large group is parted into blocks of its rows and turns of its queries; every turn asks every block.
     load = placed.select("grp", F.explode("ask").alias("g")).groupBy("g").agg(F.count("*").alias("asks"), F.count_if(F.col("g") == F.col("grp")).alias("rows"))
     load = load.select("g", F.ceil(F.col("rows") / (4 * GROUP)).cast("int").alias("blocks"), F.ceil(F.col("asks") / (4 * GROUP)).cast("int").alias("turns"))
-    seen = placed.withColumn("g", F.explode("ask")).drop("ask").join(load.filter(F.col("blocks") > 0), "g")
+    load = cut(load.filter(F.col("blocks") > 0))
+    few = F.broadcast(load) if groups <= 200_000 else load  # a row for each group
+    seen = placed.withColumn("g", F.explode("ask")).drop("ask").join(few, "g")
     block, turn = F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64(F.lit(2), "no"), F.col("turns")).cast("int")
     seen = seen.withColumns({"block0": block, "turn0": turn, "owned": F.col("g") == F.col("grp")})
     # An owned row is indexed in its block for every turn, and asks in its turn in every block; one row does both where these meet.
