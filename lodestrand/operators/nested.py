@@ -7,6 +7,10 @@ can be reached from itself). Everything else is a singleton and is inlined, as c
 of its nearest ancestor that has one. Each row carries its key, its parent's table and key, and its
 position; ``place`` tells where in the record a shared element was found.
 
+An object with more than ``MAP_KEYS`` different names in all records is no record but a map (of ids, say): its entries are
+rows of a table ``<name>_entry``, with the name in ``map_key``. So the schema doesn't grow with the data, and neither does what
+the driver learns of it.
+
 The same field may come in several shapes; all are read alike: a list, a JSON text that holds a list or
 an object, an object keyed by position ("0", "1", ...), one bare object, or one bare value (position 0).
 A null inside a list keeps its position and gives no row. Rows that aren't readable JSON objects, or
@@ -27,6 +31,7 @@ from pyspark.sql import types as T
 
 from lodestrand.session import cut
 
+MAP_KEYS = 500
 RESERVED = {"record_key", "key", "parent_table", "parent_key", "pos", "place", "line_no"}
 ROW = "tbl string, line_no long, rkey string, key string, parent_table string, parent_key string, pos int, place string, attrs string"
 
@@ -86,6 +91,7 @@ class Graph:
     root: str
     edges: dict[tuple[str, str], bool] = field(default_factory=dict)  # (parent, child) -> repeated there
     attrs: dict[tuple[str, str], str] = field(default_factory=dict)  # (element, attribute) -> type
+    maps: frozenset[str] = frozenset()  # elements whose fields are entries of a map
 
     def parents(self, element: str) -> set[str]:
         return {p for p, c in self.edges if c == element}
@@ -113,41 +119,58 @@ class Graph:
         return found
 
 
-def _walk(element: str, value, seen: dict) -> None:
+def _entries(element: str, value: dict) -> dict:
+    """A map as an object with one field, the list of its entries; each with its name as ``map_key`` (an entry's own field of that name becomes ``map_key_2``)."""
+    out = []
+    for name, x in value.items():
+        d = _decode(x)
+        own = ({"map_key_2" if k == "map_key" else k: v for k, v in d.items()} if isinstance(d, dict) else {"value": x}) if d is not None else {}
+        out.append({"map_key": name, **own})
+    return {f"{element}_entry": out}
+
+
+def _walk(element: str, value, seen: dict, maps: frozenset[str] = frozenset()) -> None:
     """Adds what ``value``, an occurrence of ``element``, tells of the graph."""
     if isinstance(value, dict):
-        for name, x in value.items():
+        for name, x in (_entries(element, value) if element in maps else value).items():
             d = _decode(x)
             if isinstance(d, (dict, list)):
                 seen[element, name, "edge"] = seen.get((element, name, "edge"), False) or _repeated(d)
                 for _, y in _occurrences(d):
-                    _walk(name, y, seen)
+                    _walk(name, y, seen, maps)
             elif d is not None:
                 seen[element, name, _kind(d)] = False
     elif isinstance(value, list):
         seen[element, f"{element}_item", "edge"] = True
         for y in value:
-            _walk(f"{element}_item", _decode(y), seen)
+            _walk(f"{element}_item", _decode(y), seen, maps)
     elif value is not None:
         seen[element, "value", _kind(value)] = False
 
 
 def analyse(df: DataFrame, raw: str = "raw", root: str = "record", key_field: str = "id", envelope: str | None = "record") -> Graph:
-    """The schema graph of all rows. Only distinct (parent, child, kind) triples leave the tasks, so
-    what reaches the driver is as large as the schema."""
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        for b in batches:
-            for text in b["raw"]:
-                if (record := read_record(text, envelope, key_field)) is not None:
-                    _walk(root, record, seen)
-        yield pd.DataFrame([(p, c, k, r) for (p, c, k), r in seen.items()], columns=["p", "c", "k", "r"])
-
-    rows = df.select(F.col(raw).alias("raw")).mapInPandas(part, "p string, c string, k string, r boolean")
-    graph = Graph(root)
+    """The schema graph of all rows. Only distinct (parent, child, kind) triples leave the tasks, and the driver gets them when
+    no element has more than ``MAP_KEYS`` names: until then it learns which have more, and the rows are read again with these as maps."""
+    rows, maps = df.select(F.col(raw).alias("raw")), frozenset()
+    while True:
+
+        def part(batches: Iterator[pd.DataFrame], maps: frozenset[str] = maps) -> Iterator[pd.DataFrame]:
+            seen: dict = {}
+            for b in batches:
+                for text in b["raw"]:
+                    if (record := read_record(text, envelope, key_field)) is not None:
+                        _walk(root, record, seen, maps)
+            yield pd.DataFrame([(p, c, k, r) for (p, c, k), r in seen.items()], columns=["p", "c", "k", "r"])
+
+        triples = cut(rows.mapInPandas(part, "p string, c string, k string, r boolean").groupBy("p", "c", "k").agg(F.max("r").alias("r")))
+        wide = triples.groupBy("p").agg(F.count_distinct("c").alias("n")).filter(F.col("n") > MAP_KEYS).orderBy(F.desc("n")).limit(1000).collect()
+        found = frozenset(r["p"] for r in wide) - maps
+        if not found:
+            break
+        maps |= found
+    graph = Graph(root, maps=maps)
     kinds: dict[tuple[str, str], set[str]] = {}
-    for p, c, k, r in rows.groupBy("p", "c", "k").agg(F.max("r").alias("r")).collect():
+    for p, c, k, r in triples.collect():
         if k == "edge":
             graph.edges[p, c] = bool(r)
         else:
@@ -185,6 +208,8 @@ def shred(
             def inline(e, v, prefix, where, key=key, attrs=attrs, element=element):
                 if isinstance(v, list):
                     v = {f"{e}_item": v}
+                elif isinstance(v, dict) and e in graph.maps:
+                    v = _entries(e, v)
                 if not isinstance(v, dict):
                     attrs[f"{prefix}value"] = v
                     return

@@ -25,7 +25,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 # Filters

@@ -47,10 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> str:
+    """Has the driver's file system delete the folder when the application ends; what a lost driver leaves behind bears the application's id."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later stages, and retries after a
     lost executor, start from the files and not from the beginning."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(deleted_at_exit(spark, path))

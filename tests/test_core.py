@@ -156,5 +156,18 @@ def test_flat_table_queries_keep_keys_and_values(spark, tmp_path):
     steps = nested_queries.p5_steps(spark, str(tmp_path)).collect()
     assert {(r["pos"], r["value"]) for r in steps if r["value"] is not None} == {(0, "1"), (2, "3")}
     assert {(r["record_key"], r["parent_key"]) for r in steps} == {("a", turn["key"])}
-    meta, question = (f(spark, str(tmp_path)).first() for f in (nested_queries.p5_metadata_keyed, nested_queries.p5_questions_keyed))
-    assert question["parent_key"] == meta["key"] and meta["parent_key"] == "a"
+    meta, question = (f(spark, str(tmp_path)).first() for f in (nested_queries.p5_metadata, nested_queries.p5_questions))
+    assert question["parent_key"] == meta["key"] and meta["id"] == "a"
+
+
+def test_objects_keyed_by_ids_are_maps(spark, monkeypatch):
+    monkeypatch.setattr(nested, "MAP_KEYS", 20)
+    rows = [json.dumps({"id": f"r{i}", "by_user": {f"u{i}_{k}": {"n": k, "tags": ["x"], "map_key": "own"} for k in range(5)}, "flat": {f"v{i}_{k}": k for k in range(3)}}) for i in range(30)]
+    df = _raw(spark, [*rows, json.dumps({"id": "none", "by_user": {}, "flat": None}), None])
+    graph = nested.analyse(df)
+    assert graph.maps == {"by_user", "flat"} and len(graph.edges) < 10 and len(graph.attrs) < 12
+    t = nested.flat_tables(df)
+    entries = {(r["record_key"], r["map_key"], r["n"], r["map_key_2"]) for r in t["by_user_entry"].collect()}
+    assert entries == {(f"r{i}", f"u{i}_{k}", k, "own") for i in range(30) for k in range(5)}
+    assert t["tags"].count() == 150 and {r["map_key"] for r in t["flat_entry"].collect()} == {f"v{i}_{k}" for i in range(30) for k in range(3)}
+    assert t["record"].count() == 31 and t["_rejected"].count() == 1
