@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.hashing import powers
+from lodestrand.operators import graph
 from lodestrand.session import cut
 
 HOT, BUCKET = 512, 1_000_000
@@ -410,26 +411,6 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return between.unionByName(same)
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """Of each end of the pairs ``x``, ``y``: ``rid`` and ``root``, the least number it is linked to by any chain of pairs.
-
-    Alternating stars: each number's larger neighbours, then its smaller ones, are linked to the least number next to
-    it. That joins nothing new and cuts nothing, and the chains get about half as long each time, until every number
-    has one link, to the least of its group. The driver only hears whether that is so.
-    """
-    edges = cut(pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
-    while True:
-        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up = 1 and down > 0)").isEmpty():
-            return edges.select(F.col("u").alias("rid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("rid"), F.col("v").alias("root")).distinct())
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-
-
 def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """A row for each record: ``field``, ``id``, its text's number ``class``, how many records ``copies`` have
     that text, how many other texts ``links`` are similar to it, and its ``group``: all records that a chain of
@@ -437,7 +418,7 @@ def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
     pairs, members = cut(pairs.select("x", "y")), cut(members)
     ends = pairs.select(F.explode(F.array("x", "y")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
     copies = members.groupBy("rid").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
-    texts = copies.join(ends, "rid", "left").join(components(pairs), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    texts = copies.join(ends, "rid", "left").join(graph.components(pairs).withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     groups = texts.groupBy("root").agg(F.min("least").alias("group"))
     rows = members.join(texts.join(groups, "root"), "rid")
     return rows.select("field", "id", F.col("rid").alias("class"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "group")

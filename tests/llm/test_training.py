@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import chunking, mixing, neighbours, packing, partenum, quantiles, spans
 from lodestrand.llm.fmindex import FMIndex
+from lodestrand.operators import graph
 
 
 def words(rnd, n, vocabulary=400):
@@ -131,10 +132,10 @@ def test_components_of_long_chains_and_hubs(spark):
     n = rnd.sample(range(10_000), 400)
     pairs = [*zip(n[:150], n[1:151], strict=True), *[(n[200], x) for x in n[201:300]], *[tuple(rnd.sample(n[300:], 2)) for _ in range(60)]]
     pairs = [(min(p), max(p)) for p in pairs]
-    got = {r["rid"]: r["root"] for r in partenum.components(spark.createDataFrame(pairs, "x long, y long")).collect()}
+    got = {r["id"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "x long, y long")).collect()}
     ends = {x for p in pairs for x in p}
     assert got == grouped(ends, pairs)
-    assert partenum.components(spark.createDataFrame([], "x long, y long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
 def test_near_duplicates_of_nothing(spark):
