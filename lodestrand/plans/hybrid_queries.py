@@ -205,10 +205,9 @@ def r36_first_maximum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r37_cached_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Memories whose workflow has a vector in the cache; the others drop out."""
-    cache = table(spark, d, "workflow_instances").filter("query is not null and size(query_embedding) = 64").groupBy("query").agg(F.count("*").alias("vectors"))
-    m = table(spark, d, "memory_bank").filter("query is not null").select("memory_id", "query").distinct()
-    return m.join(cache, "query", "left_semi").groupBy("query").agg(F.count("*").alias("n")).select(F.md5("query").alias("query"), "n")
+    """Documents that have a vector in the cache, by source; the others drop out."""
+    cache = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("doc_id"))
+    return table(spark, d, "documents").join(cache, "doc_id", "left_semi").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("n"))
 
 
 def r38_two_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +305,7 @@ SQL = {
     "r34_back_fill": "WITH " + _vec(60) + " SELECT qid, id, id % 2 AS kind FROM sem QUALIFY score >= 0.3 OR row_number() OVER (PARTITION BY qid, id % 2 ORDER BY score DESC, id) <= 3",
     "r35_positive_only": "WITH " + _tfidf() + ", " + _vec(1_000_000) + ", " + _BLEND.format("lex") + " " + _R4 + _TOP.format("bl", 40) + " WHERE score > 0.2",
     "r36_first_maximum": "WITH " + _vec(1, "b.vec_id % 100 <> 0") + " " + _R4 + "sem",
-    "r37_cached_vectors": "SELECT md5(query) AS query, count(DISTINCT memory_id) AS n FROM memory_bank WHERE query IN (SELECT query FROM workflow_instances WHERE query IS NOT NULL AND len(query_embedding) = 64) GROUP BY query",
+    "r37_cached_vectors": "SELECT lower(trim(source, ' ')) AS source, count(*) AS n FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY 1",
     "r38_two_fields": """WITH m AS (SELECT memory_id, lower(coalesce(min(query), '')) AS q, lower(coalesce(min(content), '')) AS c FROM memory_bank GROUP BY 1), s AS (SELECT memory_id, len(regexp_extract_all(q, 'agent|ledger')) + len(regexp_extract_all(c, 'agent|ledger')) AS score FROM m) SELECT memory_id, score::INTEGER AS score FROM s WHERE score > 0""",
     "m6_recency": "SELECT event_id, round(value / 100 * (0.3 + 0.7::DOUBLE * pow(0.5, greatest((epoch(TIMESTAMP '2025-01-01') - epoch(date_trunc('second', ts))) / 86400.0, 0) / 14.0)), 6) AS score FROM events",
     "m7_heat": "SELECT user_id, round(count(*) FILTER (WHERE event_type = 'view') + count(*) + max(value), 4) AS heat FROM events GROUP BY 1",

@@ -239,6 +239,8 @@ SQL = {
     "j3_optional_stats": "SELECT c_mktsegment, count(*) AS n, count(v) AS with_stats, round(avg(v), 4) AS mean FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON c_custkey = o_custkey GROUP BY 1",
     "j10_categories": "SELECT p_partkey, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS flags FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1",
     "u5_ordered_subsequence": "SELECT workflow_id, regexp_matches(' ' || replace(p, ' ', '  ') || ' ', ' the (.* )? *-> (.* )? *the ') AS ok FROM (SELECT workflow_id, min(agent_planning) AS p FROM workflow_instances GROUP BY 1) WHERE p IS NOT NULL",
+    "u7_tag_jaccard": """WITH b AS (SELECT memory_id, coalesce(list_distinct(flatten(list(tags) FILTER (WHERE tags IS NOT NULL))), []) AS t FROM memory_bank GROUP BY 1), a AS (SELECT arg_min(t, memory_id) AS f FROM b)
+        SELECT memory_id, round(coalesce(len(list_intersect(coalesce(t, []), f))::DOUBLE / nullif(len(list_distinct(list_concat(coalesce(t, []), f))), 0), 0), 6) AS jaccard FROM b, a""",
     "t7_sorted_lines": "SELECT doc_id, md5(array_to_string(list_sort(string_split(text, chr(10))), chr(10))) AS h FROM documents WHERE text IS NOT NULL",
     "t8_tail": "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[-2:], chr(10))) AS h FROM documents WHERE text IS NOT NULL",
     "t10_two_keys": "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_size, p_partkey LIMIT 15",
