@@ -225,7 +225,7 @@ SQL = {
     "p1_whole": """SELECT idx, (i - 1)::INTEGER AS msg_index, md5(messages[i].content) AS digest, true AS small, true AS overlapping FROM (
   SELECT idx, messages, unnest(range(1, len(messages) + 1)) AS i FROM (SELECT idx, arg_min(messages, ingested_at) AS messages FROM inference_records WHERE idx IS NOT NULL GROUP BY 1)
 ) WHERE messages[i].content IS NOT NULL""",
-    "p6_checked": "SELECT count(*) FILTER (WHERE text <> '') AS placed, 0 AS cut_small, 0 AS lost, 0 AS overfull FROM documents",
+    "p6_checked": "SELECT count(*) FILTER (WHERE text <> '') AS placed, 0::BIGINT AS cut_small, 0::BIGINT AS lost, 0::BIGINT AS overfull FROM documents",
     "p7_checked": "SELECT DISTINCT lower(trim(source)) AS source, true AS repeats, true AS within, true AS near FROM mix_targets WHERE source IS NOT NULL",
     "p3_found": """WITH s AS (
   SELECT sample_id, arg_min({'c': context_category, 'd': strftime(run_ts, '%Y-%m-%d'), 'l': latency_s, 't': total_tokens}, ingested_at) AS r FROM sample_totals WHERE sample_id IS NOT NULL GROUP BY 1
