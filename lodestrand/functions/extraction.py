@@ -121,3 +121,24 @@ def keeps_update(old: Column, new: Column) -> Column:
     a, b = F.array_distinct(X.characters(old)), F.array_distinct(X.characters(new))
     change = 1 - F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(1.0))
     return (change != 0) & (change < F.when(X.estimate_tokens(old) < 200, 0.7).otherwise(0.2))
+
+
+def named_things(c: Column) -> Column:
+    """What a text names, by its form alone: texts in double quotes, and two or more capitalised words in a row; each once, in lower case."""
+    quoted = F.regexp_extract_all(c, F.lit('"([^"]{2,80})"'), F.lit(1))
+    proper = F.regexp_extract_all(c, F.lit(r"(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)"), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(quoted, proper), lambda x: F.lower(x)))
+
+
+def search_form(c: Column) -> Column:
+    """A text as the word search sees it where no lemmatiser is there: its lower-case words, joined by spaces."""
+    return F.array_join(X.tokens(F.lower(c)), " ")
+
+
+def flattened(config: dict, prefix: str = "") -> dict[str, str]:
+    """A nested configuration as PREFIX_A_B: "value"; None is an empty text."""
+    out: dict[str, str] = {}
+    for key, value in config.items():
+        name = f"{prefix}_{key}".strip("_").upper()
+        out |= flattened(value, name) if isinstance(value, dict) else {name: "" if value is None else str(value)}
+    return out

@@ -181,3 +181,22 @@ def first_of_similar(rows: DataFrame, by: str, id_: str, text: str, most: float,
     run = F.floor((F.row_number().over(Window.partitionBy("by").orderBy("id")) - 1) / window)
     pool = rows.select(F.col(by).alias("by"), F.col(id_).alias("id"), F.col(text).alias("text")).filter("text is not null and id is not null").withColumn("run", run)
     return pool.groupBy("by", "run").applyInPandas(keep, T.StructType([T.StructField("id", rows.schema[id_].dataType)])).withColumnRenamed("id", id_)
+
+
+def cluster_tree(nodes: DataFrame, most: int = 10, seed: int = 3) -> DataFrame:
+    """A tree of summaries over nodes (``id``, ``v``): ``level``, ``id`` and ``cluster``. Each level is a Gaussian mixture of at most ``most`` parts, and of half as many
+    as there are nodes; the next one is over the clusters' mean vectors, until there is one or two."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    level, out = 0, None
+    rows = cut(nodes.select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v")))
+    while (n := rows.count()) > 2:
+        model = GaussianMixture(featuresCol="x", predictionCol="cluster", k=max(2, min(most, n // 2)), seed=seed, maxIter=20).fit(rows.withColumn("x", array_to_vector("v")))
+        placed = cut(model.transform(rows.withColumn("x", array_to_vector("v"))).select("id", "v", "cluster"))
+        one = placed.select(F.lit(level).alias("level"), "id", "cluster")
+        out = one if out is None else out.unionByName(one)
+        long = placed.select("cluster", F.posexplode("v").alias("p", "x")).groupBy("cluster", "p").agg(F.avg("x").alias("x"))
+        rows = cut(long.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v")).select(F.col("cluster").cast("long").alias("id"), "v"))
+        level += 1
+    return out if out is not None else rows.select(F.lit(0).alias("level"), "id", F.lit(0).alias("cluster"))

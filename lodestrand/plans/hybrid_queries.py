@@ -257,7 +257,41 @@ def j18_linked(spark: SparkSession, d: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w)).filter("rank <= 12").select("qid", "id", "rank")
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"[rmjt]\d+_", k)}
+def r8_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours by random projections: what shares a bucket with a query, exactly ranked."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows = lambda x, key: x.select(F.col(key).alias("id"), array_to_vector(F.transform("v", lambda y: y.cast("double"))).alias("x"))
+    bank = rows(_bank(spark, d).filter("v is not null"), "id")
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=1.0, numHashTables=6, seed=11).fit(bank)
+    near = model.approxSimilarityJoin(rows(_asking(spark, d), "qid"), bank, 1.3, "distance")
+    hits = near.select(F.col("datasetA.id").alias("qid"), F.col("datasetB.id").alias("id"), (-F.col("distance")).alias("score")).distinct()
+    return _out(R.top_k(hits, ["qid"], 5)).select("qid", "id", F.abs("score").alias("distance"))
+
+
+def r28_cluster_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of vectors by Gaussian mixtures, then clusters of their means: ``level``, ``cluster`` and how many it holds."""
+    return H.cluster_tree(_bank(spark, d).filter("v is not null").select("id", "v"), 10).groupBy("level", "cluster").agg(F.count("*").alias("n"))
+
+
+def f13_vector_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of the vectors of prediction and reference, these being input columns: of each document and the next."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    w = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return v.join(w, "vec_id").select("vec_id", F.round(R.cosine(F.col("embedding"), F.col("next")), 4).alias("cos"))
+
+
+def d15_evolved(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest of every asking memory take on its tag; updates go by id."""
+    tag = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("tag"))
+    hits = _semantic(spark, d, 5)
+    new = hits.join(tag.withColumnRenamed("id", "qid"), "qid").select("id", "tag")
+    every = tag.join(hits.select("id").distinct(), "id", "left_semi").unionByName(new).filter("tag is not null")
+    return every.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+
+
+QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"[rmjtfd]\d+_", k)}
 
 
 def _vec(k: int, where: str = "true", measure: str = "list_cosine_similarity", name: str = "sem", order: str = "DESC") -> str:
@@ -313,6 +347,8 @@ SQL = {
     "j16_batch_search": "WITH " + _vec(3, measure="list_inner_product") + " " + _R4 + "sem",
     "t4_by_distance": "WITH " + _vec(5, measure="list_distance", order="ASC") + " SELECT qid, id, round(score, 4) AS distance FROM sem",
     "j15_words_to_rows": "WITH " + _bm25("plus", k=20) + " SELECT qid, id, lang FROM top JOIN documents ON doc_id = id WHERE lang IS NOT NULL",
+    "f13_vector_similarity": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "d15_evolved": "WITH " + _vec(5) + """, t AS (SELECT doc_id AS id, lower(trim(source, ' ')) AS tag FROM documents), u AS (SELECT s.id, t.tag FROM sem s JOIN t ON t.id = s.qid UNION SELECT id, tag FROM t WHERE id IN (SELECT id FROM sem)) SELECT id, string_agg(tag, ',' ORDER BY tag) AS tags FROM u WHERE tag IS NOT NULL GROUP BY 1""",
     "j18_linked": "WITH " + _vec(4) + """, h AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM sem), l AS (SELECT qid, id + s AS id, r + 100 AS r FROM h, (VALUES (1), (2)) t(s)), u AS (SELECT qid, id, min(r) AS r FROM (SELECT * FROM h UNION ALL SELECT * FROM l WHERE id IN (SELECT vec_id FROM embeddings)) GROUP BY 1, 2)
         SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY r, id)::INTEGER AS rank FROM u QUALIFY rank <= 12""",
 }

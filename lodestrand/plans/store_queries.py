@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.functions import extraction as E
 from lodestrand.functions import text as X
 from lodestrand.operators import filters, lifecycle
 from lodestrand.operators import hybrid as H
+from lodestrand.plans.graph_queries import SQL as GRAPH_SQL
 from lodestrand.session import shared_dir
 from lodestrand.sources import files
+from lodestrand.sources.stores import HistoryStore
 from lodestrand.sources.tables import table
 from lodestrand.streaming import broker
 
@@ -452,10 +455,61 @@ def m12_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_format(F.date_trunc("hour", t), "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"(pred|[skxdm])\d+_", k)}
+def s11_history_store(spark: SparkSession, d: str) -> DataFrame:
+    """Histories of users in a store of their own, written in two batches, and read back in order."""
+    store = HistoryStore(spark, _folder(spark))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("memory_id"), F.col("event_id").cast("string").alias("new_memory"), F.upper("event_type").alias("event"), F.col("ts").cast("timestamp").alias("created_at"))
+    store.add_history(e.filter("cast(new_memory as int) % 2 = 0"))
+    store.add_history(e.filter("cast(new_memory as int) % 2 = 1"))
+    return store.history().select("memory_id", "new_memory", "pos")
+
+
+def s11_last_messages(spark: SparkSession, d: str) -> DataFrame:
+    store = HistoryStore(spark, _folder(spark))
+    store.save_messages(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("scope"), F.col("event_type").alias("role"), F.col("ts").cast("timestamp").alias("created_at")))
+    return store.last_messages(10).select("id")
+
+
+def k5_report(spark: SparkSession, d: str) -> DataFrame:
+    """A report with a row for each category and one over all, as CSV."""
+    at = _folder(spark)
+    files.save(table(spark, d, "lineitem").rollup("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 4).alias("mean")).select(F.coalesce("l_returnflag", F.lit("all")).alias("flag"), "n", "mean"), at, "csv")
+    return files.load(spark, at, "csv", "flag string, n long, mean double")
+
+
+def m3_exchange(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrand.functions import scores as S
+
+    k = F.col("s_suppkey") % 3
+    base, target = F.when(k == 0, "USD").when(k == 1, "JPY").otherwise("EUR"), F.when(k == 0, "GBP").when(k == 1, "USD").otherwise("JPY")
+    return table(spark, d, "supplier").select("s_suppkey", F.round(S.exchanged(F.col("s_acctbal"), base, target), 6).alias("value"))
+
+
+def g18_tree_quality(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrand.functions import scores as S
+    from lodestrand.plans.graph_queries import g17_forest
+
+    return g17_forest(spark, d).select("root", F.round(S.tree_quality(F.col("depth"), F.col("leaves"), F.col("nodes"), F.col("branches"), F.lit(1), F.col("widest")), 6).alias("quality"))
+
+
+def f37_named_things(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(F.array_sort(E.named_things(F.col("text"))), "|").alias("names"))
+
+
+def f38_search_form(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(E.search_form(F.col("text"))).alias("h"))
+
+
+def f46_configuration(spark: SparkSession, d: str) -> DataFrame:
+    config = {"store": {"kind": "vector", "size": {"dim": 64}}, "key": None, "on": True}
+    return spark.createDataFrame(list(E.flattened(config, "app").items()), "name string, value string")
+
+
+QUERIES = {k: f for k, f in list(globals().items()) if re.match(r"(pred|[skxdmgf])\d+_", k)}
 
 _EV = "WITH ev AS (SELECT *, json_extract(props, '$.k')::INTEGER AS k FROM events)"
 _N = "count(*) AS n"
+_FOREST = GRAPH_SQL["g17_forest"]
 _KV = """WITH o AS (SELECT event_id, user_id AS s, CASE WHEN event_id % 7 = 0 THEN 'Bad Key' ELSE 'key_' || event_id % 3 END AS k, CASE event_type WHEN 'signup' THEN 'remove' WHEN 'error' THEN 'replace' ELSE 'add' END AS op, floor(value) <= 80 AND event_id % 7 <> 0 AS fits FROM events),
  p AS (SELECT *, coalesce(last_value(CASE WHEN op = 'add' AND fits THEN 1 WHEN op = 'remove' THEN 0 END IGNORE NULLS) OVER (PARTITION BY s, k ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS there FROM o)"""
 SQL = {
@@ -506,6 +560,16 @@ SQL = {
     "x11_tasks": "SELECT event_type AS kind, count(*) FILTER (WHERE value <= 10) AS waiting, count(*) FILTER (WHERE value > 10 AND value <= 30) AS running, count(*) FILTER (WHERE value > 30) AS finished, round(avg(floor(value)) FILTER (WHERE value > 10), 3) AS wait_s, round(avg(floor(value * 2) - floor(value)) FILTER (WHERE value > 30), 3) AS work_s FROM events GROUP BY 1",
     "x12_mirror": "WITH l AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL), o AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM l), f AS (SELECT doc_id, term, min(i) AS i FROM o GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f) SELECT term, count(*) AS n FROM r WHERE doc_id % 3 <> 0 OR r <= 5 GROUP BY 1 HAVING count(*) > 20",
     "x13_dropping": "SELECT user_id AS stream, count(*) - 30 AS dropped FROM events GROUP BY 1 HAVING count(*) > 30",
+    "s11_history_store": "SELECT user_id::VARCHAR AS memory_id, event_id::VARCHAR AS new_memory, row_number() OVER (PARTITION BY user_id ORDER BY ts, upper(event_type))::INTEGER AS pos FROM events",
+    "s11_last_messages": "SELECT event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10",
+    "k5_report": "SELECT coalesce(l_returnflag, 'all') AS flag, count(*) AS n, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY ROLLUP (l_returnflag)",
+    "m3_exchange": "SELECT s_suppkey, round(CASE s_suppkey % 3 WHEN 0 THEN s_acctbal * 0.7::DOUBLE WHEN 1 THEN round(s_acctbal / 110, 2) END, 6) AS value FROM supplier",
+    "f37_named_things": r"""WITH t AS (SELECT doc_id, list_distinct(list_transform(list_concat(regexp_extract_all(text, '"([^"]{2,80})"', 1), regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)', 1)), lambda x: lower(x))) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(list_sort(n), '|') AS names FROM t""",
+    "f38_search_form": "SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> ''), ' ')) AS h FROM documents",
+    "g18_tree_quality": "WITH t AS (" + _FOREST + """), q AS (SELECT *, branches::DOUBLE / nodes AS b, leaves::DOUBLE / nodes AS l, depth::DOUBLE / greatest(widest, 1) AS thin FROM t)
+        SELECT root, round((0.35 * (least(branches * 3, 15) + CASE WHEN b < 0.2 THEN 25 * b WHEN b <= 0.6 THEN 10 ELSE greatest(5, 22 - 20 * b) END) + 0.25 * (least(leaves * 2, 20) + CASE WHEN l < 0.3 THEN 20 * l WHEN l <= 0.7 THEN 10 ELSE greatest(3, 24 - 20 * l) END)
+        + 0.25 * greatest(0, CASE WHEN depth < 3 THEN 3 * depth WHEN depth <= 8 THEN 15 ELSE greatest(5, 27 - 1.5 * depth) END + least(widest * 1.5, 15) - CASE WHEN thin > 3 THEN 2 * (thin - 3) ELSE 0 END) + 1.5)::DOUBLE * CASE WHEN b < 0.1 AND nodes > 5 THEN 0.5 ELSE 1 END, 6) AS quality FROM q""",
+    "f46_configuration": "SELECT * FROM (VALUES ('APP_STORE_KIND', 'vector'), ('APP_STORE_SIZE_DIM', '64'), ('APP_KEY', ''), ('APP_ON', 'True')) t(name, value)",
     "d6_counters": "SELECT event_type AS kind, (event_id % 9)::INTEGER AS number, count(*) AS used, sum((value > 50)::INTEGER)::BIGINT AS success FROM events GROUP BY 1, 2",
     "d7_evicted": "SELECT event_id, ((r - 1) // 10)::INTEGER AS session FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r <= n - 10",
     "d9_lfu_over_capacity": "WITH p AS (SELECT user_id, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id) AS t FROM events GROUP BY 1, 2) SELECT user_id, event_type AS evicted FROM p WHERE t > 60 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n, event_type) = 1",
