@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,16 +37,16 @@ def compared(base: DataFrame, memory: DataFrame, key: str = "task_id") -> DataFr
     return b.join(m, key)
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, pcts: list[int]) -> DataFrame:
-    """Percentiles ``p<pct>`` as s[min(floor(n p / 100), n - 1)] of the sorted values, with ``n``.
+def ranked(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at ranks (from 0) of the sorted values of each group: ``by``, ``n``, and a column for each of ``ranks``, which gives the rank for the group's size.
 
     Equal values are counted first, so a group's rows meet as counts. The counts' prefix sums then come from ranges of
     values: the group's values are dealt to ranges by approximate percentiles, the ranges summed, and only the
-    range that holds an asked rank is ordered. So no task sorts a whole group, however large it is.
+    ranges that hold an asked rank are ordered. So no task sorts a whole group, however large it is. Null and NaN are no values.
     """
-    v = F.col(value).cast("double")
     if not by:
-        return nearest_rank(df.withColumn("__all", F.lit(0)), ["__all"], value, pcts).drop("__all")
+        return ranked(df.withColumn("__all", F.lit(0)), ["__all"], value, ranks).drop("__all")
+    v = F.col(value).cast("double")
     counts = cut(df.filter(F.col(value).isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg(F.count("*").alias("c")))
     edges = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("edges"))
     same = [F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
@@ -55,7 +55,7 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, pcts: list[int]) -> D
     sums = ranged.groupBy(*by, "n", "range").agg(F.sum("c").alias("c"))
     w = Window.partitionBy(*by).orderBy("range")  # over at most 64 rows
     sums = sums.withColumn("through", F.sum("c").over(w)).withColumn("under", F.col("through") - F.col("c"))
-    at = F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).alias("at")) for p in pcts])
+    at = F.array(*[F.struct(F.lit(k).alias("p"), of(F.col("n")).cast("long").alias("at")) for k, of in ranks.items()])
     held = F.filter(at, lambda x: (x["at"] >= F.col("under")) & (x["at"] < F.col("through")))
     sums = sums.withColumn("asked", held).filter(F.size("asked") > 0).select(*by, "range", "under", "asked")
     same = [F.col(f"s.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "range"]]
@@ -63,7 +63,20 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, pcts: list[int]) -> D
     run = Window.partitionBy(*by, "range").orderBy("v")
     inside = inside.withColumn("to", F.col("under") + F.sum("c").over(run))
     hit = inside.select(*by, "n", "v", F.explode(F.filter("asked", lambda x: (x["at"] < F.col("to")) & (x["at"] >= F.col("to") - F.col("c")))).alias("a"))
-    return hit.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("a.p") == p, F.col("v"))).alias(f"p{p}") for p in pcts])
+    return hit.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("a.p") == k, F.col("v"))).alias(k) for k in ranks])
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, pcts: list[int]) -> DataFrame:
+    """Percentiles ``p<pct>`` as s[min(floor(n p / 100), n - 1)] of the sorted values, with ``n``, see :func:`ranked`."""
+    return ranked(df, by, value, {f"p{p}": lambda n, p=p: F.least(F.floor(n * p / 100), n - 1) for p in pcts})
+
+
+def linear_percentiles(df: DataFrame, by: list[str], value: str, pcts: list[int]) -> DataFrame:
+    """Percentiles ``p<pct>`` between the values around the place (n - 1) p / 100, with ``n``, see :func:`ranked`."""
+    place = lambda n, p: (n - 1) * p / 100
+    ends = {f"{side}{p}": lambda n, p=p, round_=round_: round_(place(n, p)) for p in pcts for side, round_ in (("lo", F.floor), ("hi", F.ceil))}
+    part = lambda p: place(F.col("n"), p) - F.floor(place(F.col("n"), p))
+    return ranked(df, by, value, ends).select(*by, "n", *[(F.col(f"lo{p}") + part(p) * (F.col(f"hi{p}") - F.col(f"lo{p}"))).alias(f"p{p}") for p in pcts])
 
 
 def min_max(c: str, constant: float = 1.0) -> Column:

@@ -112,9 +112,17 @@ def a18_weighted_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(r6(F.sum(F.col("acc") * F.col("n")) / F.sum("n"), "weighted"), r6(F.avg("acc"), "unweighted"))
 
 
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Joined by keys that may be null."""
+    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(r, same).drop(*[f"__{k}" for k in keys])
+
+
 def a20_spread(spark: SparkSession, d: str) -> DataFrame:
     x = _samples(spark, d).filter("latency_s > 0 and not isnan(latency_s)")
-    return x.groupBy("memory_type").agg(r6(F.avg("latency_s"), "mean"), F.round(F.stddev_samp("latency_s"), 4).alias("std"), r6(F.percentile("latency_s", 0.95), "p95"))
+    p = A.linear_percentiles(x, ["memory_type"], "latency_s", [95]).select("memory_type", r6(F.col("p95"), "p95"))
+    return _with(x.groupBy("memory_type").agg(r6(F.avg("latency_s"), "mean"), F.round(F.stddev_samp("latency_s"), 4).alias("std")), p, ["memory_type"])
 
 
 def a21_sensitivity(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +133,9 @@ def a21_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 def a22_unpivoted_stats(spark: SparkSession, d: str) -> DataFrame:
     x = _samples(spark, d).select("context_category", F.col("step_count").cast("double").alias("steps"), F.col("input_tokens").cast("double").alias("input"), F.col("output_tokens").cast("double").alias("output"))
     x = x.unpivot(["context_category"], ["steps", "input", "output"], "metric", "v").filter("v is not null")
-    return x.groupBy("context_category", "metric").agg(F.count("*").alias("n"), r6(F.avg("v"), "mean"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 4).alias("std"), r6(F.percentile("v", 0.5), "median"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    p = A.linear_percentiles(x, ["context_category", "metric"], "v", [50]).select("context_category", "metric", r6(F.col("p50"), "median"))
+    stats = x.groupBy("context_category", "metric").agg(F.count("*").alias("n"), r6(F.avg("v"), "mean"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 4).alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return _with(stats, p, ["context_category", "metric"])
 
 
 def a24_runs_spread(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from lodestrand.functions import text as X
 from lodestrand.operators import filters, lifecycle
 from lodestrand.operators import hybrid as H
 from lodestrand.plans.graph_queries import SQL as GRAPH_SQL
-from lodestrand.session import shared_dir
+from lodestrand.session import fresh_dir
 from lodestrand.sources import files
 from lodestrand.sources.stores import HistoryStore
 from lodestrand.sources.tables import table
@@ -27,13 +26,6 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def _folder(spark: SparkSession) -> str:
-    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
-
-
 # Filters
 
 
@@ -135,14 +127,14 @@ def pred25_where(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s1_json_lines(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = fresh_dir(spark)
     e = table(spark, d, "events").select("event_id", "event_type", "value")
     e.select(F.concat(F.to_json(F.struct("*")), F.when(F.col("event_id") % 3 == 0, "\n   ").otherwise("")).alias("value")).write.text(at)
     return files.json_lines(spark, at, e.schema)[0]
 
 
 def s2_bad_lines(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = fresh_dir(spark)
     e = table(spark, d, "events").select("event_id", "event_type")
     e.select(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct("*"))).alias("value")).write.text(at)
     good, bad = files.json_lines(spark, at, e.schema)
@@ -151,7 +143,7 @@ def s2_bad_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def s3_json_folder(spark: SparkSession, d: str) -> DataFrame:
     """Files of one object or one list each."""
-    at = _folder(spark)
+    at = fresh_dir(spark)
     e = table(spark, d, "events").select("event_type", F.struct("event_id", "user_id").alias("o"))
     e.groupBy("event_type").agg(F.to_json(F.array_sort(F.collect_list("o"))).alias("value")).select("value").repartition(4).write.text(at + "/lists")
     table(spark, d, "region").select(F.to_json(F.struct(F.col("r_regionkey").cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"))).alias("value")).repartition(5).write.text(at + "/objects")
@@ -159,7 +151,7 @@ def s3_json_folder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s4_path_attributes(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = fresh_dir(spark)
     s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "bm25_topk5").otherwise("graph_topk10").alias("run"))
     s.write.partitionBy("run").json(at)
     a = files.path_attributes(F.col("path"))
@@ -168,7 +160,7 @@ def s4_path_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s5_csv_dicts(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = fresh_dir(spark)
     table(spark, d, "difficulty_tiers").write.option("header", True).option("quoteAll", True).csv(at)
     t = spark.read.option("header", True).schema("context_id string, context_category string, difficulty string").csv(at)
     return t.groupBy(F.lower(F.trim("difficulty")).alias("tier")).agg(F.count("*").alias("n"))
@@ -176,7 +168,7 @@ def s5_csv_dicts(spark: SparkSession, d: str) -> DataFrame:
 
 def s6_ciphered(spark: SparkSession, d: str) -> DataFrame:
     """Texts enciphered, written as CSV, read and deciphered."""
-    at = _folder(spark)
+    at = fresh_dir(spark)
     s = table(spark, d, "supplier").select("s_suppkey", files.xor_encoded(F.col("s_name"), F.concat(F.lit("key"), F.col("s_suppkey"))).alias("prompt"))
     s.write.option("header", True).csv(at)
     rows = spark.read.option("header", True).schema("s_suppkey long, prompt string").csv(at)
@@ -197,7 +189,7 @@ def s8_split_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 def s9_text_and_questions(spark: SparkSession, d: str) -> DataFrame:
     """Context texts as files and questions as JSON, joined by name; a sample by digest."""
-    at = _folder(spark)
+    at = fresh_dir(spark)
     f = table(spark, d, "workflow_instances").filter("query is not null").groupBy("workflow_id").agg(F.min("query").alias("query"))
     f.select(F.to_json(F.struct("workflow_id", F.col("query").alias("question"))).alias("value")).write.text(at)
     q = spark.read.schema("workflow_id string, question string").json(at)
@@ -206,7 +198,7 @@ def s9_text_and_questions(spark: SparkSession, d: str) -> DataFrame:
 
 def s10_log_file(spark: SparkSession, d: str) -> DataFrame:
     """A log with phases that open and close, and steps between."""
-    at = _folder(spark)
+    at = fresh_dir(spark)
     e = table(spark, d, "events")
     line = F.when(F.col("event_type") == "signup", "phase start").when(F.col("event_type") == "purchase", "phase done").otherwise(F.concat(F.lit("step "), "event_id"))
     e.select(F.concat_ws("\t", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.concat(F.lit("user="), "user_id"), F.concat(F.lit("n="), "event_id"), line).alias("value")).write.text(at)
@@ -221,7 +213,7 @@ def s13_loaders(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
     out = None
     for kind in ("csv", "json", "xml", "text", "html"):
-        at = _folder(spark)
+        at = fresh_dir(spark)
         files.save(n, at, kind)
         one = files.load(spark, at, kind, "id long, name string").select(F.lit(kind).alias("kind"), "id", "name")
         out = one if out is None else out.unionByName(one)
@@ -229,7 +221,7 @@ def s13_loaders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k1_append(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = fresh_dir(spark)
     e = table(spark, d, "events").select("event_id", "value")
     for k in range(3):
         files.append_json(e.filter(F.col("event_id") % 3 == k), at)
@@ -238,14 +230,14 @@ def k1_append(spark: SparkSession, d: str) -> DataFrame:
 
 def k2_two_headers(spark: SparkSession, d: str) -> DataFrame:
     """A table with two header rows, as text; all of it is read again."""
-    at = _folder(spark)
+    at = fresh_dir(spark)
     n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.min("n_name").alias("first")).orderBy("n_regionkey")
     files.write_tsv(n, at, [["", "count", "name"], ["region", "n", "first"]])
     return spark.read.text(at).select("value")
 
 
 def k3_summaries(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = fresh_dir(spark)
     s = table(spark, d, "supplier")
     s.select("s_suppkey", "s_nationkey", "s_acctbal").write.option("header", True).csv(at + "/samples")
     s.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 4).alias("mean")).write.option("header", True).csv(at + "/summary")
@@ -253,7 +245,7 @@ def k3_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k4_ranked_file(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = fresh_dir(spark)
     files.write_ranked_csv(table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("score")), "score", at, "s_suppkey")
     return spark.read.option("header", True).schema("s_suppkey long, score string, rank long").csv(at)
 
@@ -274,7 +266,7 @@ def k11_history(spark: SparkSession, d: str) -> DataFrame:
 
 def k13_score_files(spark: SparkSession, d: str) -> DataFrame:
     """Score files of several runs, a folder each, in one table."""
-    at = _folder(spark)
+    at = fresh_dir(spark)
     o = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("model"), "o_orderpriority").agg(F.round(F.avg("o_totalprice"), 2).alias("score"))
     o.write.partitionBy("model").json(at)
     rows = spark.read.schema("o_orderpriority string, score double, model string").option("basePath", at).json(at)
@@ -457,7 +449,7 @@ def m12_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 def s11_history_store(spark: SparkSession, d: str) -> DataFrame:
     """Histories of users in a store of their own, written in two batches, and read back in order."""
-    store = HistoryStore(spark, _folder(spark))
+    store = HistoryStore(spark, fresh_dir(spark))
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("memory_id"), F.col("event_id").cast("string").alias("new_memory"), F.upper("event_type").alias("event"), F.col("ts").cast("timestamp").alias("created_at"))
     store.add_history(e.filter("cast(new_memory as int) % 2 = 0"))
     store.add_history(e.filter("cast(new_memory as int) % 2 = 1"))
@@ -465,14 +457,14 @@ def s11_history_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s11_last_messages(spark: SparkSession, d: str) -> DataFrame:
-    store = HistoryStore(spark, _folder(spark))
+    store = HistoryStore(spark, fresh_dir(spark))
     store.save_messages(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("scope"), F.col("event_type").alias("role"), F.col("ts").cast("timestamp").alias("created_at")))
     return store.last_messages(10).select("id")
 
 
 def k5_report(spark: SparkSession, d: str) -> DataFrame:
     """A report with a row for each category and one over all, as CSV."""
-    at = _folder(spark)
+    at = fresh_dir(spark)
     files.save(table(spark, d, "lineitem").rollup("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 4).alias("mean")).select(F.coalesce("l_returnflag", F.lit("all")).alias("flag"), "n", "mean"), at, "csv")
     return files.load(spark, at, "csv", "flag string, n long, mean double")
 

@@ -48,16 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def deleted_at_exit(spark: SparkSession, path: str) -> str:
-    """Has the driver's file system delete the folder when the application ends; what a lost driver leaves behind bears the application's id."""
+    """Has the driver's file system delete the folder, which is made if it isn't there, when the application ends. What a lost driver leaves behind bears the application's id."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
     return path
 
 
+def fresh_dir(spark: SparkSession) -> str:
+    """A path in the shared folder at which nothing is yet, within a folder that is deleted at exit."""
+    return deleted_at_exit(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}") + "/data"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later stages, and retries after a
     lost executor, start from the files and not from the beginning."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(deleted_at_exit(spark, path))
+    return spark.read.schema(df.schema).parquet(path)

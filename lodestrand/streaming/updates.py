@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrand.session import deleted_at_exit, shared_dir
+from lodestrand.session import fresh_dir
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str, files: int = 1) -> DataFrame:
@@ -20,9 +18,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and returns what it wrote. In append mode each micro-batch has a
     folder of its own, which a repeated batch overwrites; in complete mode the last result stays."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(at))
-    deleted_at_exit(spark, at)
+    at = fresh_dir(spark)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/{'all' if mode == 'complete' else f'batch={epoch}'}")

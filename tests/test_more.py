@@ -134,6 +134,8 @@ def test_percentiles_by_ranges_with_hot_groups(spark):
     got = {r["g"]: r for r in analytics.nearest_rank(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0, 50, 99, 100]).collect()}
     x = np.sort([v for g, v in rows if g == "hot" and v is not None])
     assert [got["hot"][f"p{p}"] for p in (0, 50, 99, 100)] == [x[min(int(len(x) * p / 100), len(x) - 1)] for p in (0, 50, 99, 100)]
+    lin = {r["g"]: r["p95"] for r in analytics.linear_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [95]).collect()}
+    assert lin["hot"] == pytest.approx(np.percentile(x, 95)) and lin["few"] == pytest.approx(1.95) and lin["same"] == 5.0
     assert got["few"]["p50"] == 2.0 and got["same"]["p99"] == 5.0 and got[None]["p50"] == 3.0 and "nan" not in got
 
 
