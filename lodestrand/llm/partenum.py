@@ -379,7 +379,8 @@ def near_duplicates(df: DataFrame, field: str, id_: str, text: str, threshold: F
     full, block = texts.select("rid", "norm", "field"), F.shiftright("rid", 10)
     common = _common(texts, n, buckets, width)
     packed = full.mapInArrow(_packer(buckets, width, common), "place int, bucket int, block long, hash binary, delta binary")
-    shared = packed.groupBy("place").applyInPandas(_sharer(buckets), "block long, bucket int, hash binary, delta binary, grade binary")
+    parts = 4 * buckets if buckets < 2000 else buckets  # a bucket is about 14 MB, so few of them should meet in a task
+    shared = packed.repartition(parts, "place").groupBy("place").applyInPandas(_sharer(buckets), "block long, bucket int, hash binary, delta binary, grade binary")
     profiles = full.mapInArrow(_profiler(buckets, width, g), "rid long, n int, s0 long, s1 long, counts binary").withColumn("block", block)
     signed = profiles.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_signer(g), "rid long, n int, s0 long, s1 long, cool array<long>, warm array<long>")
     pairs = cut(_candidates(cut(signed), texts, buckets, g, width))
