@@ -302,8 +302,9 @@ def _search(docs: DataFrame, id_: str, text: str, least: int, want: str) -> tupl
     turns = streamed.groupBy("shard").agg(F.ceil(F.sum(F.char_length("piece")) / STREAM).cast("int").alias("turns"))
     asks = streamed.join(turns, "shard").select("shard", F.pmod(F.xxhash64("id", "a"), F.col("turns")).cast("int").alias("turn"), F.lit(False).alias("own"), "id", "a", "piece")
     owns = units.withColumn("shard", home).join(turns, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(True).alias("own"), "id", "a", "piece")
-    tasks = turns.agg(F.sum("turns")).first()[0] or 1  # a task each: they are long for their size
-    found = asks.unionByName(owns).repartition(tasks, "shard", "turn").groupBy("shard", "turn").applyInPandas(_matcher(least, want), "x long, y long, a int, b int")
+    tasks = turns.agg(F.sum("turns")).first()[0] or 1
+    parts = 4 * tasks if tasks < 2000 else tasks  # they are long for their size, so few of them should meet in a task
+    found = asks.unionByName(owns).repartition(parts, "shard", "turn").groupBy("shard", "turn").applyInPandas(_matcher(least, want), "x long, y long, a int, b int")
     return found if stretches is None else found.unionByName(stretches), members
 
 
