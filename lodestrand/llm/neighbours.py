@@ -255,8 +255,9 @@ def similar(df: DataFrame, id_: str, vectors: list[str], k: int = 5, dim: int =
     seen = seen.withColumn("at", F.explode(F.filter(here, lambda x: (x["turn"] == F.col("turn0")) | (F.col("owned") & (x["block"] == F.col("block0"))))))
     owns = F.col("owned") & (F.col("at.block") == F.col("block0"))
     both = seen.select("f", "g", "at.block", "at.turn", "no", "h1", "cell", "unit", F.when(owns, F.col("codes")).alias("codes"), owns.alias("own"), (F.col("at.turn") == F.col("turn0")).alias("asks"))
-    tasks = load.agg(F.sum(F.col("blocks") * F.col("turns"))).first()[0] or 1  # a task each: they are long for their size
-    hits = both.repartition(tasks, "g", "block", "turn").groupBy("g", "block", "turn").applyInPandas(_searcher(models, dim, k), "q long, c long, cos double, tie long")
+    tasks = load.agg(F.sum(F.col("blocks") * F.col("turns"))).first()[0] or 1
+    parts = 4 * tasks if tasks < 2000 else tasks  # they are long for their size, so few of them should meet in a task
+    hits = both.repartition(parts, "g", "block", "turn").groupBy("g", "block", "turn").applyInPandas(_searcher(models, dim, k), "q long, c long, cos double, tie long")
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "tie", "c"))).filter(F.col("r") <= k).select("q", "c", "cos")
     # From distinct vectors back to rows: the least k + 1 members of a vector are all that an answer can hold.
     few = members.withColumn("m", F.row_number().over(Window.partitionBy("no").orderBy("id"))).filter(F.col("m") <= k + 1).select(F.col("no").alias("c"), F.col("id").alias("neighbour"))
