@@ -19,7 +19,7 @@ from lodestrand.llm.tokens import token_count
 from lodestrand.session import cut
 from lodestrand.sources.tables import table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # unless the session's setting spark.lodestrand.tokenizer names another file of ranks
 CAPACITY = 2048
 BOUNDS = [("latency_s", 50, 20.0), ("latency_s", 95, 150.0), ("total_tokens", 50, 15_000.0), ("total_tokens", 95, 150_000.0)]
 
@@ -131,7 +131,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    return docs.select("doc_id", "source", F.char_length("text").alias("chars"), token_count("text", TOKENIZER).alias("tokens"))
+    return docs.select("doc_id", "source", F.char_length("text").alias("chars"), token_count("text", spark.conf.get("spark.lodestrand.tokenizer", TOKENIZER)).alias("tokens"))
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import pandas as pd
@@ -17,6 +18,10 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 def _encoding(path: str, pattern: str):
     import tiktoken
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -24,7 +29,7 @@ def _encoding(path: str, pattern: str):
 
 def token_count(text: Column | str, path: str, pattern: str = PATTERN) -> Column:
     """Number of tokens of each text; 0 for an empty text, null for a null. ``path`` names a file of
-    ranks that every executor can read; each Python worker loads it once."""
+    ranks that every executor can read, or that was shipped to them by ``SparkContext.addFile``; each Python worker loads it once."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
