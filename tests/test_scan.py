@@ -101,6 +101,7 @@ def crowd(spark, tmp_path_factory):
 @pytest.mark.parametrize(("name", "rows"), [
     ("r12_normalised_rank", 200),
     ("r15_hybrid_cut", 210),
+    ("r20_additive", 30),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
