@@ -102,6 +102,7 @@ def crowd(spark, tmp_path_factory):
     ("r12_normalised_rank", 200),
     ("r15_hybrid_cut", 210),
     ("r20_additive", 30),
+    ("v1_retrieve", 100),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
