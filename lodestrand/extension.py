@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.operators import graph, lifecycle, retrieval
+from lodestrand.session import cut
 
 Embedder = Callable[[Column], Column]
 
@@ -122,7 +123,8 @@ class RecallAgent(Agent):
         self.store, self.k = store, k
 
     def utilize(self, prompts: DataFrame) -> DataFrame:
-        hits = self.store.retrieve(prompts, self.k).join(self.store.bank.select("id", "text"), "id")
+        hits = cut(self.store.retrieve(prompts, self.k))  # few, so the bank's texts aren't shuffled
+        hits = retrieval.small(hits, hits.count()).join(self.store.bank.select("id", "text"), "id")
         best = hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("memory"))
         self.usage.add(1, 0)
         return prompts.join(best, "qid", "left").withColumn("memory", F.coalesce("memory", F.lit("")))

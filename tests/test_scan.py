@@ -103,6 +103,7 @@ def crowd(spark, tmp_path_factory):
     ("r15_hybrid_cut", 210),
     ("r20_additive", 30),
     ("v1_retrieve", 100),
+    ("v4_provide", 20),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
