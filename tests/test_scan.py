@@ -104,6 +104,7 @@ def crowd(spark, tmp_path_factory):
     ("r20_additive", 30),
     ("v1_retrieve", 100),
     ("v4_provide", 20),
+    ("r16_rank_fusion", 210),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
