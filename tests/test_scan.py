@@ -105,6 +105,7 @@ def crowd(spark, tmp_path_factory):
     ("v1_retrieve", 100),
     ("v4_provide", 20),
     ("r16_rank_fusion", 210),
+    ("r19_recall_pipeline", 201),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
