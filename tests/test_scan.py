@@ -106,6 +106,7 @@ def crowd(spark, tmp_path_factory):
     ("v4_provide", 20),
     ("r16_rank_fusion", 210),
     ("r19_recall_pipeline", 201),
+    ("r21_multi_signal", 30),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
