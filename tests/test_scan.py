@@ -108,6 +108,7 @@ def crowd(spark, tmp_path_factory):
     ("r19_recall_pipeline", 201),
     ("r21_multi_signal", 30),
     ("r2_bm25_plus_one", 200),
+    ("m9_sigmoid", 200),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
