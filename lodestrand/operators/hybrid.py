@@ -10,21 +10,32 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.operators import retrieval as R
+from lodestrand.operators.scan import Block, Weigh, top_words
 from lodestrand.session import cut
 
 
+KNOWN = 2_000_000  # words that may go to every task
+
+
+def _runs(column: str, stop: tuple[str, ...] = ()) -> Column:
+    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.filter(runs, lambda w: ~w.isin(*stop)) if stop else runs
+
+
 def tfidf(docs: DataFrame, id_: str, text: str, queries: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     """Cosine of TF-IDF vectors, for all pairs of query and document with a word in common: ``qid``, ``id``, ``score``.
 
     Words are runs of two or more letters, digits or ``_`` of the lower-case text, without ``stop``. The weight is tf (ln((1 + n) /
     (1 + df)) + 1); vectors have unit length. Words of a query that no document has don't count.
     """
-    words = lambda c: F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop) if stop else F.lit(True))
+    words = lambda c: _runs(c, stop)
     rows = docs.select(F.col(id_).alias("id"), words(text).alias("w"))
     n = rows.count()
     df = cut(rows.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
@@ -39,6 +50,55 @@ def tfidf(docs: DataFrame, id_: str, text: str, queries: DataFrame, stop: tuple[
     return weighed(rows, "id").join(q, "term").groupBy("qid", "id").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
 
 
+def blended_top(docs: DataFrame, id_: str, text: str, queries: DataFrame, bank: DataFrame, asking: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
+    """The best k of each query by ``blended`` scores of ``tfidf`` and of the cosine, over all pairs that have a word in common or two vectors of one
+    length, none of which is shuffled: ``qid``, ``id``, ``score``, ``rank``. ``bank`` has ``id`` and ``v``, ``asking`` ``qid``, unique, and ``v``.
+
+    Words of two documents or more go to every task, as well as the queries, so that a task has the length of its documents' vectors; of more
+    than ``KNOWN`` words the lengths are joined instead.
+    """
+    rows = docs.select(F.col(id_).cast("long").alias("id"), _runs(text).alias("w"))
+    ids = rows.groupBy("id").agg(F.count("*").alias("n"))
+    again = F.col("id").isNull() | (F.col("n") > 1)
+    n, repeated = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(again)).first()
+    idf = lambda df: F.log((1.0 + n) / (1.0 + df)) + 1
+    df = cut(rows.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).withColumn("idf", idf(F.col("n"))))
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.explode(_runs("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("tf"))
+    q = q.join(df, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    asked = cut(q.select("qid", "term", (weight * F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("qid")))).alias("y"), "n"))
+    if repeated:  # documents with the same id are one
+        own = R.small(cut(ids.filter(again).select(F.col("id").alias("own"))), repeated)
+        same = F.col("id").eqNullSafe(F.col("own"))
+        rows = rows.join(own, same, "left_anti").unionByName(rows.join(own, same, "left_semi").groupBy("id").agg(F.flatten(F.collect_list("w")).alias("w")))
+    often, others, weights = df.filter("n > 1"), None, np.zeros(0)
+    if often.count() <= KNOWN:
+        got = often.select("term", "idf").toArrow()
+        others, weights = got["term"].combine_chunks(), got["idf"].to_numpy()
+    else:
+        each = rows.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")).join(df, "term")
+        norms = each.groupBy(F.col("id").alias("own")).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
+        rows = rows.join(norms, F.col("id").eqNullSafe(F.col("own")), "left").drop("own")
+
+    def weigh(b: Block) -> Weigh:
+        by = [np.log((1.0 + n) / (1.0 + b.n)) + 1]
+        if others is not None:
+            by.append(weights[pc.invert(pc.is_in(others, value_set=b.words)).to_numpy(zero_copy_only=False)])
+        by = np.concatenate([*by, [np.log((1.0 + n) / 2.0) + 1]])  # the last is that of words which one document has
+
+        def of(doc: np.ndarray, word: np.ndarray, tf: np.ndarray, _: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+            x = tf * by[word]
+            norm = np.sqrt(np.bincount(doc, x * x, len(batch))) if others is not None else batch.column("norm").to_numpy(zero_copy_only=False)
+            return x / norm[doc]
+
+        return of
+
+    bank = bank.select(F.col("id").cast("long").alias("id"), "v").filter("v is not null")
+    alone = bank.join(rows.select("id"), "id", "left_anti").select("id", F.array().cast("array<string>").alias("w"), *([] if others is not None else [F.lit(None).cast("double").alias("norm")]), "v")
+    both = rows.join(R.small(bank, bank.count()), "id", "left").select(*rows.columns, "v").unionByName(alone)
+    asking = asking.select(F.col("qid").cast("long").alias("qid"), "v").filter("v is not null")
+    return R.top_k(top_words(both, asked, n, weigh, k, others=others, asking=asking, beside=1 - weight), ["qid"], k)
+
+
 def blended(lexical: DataFrame, semantic: DataFrame, weight: float = 0.5) -> DataFrame:
     """``weight`` times the lexical plus the rest times the semantic score; what one of them lacks is 0."""
     both = lexical.select("qid", "id", F.col("score").alias("a")).join(semantic.select("qid", "id", F.col("score").alias("b")), ["qid", "id"], "full")

@@ -89,9 +89,8 @@ def r13_tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r14_hybrid_whole(spark: SparkSession, d: str) -> DataFrame:
-    lexical = H.tfidf(_docs(spark, d), "doc_id", "text", _asking_texts(spark, d))
-    n = table(spark, d, "embeddings").count()
-    return _out(R.top_k(H.blended(lexical, _semantic(spark, d, n)), ["qid"], 10))
+    bank = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return _out(H.blended_top(_docs(spark, d), "doc_id", "text", _asking_texts(spark, d), bank, _asking(spark, d), 10))
 
 
 def r15_hybrid_cut(spark: SparkSession, d: str) -> DataFrame:

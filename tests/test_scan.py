@@ -1,13 +1,13 @@
 """Searches over all pairs, held against brute force; no pair is shuffled."""
 
 from datetime import datetime
-from math import log
+from math import log, sqrt
 
 import numpy as np
 import pytest
 
 import __spark_entry__
-from lodestrand.operators import retrieval, scan
+from lodestrand.operators import hybrid, retrieval, scan
 
 
 def _texts(n, seed=5):
@@ -88,6 +88,52 @@ def test_bm25_of_repeated_ids_negative_and_zero_idf(spark):
     assert retrieval.bm25(names.limit(0), "id", "text", queries, 1).count() == 0 and retrieval.bm25(names, "id", "text", queries.limit(0), 1).count() == 0
 
 
+def _blend(docs, queries, bank, asking, k):
+    words = {}
+    for i, t in docs:
+        words.setdefault(i, []).extend(w for w in t.lower().split() if len(w) > 1)
+    n, df = len(docs), {}
+    for w in words.values():
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+
+    def unit(w):
+        x = {t: w.count(t) * (log((1 + n) / (1 + df[t])) + 1) for t in set(w) if t in df}
+        norm = sqrt(sum(v * v for v in x.values()))
+        return {t: v / norm for t, v in x.items()}
+
+    units = {i: unit(w) for i, w in words.items()}
+    out = set()
+    texts, ask = dict(queries), dict(asking)
+    for qid in {*texts, *ask}:
+        q = unit([w for w in texts.get(qid, "").lower().split() if len(w) > 1])
+        score = {}
+        for i, x in units.items():
+            if common := q.keys() & x.keys():
+                score[i] = 0.5 * sum(q[t] * x[t] for t in common)
+        for i, v in bank:
+            if qid in ask and len(v) == len(ask[qid]):
+                norm = np.linalg.norm(v) * np.linalg.norm(ask[qid])
+                score[i] = score.get(i, 0) + 0.5 * (round(float(np.dot(v, ask[qid])) / norm, 6) if norm else 0)
+        best = sorted(score, key=lambda i: (-round(score[i], 6), i))[:k]
+        out |= {(qid, i, round(score[i], 4), r + 1) for r, i in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("known", [0, 2_000_000])
+def test_blend_of_all_pairs(spark, monkeypatch, known):
+    monkeypatch.setattr(hybrid, "KNOWN", known)
+    docs = [(i, t) for i, t in _texts(90) if t is not None]
+    rng = np.random.default_rng(2)
+    bank = [(i, rng.normal(size=4 if i % 5 else 3).round(3).tolist()) for i in range(60, 120)] + [(130, [0.0] * 4)]
+    q, asking = docs[::8], [b for b in bank if b[0] % 8 == 1]
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = hybrid.blended_top(of(docs, "i long, t string"), "i", "t", of(q, "qid long, query string"), of(bank, "id long, v array<float>"), of(asking, "qid long, v array<float>"), 200)
+    want = {x[:2]: x[2] for x in _blend(docs, q, bank, asking, 200)}
+    have = {(r["qid"], r["id"]): r["score"] for r in got.collect()}
+    assert have.keys() == want.keys() and all(abs(have[x] - want[x]) < 1e-3 for x in want) and any(x < 0 for x in have.values())
+
+
 @pytest.fixture(scope="module")
 def crowd(spark, tmp_path_factory):
     """2,000 documents that all have 30 words in common, 20 of which ask: 40,000 pairs."""
@@ -109,6 +155,7 @@ def crowd(spark, tmp_path_factory):
     ("r21_multi_signal", 30),
     ("r2_bm25_plus_one", 200),
     ("m9_sigmoid", 200),
+    ("r14_hybrid_whole", 210),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
