@@ -156,6 +156,7 @@ def crowd(spark, tmp_path_factory):
     ("r2_bm25_plus_one", 200),
     ("m9_sigmoid", 200),
     ("r14_hybrid_whole", 210),
+    ("r17_rrf", 200),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
