@@ -157,6 +157,7 @@ def crowd(spark, tmp_path_factory):
     ("m9_sigmoid", 200),
     ("r14_hybrid_whole", 210),
     ("r17_rrf", 200),
+    ("r1_bm25_okapi", 200),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
