@@ -158,6 +158,7 @@ def crowd(spark, tmp_path_factory):
     ("r14_hybrid_whole", 210),
     ("r17_rrf", 200),
     ("r1_bm25_okapi", 200),
+    ("v11_provided", 60),
 ])
 def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
