@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.operators.scan import Block, Weigh, top_words
+from lodestrand.operators.scan import Block, Weigh, counted_words, top_words
 from lodestrand.session import cut
 
 K1, B = 1.5, 0.75
@@ -33,42 +33,44 @@ def bm25(
 ) -> DataFrame:
     """Top k documents of each query: ``qid``, ``id``, ``score``, ``rank``.
 
-    ``queries`` has ``qid`` and ``query``. The queries go to every task, block by block, and each task sends the best k of
-    its documents only: no pair of query and document is shuffled. Documents with the same id, or none, are one with the scores of all;
-    these few are joined instead. A term that a query repeats counts as often. ``idf`` "plus" is ln((N - n + .5) / (n + .5) + 1), never negative;
+    ``queries`` has ``qid`` and ``query``. One pass over the texts counts their words; in another the queries go to every task, block by block, and
+    each task sends the best k of its documents only: no pair of query and document is shuffled. Documents with the same id, or none, are one with
+    the scores of all; these few are joined instead. A term that a query repeats counts as often. ``idf`` "plus" is ln((N - n + .5) / (n + .5) + 1), never negative;
     "okapi" lacks the 1 and takes a quarter of the mean idf for negative ones. Ties go to the smaller id, or to
     the larger one if ``later_first``. Queries without a hit give no rows, and neither do null texts.
     """
     q = cut(queries.select("qid", F.explode(words("query", lower)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn")))
     terms = cut(q.select("term").distinct())
     n_t = terms.count()
-    terms = small(terms, n_t)
-    rows = docs.select(F.col(id_).alias("id"), words(text, lower).alias("w")).withColumn("dl", F.size("w"))
-    each_id = rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+    only = terms.toArrow()["term"].combine_chunks() if idf != "okapi" and n_t <= FEW else None  # for the mean of "okapi" all words count
+    c = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_).alias("id"), (F.lower(c) if lower else c).alias("w"))
+    counted = cut(counted_words(rows, only))
+    each_id = counted.filter("dl is not null").groupBy("id").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
     again = F.col("id").isNull() | (F.col("n") > 1)
     total, length, repeated = each_id.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("dl"), F.lit(0)), F.count_if(again)).first()
     avgdl = length / total if length else 1.0
-    each = rows.select(F.explode(F.array_distinct("w")).alias("term"))
-    df = (each if idf == "okapi" else each.join(terms, "term", "left_semi")).groupBy("term").agg(F.count("*").alias("n"))
+    df = counted.filter("dl is null").groupBy("term").agg(F.sum("n").alias("n"))
     df = df.withColumn("idf", F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5) + (1 if idf == "plus" else 0)))
     if idf == "okapi":
         df = cut(df)
         mean = df.agg(F.avg("idf")).first()[0] or 0.0
         df = df.withColumn("idf", F.when(F.col("idf") < 0, 0.25 * mean).otherwise(F.col("idf")))
-        df = df.join(terms, "term", "left_semi")
+        df = df.join(small(terms, n_t), "term", "left_semi")
     asked = cut(q.join(df, "term").select("qid", "term", (F.col("qn") * F.col("idf")).alias("y"), "n"))
 
     def weigh(_: Block) -> Weigh:
         return lambda doc, word, tf, dl, batch: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)) + delta
 
-    found = rows.select("id", "w")
+    found = rows
     if repeated:
         ids = small(cut(each_id.filter(again).select(F.col("id").alias("own"))), repeated)
         same = F.col("id").eqNullSafe(F.col("own"))
         rows, found = found.join(ids, same, "left_semi"), found.join(ids, same, "left_anti")
     scored = top_words(found, asked, total, weigh, k, later_first)
     if repeated:
-        post = rows.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        rows = rows.select("id", words("w", False).alias("w"))
+        post = rows.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(terms, n_t), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
         tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)) + delta
         scored = scored.unionByName(post.join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("y") * tf).alias("score")))
     return cut(top_k(scored, ["qid"], k, later_first=later_first))

@@ -1,10 +1,12 @@
 """Searches over all pairs, held against brute force; no pair is shuffled."""
 
+from collections import Counter
 from datetime import datetime
 from math import log, sqrt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lodestrand.operators import hybrid, retrieval, scan
@@ -164,3 +166,31 @@ def test_no_pairs_are_shuffled(spark, crowd, name, rows):
     before = _shuffled(spark)
     assert len(__spark_entry__.queries()[name](spark, crowd).collect()) == rows
     assert _shuffled(spark) - before < 200_000  # pairs took above 1 MB
+
+
+@pytest.mark.parametrize("idf", ["plus", "okapi"])
+def test_texts_are_read_twice(spark, idf):
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text: str) -> str:
+        reads.add(1)
+        return text
+
+    df = spark.createDataFrame(_texts(100), "id long, text string").repartition(3)
+    docs = df.select("id", F.udf(read, "string").asNondeterministic()("text").alias("text"))
+    assert retrieval.bm25(docs, "id", "text", df.filter("id < 4").select(F.col("id").alias("qid"), F.col("text").alias("query")), 3, idf).count()
+    assert reads.value == 200  # once to count words, once for the scores; it was three times
+
+
+def test_texts_are_split_as_by_the_sessions_words(spark, monkeypatch):
+    monkeypatch.setattr(scan, "HELD", 3)
+    texts = ["  a b\x0bc\x0cd\r\ne\t", "", "x", "a b　c\x85d\x1ce", None, " ", "Ä ä İ b b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    rows = scan.counted_words(docs.select("id", F.lower("text").alias("w"))).collect()
+    each = docs.select("id", retrieval.words("text").alias("w")).collect()
+    assert {r["id"]: r["dl"] for r in rows if r["dl"] is not None} == {r["id"]: len(r["w"]) for r in each}
+    n = Counter()
+    for r in rows:
+        if r["dl"] is None:
+            n[r["term"]] += r["n"]
+    assert n == Counter(w for r in each for w in set(r["w"]))
