@@ -6,8 +6,8 @@ vectors at least, so the sample is of min(n, PER_LIST x lists) vectors and never
 that bounds the lists too, and the model to a few MB.
 Index: every distinct vector is put into the list of its nearest centroid, with the codes of its residual.
 Search: every vector asks its nearest lists, ``PROBES`` times the square root of their number. Per list,
-asymmetric distance tables (the query's exact parts against the codebooks) score all codes; the best
-``RERANK`` candidates are scored again with their exact vectors, and the best k of all lists stay. A query
+asymmetric distances (the query's exact parts against the codebooks' entries) score all codes, for all queries of
+the list in one matrix product; the best ``RERANK`` candidates are scored again with their exact vectors, and the best k of all lists stay. A query
 thus scores about n^(3/4) codes, until n exceeds (SAMPLE / PER_LIST / 2)^2, some 25 million.
 
 Lists near each other form a group, of about ``GROUP`` vectors, so that a query goes to few groups. A group
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from lodestrand.session import cut
 
 SAMPLE, PER_LIST, PROBES, PARTS, RERANK, GROUP = 200_000, 40, 1.6, 16, 96, 10_000
+CELLS, TOGETHER = 4_000_000, 64  # of a search: scores of codes at once, and queries whose best are chosen at once
 QUERIES = 256  # asked at once when recall is measured
 DIGITS = 6  # of a cosine, and of the vectors that count as equal
 
@@ -162,48 +163,75 @@ def _united():
 
 
 def _searcher(models: list[Model], dim: int, k: int):
+    near_by = 10.0**-DIGITS + dim * 2.0**-22  # rounded cosines that are equal or reversed differ by less in 32 bits
+
+    def best(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of the ``RERANK`` largest of each row that aren't -inf, row by row."""
+        floor = np.full(len(score), np.finfo(np.float32).min, np.float32)
+        if score.shape[1] > RERANK:
+            floor = np.maximum(floor, np.partition(score, score.shape[1] - RERANK, axis=1)[:, score.shape[1] - RERANK])
+        at = np.flatnonzero(score >= floor[:, None])
+        row, col = at // score.shape[1], at % score.shape[1]
+        if len(at) and np.bincount(row).max() > RERANK:  # equal ones at the end
+            by = np.lexsort([-score.reshape(-1)[at], row])
+            by = by[_rank(row) < RERANK]
+            row, col = row[by], col[by]
+        return row, col
+
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         model = models[rows["f"].iloc[0]]
-        parts, width = model.books.shape[0], model.books.shape[2]
-        books = np.ascontiguousarray(model.books.transpose(0, 2, 1))
+        parts = model.books.shape[0]
         own, asks = rows[rows["own"]].sort_values("cell", kind="stable"), rows[rows["asks"]]
         ids, ties, cells = own["no"].to_numpy(), own["h1"].to_numpy(), own["cell"].to_numpy()
         x = np.frombuffer(b"".join(own["unit"]), np.float32).reshape(-1, dim)
-        codes = np.ascontiguousarray(np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(-1, parts).T).astype(np.intp)
+        codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(-1, parts)
+        # The query isn't quantised, so its product with what the codes stand for is the sum over their distance tables.
+        coded = model.centres[cells] + model.books[np.arange(parts), codes].reshape(-1, dim)
         lo, hi = np.searchsorted(cells, np.arange(model.lists)), np.searchsorted(cells, np.arange(model.lists), "right")
         qid, q = asks["no"].to_numpy(), np.frombuffer(b"".join(asks["unit"]), np.float32).reshape(-1, dim)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(q), 1024):
-            qs, qi = q[a : a + 1024], qid[a : a + 1024]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, min(1024, CELLS // max(1, len(own))))
+        for a in range(0, len(q), step):
+            qs, qi = q[a : a + step], qid[a : a + step]
             near = model.nearest(qs, model.probes)
-            # Inner products with the residuals' code words: asymmetric, as the query isn't quantised.
-            tables = np.matmul(qs.reshape(len(qs), parts, width).transpose(1, 0, 2), books)
-            base = qs @ model.centres.T
-            scores: list[list[np.ndarray]] = [[] for _ in range(len(qs))]
-            spots: list[list[np.ndarray]] = [[] for _ in range(len(qs))]
-            flat, lane = near.ravel(), np.repeat(np.arange(len(qs)), near.shape[1])
+            size = (hi - lo)[near]
+            by = np.argsort(size.sum(1), kind="stable")  # of like length side by side
+            qs, qi, near, size = qs[by], qi[by], near[by], size[by]
+            # The candidates of a query lie side by side, list by list; TOGETHER queries have room for the most of one of them.
+            stop = np.cumsum(size, axis=1)
+            width = np.repeat(np.maximum.reduceat(stop[:, -1], np.arange(0, len(qs), TOGETHER)), TOGETHER)[: len(qs)]
+            first = np.cumsum(width) - width
+            stop += first[:, None]
+            flat, start, stop = near.ravel(), (stop - size).ravel(), stop.ravel()
+            score = np.full(int(width.sum()), -np.inf, np.float32)
             order = np.argsort(flat, kind="stable")
-            for block in np.split(order, np.flatnonzero(np.diff(flat[order])) + 1):
+            order = order[size.ravel()[order] > 0]
+            for block in np.split(order, np.flatnonzero(np.diff(flat[order])) + 1) if len(order) else []:
                 cell = flat[block[0]]
-                if lo[cell] == hi[cell]:
-                    continue
-                who, spot = lane[block], np.arange(lo[cell], hi[cell])
-                s = np.repeat(base[who, cell][:, None], len(spot), 1)
-                for p in range(parts):
-                    s += tables[p][who].take(codes[p, lo[cell] : hi[cell]], axis=1)
-                for w, row in zip(who.tolist(), s, strict=True):
-                    spots[w].append(spot)
-                    scores[w].append(row)
-            for w in range(len(qs)):
-                if not spots[w]:
+                score[start[block][:, None] + np.arange(hi[cell] - lo[cell])] = qs[block // near.shape[1]] @ coded[lo[cell] : hi[cell]].T
+            for b in range(0, len(qs), TOGETHER):
+                n = len(width[b : b + TOGETHER])
+                if not width[b]:
                     continue
-                cand, s = np.concatenate(spots[w]), np.concatenate(scores[w])
-                if len(cand) > RERANK:
-                    cand = cand[np.argpartition(s, len(s) - RERANK)[len(s) - RERANK :]]
-                cand = cand[ids[cand] != qi[w]]
-                exact = np.round(x[cand].astype(np.float64) @ qs[w].astype(np.float64), DIGITS)
-                top = np.lexsort([ties[cand], -exact])[:k]
-                out.append((np.full(len(top), qi[w]), ids[cand[top]], exact[top], ties[cand[top]]))
+                w, col = best(score[first[b] : first[b] + n * width[b]].reshape(n, -1))
+                w += b
+                place = np.searchsorted(stop, first[w] + col, "right")
+                cand = lo[flat[place]] + first[w] + col - start[place]
+                other = ids[cand] != qi[w]
+                w, cand = w[other], cand[other]
+                # Exactly in 32 bits first; only what may be among the best k is rounded in 64.
+                s = np.einsum("ij,ij->i", x[cand], qs[w])
+                by = np.lexsort([-s, w])
+                w, cand, s = w[by], cand[by], s[by]
+                rank = _rank(w)
+                least = np.full(len(qs), -np.inf)
+                least[w[rank == k - 1]] = s[rank == k - 1]
+                few = s >= least[w] - near_by
+                w, cand = w[few], cand[few]
+                exact = np.round(np.einsum("ij,ij->i", x[cand].astype(np.float64), qs[w].astype(np.float64)), DIGITS)
+                top = np.lexsort([ties[cand], -exact, w])
+                top = top[_rank(w) < k]
+                out.append((qi[w[top]], ids[cand[top]], exact[top], ties[cand[top]]))
         if not out:
             return pd.DataFrame({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "cos": np.zeros(0), "tie": np.zeros(0, np.int64)})
         return pd.DataFrame(dict(zip(("q", "c", "cos", "tie"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -211,6 +239,11 @@ def _searcher(models: list[Model], dim: int, k: int):
     return search
 
 
+def _rank(group: np.ndarray) -> np.ndarray:
+    """The place of each within its run of equal numbers."""
+    return np.arange(len(group)) - np.searchsorted(group, group)
+
+
 def similar(df: DataFrame, id_: str, vectors: list[str], k: int = 5, dim: int = 64, lists: int | None = None, probes: int | None = None) -> DataFrame:
     """For each of the columns ``vectors`` and every row with a usable vector in it, its k most similar other
     rows: ``field`` (the column), ``id``, ``rank`` (from 1), ``neighbour``, ``cos`` (to six digits). Ids are

@@ -2,9 +2,11 @@
 
 import random
 import re
+import sys
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +191,34 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark):
     assert got["0000"] == ["c0", "c1", "c2", "c3", "c4"] and got["c0"] == ["0000", "c1", "c2", "c3", "c4"]
 
 
+@pytest.mark.parametrize(("cells", "together", "rerank"), [(4_000_000, 64, 96), (30_000, 7, 96), (4_000_000, 64, 5000)])
+def test_neighbours_are_searched_by_arrays_and_not_query_by_query(monkeypatch, cells, together, rerank):
+    for name, value in (("CELLS", cells), ("TOGETHER", together), ("RERANK", rerank)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    x = neighbours._unit(np.concatenate([rng.normal(size=(1400, 16)), np.repeat(rng.normal(size=(1, 16)), 200, 0)]))
+    m = neighbours.fit(x, 12, 12, 1)
+    cell, ties, own = m.nearest(x, 1)[:, 0], rng.permutation(len(x)), np.arange(len(x)) % 3 > 0
+    rows = pd.DataFrame({"f": 0, "no": range(len(x)), "h1": ties, "cell": cell, "unit": [v.tobytes() for v in x], "codes": [c.tobytes() for c in m.encode(x, cell)], "own": own, "asks": True})
+    search, calls = neighbours._searcher([m], 16, 5), []
+    sys.setprofile(lambda _, event, __: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        got = search(rows)
+    finally:
+        sys.setprofile(None)
+    s = np.round(x.astype(float) @ x.astype(float).T, 6)
+    s[:, ~own] = -2
+    np.fill_diagonal(s, -2)
+    best = np.stack([np.lexsort([ties, -row])[:5] for row in s])
+    got = got.sort_values(["q", "cos", "tie"], ascending=[True, False, True])
+    assert (got["q"].to_numpy() == np.repeat(np.arange(len(x)), 5)).all()
+    have = got["c"].to_numpy().reshape(-1, 5)
+    same = np.take_along_axis(s, have, 1) == np.take_along_axis(s, best, 1)
+    assert same.mean() > 0.999 and (np.round(got["cos"].to_numpy(), 6).reshape(-1, 5) == np.take_along_axis(s, have, 1)).all()
+    assert rerank == 96 or (have == best).all()  # of the 200 equal vectors 96 at most are ranked
+    assert together < 64 or len(calls) < 4 * len(x)  # it was above 40 a query
+
+
 def test_neighbours_of_few(spark):
     schema = "id string, v array<float>"
     assert neighbours.similar(spark.createDataFrame([], schema), "id", ["v"]).count() == 0
